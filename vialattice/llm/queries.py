@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, minhash, packing, toxicity
+from . import bpe, embeddings, html, media, minhash, packing, pii, toxicity, urls, warc
 from .common import table
 
 
@@ -15,10 +15,34 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: The rules of the URL query.
+URL_RULES = (
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("block", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+)
+#: The key of surrogates. A deployment gives its own secret.
+PII_KEY = "vialattice"
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,16 +52,61 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_embedding_near_dedup": op1_embedding_near_dedup,
-    "op3_byte_bpe": op3_byte_bpe,
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
-    "op7_toxicity": op7_toxicity,
-    "op9_best_fit_packing": op9_best_fit_packing,
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_html_extraction,
+        op6_minhash_near_dedup, op7_toxicity, op8_media_columns, op9_best_fit_packing, op10_pii_surrogates,
+    )
+}
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_COMPONENTS = """
+reach(id, other) as (
+  select id, id from nodes
+  union
+  select reach.id, links.b from reach join links on links.a = reach.other),
+least as (select id, min(other) as component_id from reach group by id)
+"""
+
+#: For comparison, on any tables. Encoders, archives, extraction, scores, images, packing and
+#: surrogates can't be written in SQL and are tested against plain versions instead.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""
+with recursive nodes as (select vec_id as id, label, embedding::double[] as e from embeddings),
+links as (
+  select x.id as a, y.id as b from nodes x join nodes y on x.label = y.label and x.id <> y.id
+  where list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.98::double),
+{_COMPONENTS}
+select least.id as vec_id, (select count(*) from links where a = least.id)::bigint as n_links, component_id, component_id = least.id as kept from least""",
+    "op2_url_filter": f"""
+with rules(verdict, host, path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+rest as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (select page_id, {_ASCII_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') as path from rest),
+fits as (select p.page_id, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) as best
+  from parts p join rules r on starts_with(p.path, r.path) and ends_with('.' || p.host, '.' || r.host) group by p.page_id)
+select p.page_id, p.host, p.path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from parts p left join fits using (page_id)""",
+    "op6_minhash_near_dedup": rf"""
+with recursive words as (select doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^ 	-]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+nodes as (select doc_id as id, len(s)::bigint as n from sets),
+items as (select doc_id as id, unnest(s) as g from sets),
+shared as (select x.id as a, y.id as b, count(*) as k from items x join items y on x.g = y.g and x.id <> y.id group by all),
+links as (select a, b from shared join nodes x on x.id = a join nodes y on y.id = b where 100 * k >= 75 * (x.n + y.n - k)),
+{_COMPONENTS}
+select nodes.id as doc_id, n as n_shingles, component_id, component_id = nodes.id as kept from nodes join least on least.id = nodes.id""",
 }
-
-ORACLE_SQL: dict[str, str] = {}
