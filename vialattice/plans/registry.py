@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import assign_queries, lane_queries
+
+FAMILIES = (assign_queries, lane_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in FAMILIES for k, q in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in FAMILIES for k, s in m.ORACLE_SQL.items()}
