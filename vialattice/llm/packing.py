@@ -8,6 +8,7 @@ themselves stay distributed and find their place by their rank among the pieces
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,11 +34,9 @@ def _memo(path: str) -> tuple[ChunkMemo, bytes]:
     tokenizer.encode_special_tokens = True
 
     def pack(pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    # a chunk that isn't a plain word is its own unit: the tokenizer cuts it as it would in place
-    memo = ChunkMemo(pack, lambda text: [text] if text else [], b"".join)
-    return memo, pack(["\n"])[0]
+    return ChunkMemo(pack, limit=400_000), pack(["\n"])[0]
 
 
 def cut_lengths(n: int, seq_len: int) -> list[int]:

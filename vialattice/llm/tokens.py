@@ -24,11 +24,12 @@ class ChunkMemo:
     """Remembers the encodings of space-delimited chunks in one Python worker.
 
     ``encode(pieces)`` gives the value of each piece (a match of the pattern), ``split(text)`` gives
-    a text's pieces, ``join(values)`` concatenates. At most ``limit`` chunks and as many pieces are
-    held; then both tables start anew, so that memory is bounded on any input.
+    a text's pieces, ``join(values)`` concatenates. Without ``split``, ``encode`` takes chunks and
+    whole texts as they are. At most ``limit`` chunks and as many pieces are held; then the tables
+    start anew, so that memory is bounded on any input.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], split: Callable[[str], list[str]], join: Callable[[Iterable], object], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], split: Callable[[str], list[str]] | None = None, join: Callable[[Iterable], object] | None = None, limit: int = 300_000):
         self.encode, self.split, self.join, self.limit = encode, split, join, limit
         self.first: dict[str, object] = {}
         self.spaced: dict[str, object] = {}
@@ -42,46 +43,61 @@ class ChunkMemo:
             return [word, found[2]] if found[2] else [word]
         return self.split(chunk)
 
-    def _learn(self, texts: list[str]) -> dict[str, list[str]]:
-        """Encode what the texts have and the tables lack; the pieces of texts that aren't plain."""
+    def _learn(self, first: set[str], spaced: set[str], whole: dict[str, list[str]]) -> None:
+        """Encode what these chunks and pieces have and the tables lack."""
         if max(len(self.first), len(self.spaced), len(self.pieces)) > self.limit:
             self.first.clear(), self.spaced.clear(), self.pieces.clear()
-        chunks: dict[str, list[str]] = {}
-        whole: dict[str, list[str]] = {}
-        for text in texts:
-            if not plain(text):
-                whole[text] = self.split(text)
-                continue
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                if head not in self.first:
-                    chunks[head] = self._pieces_of(head)
-                for part in {*rest}.difference(self.spaced):
-                    chunks[" " + part] = self._pieces_of(" " + part)
-        need = {p for v in chunks.values() for p in v} | {p for v in whole.values() for p in v}
-        need = [p for p in need if p not in self.pieces]
+        if self.split is None:
+            missing = spaced.difference(self.spaced)
+            # a full stop or comma after a letter is a match by itself
+            marked = {part for part in missing if part[-1] in ".," and part[-2:-1].isalpha()}
+            base = (missing - marked).union(part[:-1] for part in marked).difference(self.spaced)
+            new, more = [*first.difference(self.first)], [*base]
+            values = self.encode([*new, *(" " + part for part in more), *whole, ".", ","])
+            self.first.update(zip(new, values[: len(new)], strict=True))
+            self.spaced.update(zip(more, values[len(new) : len(new) + len(more)], strict=True))
+            self.pieces = dict(zip(whole, values[len(new) + len(more) : -2], strict=True))
+            mark = {".": values[-2], ",": values[-1]}
+            self.spaced.update((part, self.spaced[part[:-1]] + mark[part[-1]]) for part in marked)
+            return
+        chunks = [*first.difference(self.first), *(" " + part for part in spaced.difference(self.spaced))]
+        cut = [self._pieces_of(chunk) for chunk in chunks]
+        need = [*{p for v in (*cut, *whole.values()) for p in v}.difference(self.pieces)]
         if need:
             self.pieces.update(zip(need, self.encode(need), strict=True))
-        for chunk, pieces in chunks.items():
-            value = self.join(map(self.pieces.__getitem__, pieces))
+        known, join = self.pieces, self.join
+        for chunk, pieces in zip(chunks, cut, strict=True):
+            value = known[pieces[0]] if len(pieces) == 1 else join([known[p] for p in pieces])
             if chunk[:1] == " ":
                 self.spaced[chunk[1:]] = value
             else:
                 self.first[chunk] = value
-        return whole
 
     def lookup(self, texts: list[str], feed) -> Iterator[list]:
         """For each text, the values whose concatenation encodes it; ``feed`` is a line feed's."""
-        whole = self._learn(texts)
+        first: set[str] = set()
+        spaced: set[str] = set()
+        whole: dict[str, list[str]] = {}
+        cut: list[list[list[str]] | None] = []
         for text in texts:
-            if text in whole:
-                yield list(map(self.pieces.__getitem__, whole[text]))
+            if plain(text):
+                lines = [line.split(" ") for line in text.split("\n")]
+                for line in lines:
+                    first.add(line[0])
+                    spaced.update(line[1:])
+                cut.append(lines)
+            else:
+                whole[text] = self.split(text) if self.split else [text]
+                cut.append(None)
+        self._learn(first, spaced, whole)
+        for text, lines in zip(texts, cut, strict=True):
+            if lines is None:
+                yield [self.pieces[p] for p in whole[text]]
                 continue
             out: list = []
-            for k, line in enumerate(text.split("\n")):
-                head, *rest = line.split(" ")
+            for k, line in enumerate(lines):
                 if k:
                     out.append(feed)
-                out.append(self.first[head])
-                out.extend(map(self.spaced.__getitem__, rest))
+                out.append(self.first[line[0]])
+                out.extend(map(self.spaced.__getitem__, line[1:]))
             yield out
