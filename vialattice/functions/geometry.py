@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -62,7 +67,7 @@ def arc_length(line: Column) -> Column:
 
 def resample(line: Column, k: int) -> Column:
     """k points at equal arc lengths: zeros for fewer than two points, the first point repeated for no length."""
-    return F.transform(F.array(F.struct(line.alias("line"), lengths(line).alias("cum"))), lambda z: _resampled(z["line"], z["cum"], k))[0]
+    return let(line, lambda x: let(F.struct(x.alias("line"), lengths(x).alias("cum")), lambda z: _resampled(z["line"], z["cum"], k)))
 
 
 def _resampled(line: Column, cum: Column, k: int) -> Column:
@@ -91,9 +96,12 @@ def centroid(line: Column) -> Column:
 
 def to_canonical(line: Column) -> Column:
     """struct(canon, centroid, angle, scale): centred, chord along +x, unit arc length."""
-    first, last = F.element_at(line, 1), F.element_at(line, -1)
-    frame = F.struct(line.alias("line"), centroid(line).alias("c"), F.atan2(last["y"] - first["y"], last["x"] - first["x"]).alias("a"), F.greatest(arc_length(line), F.lit(1e-8)).alias("s"))
-    return F.transform(F.array(frame), lambda z: F.struct(shared_frame(z["line"], z["c"], z["a"], z["s"]).alias("canon"), z["c"].alias("centroid"), z["a"].alias("angle"), z["s"].alias("scale")))[0]
+
+    def frame(x: Column) -> Column:
+        first, last = F.element_at(x, 1), F.element_at(x, -1)
+        return F.struct(x.alias("line"), centroid(x).alias("c"), F.atan2(last["y"] - first["y"], last["x"] - first["x"]).alias("a"), F.greatest(arc_length(x), F.lit(1e-8)).alias("s"))
+
+    return let(let(line, frame), lambda z: F.struct(shared_frame(z["line"], z["c"], z["a"], z["s"]).alias("canon"), z["c"].alias("centroid"), z["a"].alias("angle"), z["s"].alias("scale")))
 
 
 def shared_frame(line: Column, c: Column, angle: Column, scale: Column) -> Column:
