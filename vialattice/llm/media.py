@@ -174,7 +174,9 @@ class ArchiveReader(DataSourceReader):
         found = [row for name in sorted(names) for row in pq.read_table(name, filesystem=system).to_pylist()]
         return [ByteRange(r["archive"], k, min(k + self.split, r["dir_start"]), r["dir_start"], r["dir_bytes"]) for r in found for k in range(0, r["dir_start"], self.split)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives
+            return
         members = [m for m in directory(files.read(partition.archive, partition.dir_start, partition.dir_bytes)) if partition.start <= m[0] < partition.end]
         system, path = files.at(partition.archive)
         names = [c.split()[0] for c in MEMBERS.split(", ")]
