@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,37 @@ def batches(iterator: Iterator, rows: int) -> Iterator:
     for batch in iterator:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def grouped(stream: Iterator[pa.RecordBatch], keys: Sequence[int]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal integer keys (columns by position)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if last is not None and tuple(values[start]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = tuple(values[start])
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def spread(near: np.ndarray) -> np.ndarray:
+    """Least index that each index reaches over a symmetric boolean matrix."""
+    out = np.full(len(near), -1)
+    for k in range(len(near)):
+        if out[k] < 0:
+            reach = np.zeros(len(near), bool)
+            reach[k], edge = True, np.array([k])
+            while len(edge):
+                grown = near[edge].any(axis=0) & ~reach
+                reach |= grown
+                edge = np.flatnonzero(grown)
+            out[reach] = k
+    return out

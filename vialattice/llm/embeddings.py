@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_columns, materialize
+from .common import batches, grouped, keep_columns, materialize, spread
 from .graph import components
 
 
@@ -102,21 +102,6 @@ def _with_filters(classes: DataFrame, p: Params) -> DataFrame:
     return classes.select("rep", "embedding").mapInArrow(run, "rep long, filters array<long>")
 
 
-def _spread(near: np.ndarray) -> np.ndarray:
-    """Least index that each index reaches over a symmetric boolean matrix."""
-    out = np.full(len(near), -1)
-    for k in range(len(near)):
-        if out[k] < 0:
-            reach = np.zeros(len(near), bool)
-            reach[k], edge = True, np.array([k])
-            while len(edge):
-                grown = near[edge].any(axis=0) & ~reach
-                reach |= grown
-                edge = np.flatnonzero(grown)
-            out[reach] = k
-    return out
-
-
 def _compare(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, filters: list[np.ndarray], part: np.ndarray, key: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For one filter: linked ids, links that no lesser filter has counted, and who they hang on.
 
@@ -141,37 +126,20 @@ def _compare(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, filters:
         np.add.at(links, a[at : at + step][own], copies[b[at : at + step][own]])
         np.add.at(links, b[at : at + step][own], copies[a[at : at + step][own]])
     linked = np.flatnonzero(near.any(axis=1))
-    return ids[linked], links[linked], ids[_spread(near)[linked]]
+    return ids[linked], links[linked], ids[spread(near)[linked]]
 
 
 def _scan(rows: DataFrame, p: Params) -> DataFrame:
-    """rows: sorted by (group, label, dims, filter, i, j) in each partition."""
-    keys = ("label_key", "dims", "filter", "i", "j")
-
-    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(held).combine_chunks()
-        order = np.argsort(t["rep"].to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        filters = [np.asarray(f) for f in t["filters"].to_pylist()]
-        part = (t["block"].to_numpy() != t["i"].to_numpy()).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _compare(t["rep"].to_numpy(), t["copies"].to_numpy(), _matrix(t["embedding"].combine_chunks()), filters, part, t["filter"][0].as_py(), p)], names=["rep", "links", "to"])
+    """rows: sorted by (label_key, dims, filter, i, j) in each partition."""
+    rows = rows.select("label_key", "dims", "filter", "i", "j", "block", "rep", "copies", "embedding", "filters")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
-            cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
-            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if last is not None and tuple(values[start]) != last:
-                    yield flush(held)
-                    held = []
-                last = tuple(values[start])
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield flush(held)
+        for t in grouped(stream, range(5)):
+            t = t.take(pa.array(np.argsort(t["rep"].to_numpy(), kind="stable")))
+            filters = [np.asarray(f) for f in t["filters"].to_pylist()]
+            part = (t["block"].to_numpy() != t["i"].to_numpy()).astype(np.int8)
+            found = _compare(t["rep"].to_numpy(), t["copies"].to_numpy(), _matrix(t["embedding"].combine_chunks()), filters, part, t["filter"][0].as_py(), p)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["rep", "links", "to"])
 
     return rows.mapInArrow(run, "rep long, links long, to long")
 

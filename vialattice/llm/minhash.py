@@ -1,10 +1,13 @@
 """Near-duplicate texts: MinHash bands propose pairs, odd sketches sieve them, full sets decide.
 
 Equal shingle sets form a class, and everything after works on one representative of each class, so
-that thousands of copies count once. A band bucket proposes its members only against its least
-member. Pairs whose odd sketches are too far apart for the similarity asked are dropped, and the
-rest are confirmed on the full shingle sets. Buckets whose members are not yet in one component are
-then joined with themselves across components, again behind the sketches.
+that thousands of copies count once. Pairs whose odd sketches are too far apart for the similarity
+asked are dropped, and the rest are confirmed on the full shingle sets.
+
+In turns, each band bucket proposes its members against one leader, another one each turn, and only
+across components found so far. So the members of a large family join its component after a few
+turns, with a number of pairs in proportion to the members. What is then still apart in one bucket
+is compared exhaustively, again behind the sketches, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_columns, materialize
+from .common import batches, drop_path, grouped, keep_columns, materialize, spread
 from .graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -29,7 +32,10 @@ MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x
 @dataclass(frozen=True)
 class Params:
     """words: of a shingle. percent: least similarity. bands x rows: MinHash values. sketch_bits:
-    of an odd sketch. slack: standard errors of the sketch's estimate that a true pair may lack."""
+    of an odd sketch. slack: standard errors of the sketch's estimate that a true pair may lack.
+    turns: most turns with leaders. tries: most leaders that a document meets in a turn; what they
+    leave apart is compared exhaustively after, in blocks of at most ``at_once`` documents and
+    ``codes_at_once`` shingles."""
 
     words: int = 5
     percent: int = 75
@@ -37,6 +43,10 @@ class Params:
     rows: int = 4
     sketch_bits: int = 512
     slack: float = 4.5
+    turns: int = 1
+    tries: int = 3
+    at_once: int = 2048
+    codes_at_once: int = 4_000_000
 
     @property
     def most_apart(self) -> int:
@@ -156,6 +166,77 @@ def _confirm(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _overlaps(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[k] and b[k]."""
+    flat = np.concatenate(codes)
+    owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    values, which, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1  # codes of one set alone are in no intersection
+    width = -(-max(1, int(place[-1]) + 1) // 64)
+    if len(a) < 200 or len(codes) * width > 16_000_000:
+        return np.fromiter((len(np.intersect1d(codes[x], codes[y], assume_unique=True)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    use = count[which] > 1
+    bits = np.zeros((len(codes), width), np.uint64)
+    at = place[which[use]]
+    np.bitwise_or.at(bits, (owner[use], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    step = max(1, 4_000_000 // width)
+    return np.concatenate([np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), step)])
+
+
+def _compare(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's members: (document, least document that it hangs on through links found here).
+
+    Pairs of one component and pairs that an earlier band has too are left out.
+    """
+    ids, component, size, band = (t[c].to_numpy() for c in ("rep", "component", "n", "band"))
+    bands, sketches = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("bands", "sketch"))
+    sketches, part = sketches.view(np.uint64), t["block"].to_numpy() != t["i"].to_numpy()
+    pair = np.triu(component[:, None] != component[None, :], 1)
+    if part.any():
+        pair &= part[:, None] != part[None, :]
+    pair &= np.minimum(size[:, None], size[None, :]) * 100 >= np.maximum(size[:, None], size[None, :]) * p.percent
+    apart = np.zeros(pair.shape, np.int64)
+    for word in sketches.T:
+        apart += np.bitwise_count(word[:, None] ^ word[None, :])
+    pair &= apart <= p.most_apart
+    for earlier in bands.T[: band[0]]:
+        pair &= earlier[:, None] != earlier[None, :]
+    a, b = np.nonzero(pair)
+    if not len(a):
+        return ids[:0], ids[:0]
+    used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    flat = t["codes"].combine_chunks()
+    codes = [flat[int(k)].values.to_numpy() for k in used]
+    both = _overlaps(codes, where[: len(a)], where[len(a) :])
+    good = both * 100 >= (size[a] + size[b] - both) * p.percent
+    near = np.zeros(pair.shape, bool)
+    near[a[good], b[good]] = near[b[good], a[good]] = True
+    linked = np.flatnonzero(near.any(axis=1))
+    return ids[linked], ids[spread(near)[linked]]
+
+
+def _exhaust(live: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) that connect what is linked across components within a bucket."""
+    ids = live.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(*keep_columns(docs, "doc_id", "text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets, _ = materialize(shingle_sets(texts, p), "sets")
+    info = classes.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch")
+    sized = live.join(info.select("rep", "n"), "rep")
+    blocks = F.ceil(F.greatest(F.count("*") / (p.at_once // 2), F.sum("n") / (p.codes_at_once // 2)))
+    split = sized.groupBy("bucket").agg(blocks.cast("int").alias("n_blocks"))
+    placed = live.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    placed = placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "rep", "component")
+    sent = placed.join(info, "rep").join(sets.select(F.col("id").alias("rep"), "codes"), "rep").select("bucket", "i", "j", "block", "band", "rep", "component", "n", "bands", "sketch", "codes")
+    sent = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(stream, (0, 1, 2)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _compare(t, p)], names=["a", "b"])
+
+    return sent.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """Link ``docs`` (doc_id, text) of similar shingle sets and name each row's component.
 
@@ -166,29 +247,35 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     p = p or Params()
+    spark = docs.sparkSession
     signed, _ = materialize(sign(docs, p), "signed")
     key = ["n_shingles", "h1", "h2"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "sketch")).alias("of"))
     classes, _ = materialize(classes.select(*key, "rep", F.col("of.bands").alias("bands"), F.col("of.sketch").alias("sketch")), "classes")
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members, _ = materialize(members.join(leaders, "bucket").select("bucket", "rep", "lead"), "members")
-
     info = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
     of = {s: info.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
-    stars = members.where("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars, _ = materialize(_likely(stars.join(of["b"], "b").join(of["a"], "a"), p).select("a", "b"), "stars")
-    links, _ = materialize(_confirm(stars, docs, p), "links")
-
-    found = components(links)
-    placed = members.join(found, members.rep == found.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    placed, _ = materialize(placed.join(mixed, "bucket", "left_semi").join(info, "rep"), "placed")
-    side = {s: placed.select("bucket", F.col("rep").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
-    across = _likely(side["a"].join(side["b"], "bucket").where("c_a < c_b"), p)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across, _ = materialize(across, "across")
-    more = _confirm(across, docs, p)
+    members = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    live = members.join(shared, "bucket", "left_semi").select("bucket", "band", "rep", F.col("rep").alias("component"))
+    live, path = materialize(live, "live")
+    found = spark.createDataFrame([], "id long, component long")
+    for turn in range(p.turns):
+        order = F.xxhash64(F.lit(turn), "rep")
+        leader = live.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("lead"), F.col("component").alias("c"))).alias("l")).select("bucket", "l.lead", "l.c")
+        met = live.join(leader, "bucket").where("component <> c").groupBy("rep").agg(F.collect_set("lead").alias("leads"))  # at most one of each band
+        tried = F.slice(F.array_sort(F.transform("leads", lambda x: F.struct(F.xxhash64(F.lit(turn), x).alias("o"), x.alias("lead")))), 1, p.tries)
+        pairs = met.select("rep", F.explode(tried).alias("t")).select(F.least("rep", "t.lead").alias("a"), F.greatest("rep", "t.lead").alias("b")).distinct()
+        pairs, _ = materialize(_likely(pairs.join(of["b"], "b").join(of["a"], "a"), p).select("a", "b"), "pairs")
+        links, _ = materialize(_confirm(pairs, docs, p), "links")
+        if not links.limit(1).count():
+            break
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+        placed = live.drop("component").join(found, F.col("rep") == F.col("id"), "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        (live, path), old = materialize(placed.join(mixed, "bucket", "left_semi"), "live"), path
+        drop_path(spark, old)
+
+    more, _ = materialize(_exhaust(live, classes, docs, p), "more")
 
     stars_of = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     same_id = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
