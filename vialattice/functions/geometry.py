@@ -17,7 +17,12 @@ def point(x: Column, y: Column) -> Column:
 
 def segments(line: Column) -> Column:
     """Consecutive pairs of a polyline's points: struct(a, b) each."""
-    return F.zip_with(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def build(x: Column) -> Column:
+        n = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.zip_with(F.slice(x, 1, n), F.slice(x, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(line, build)
 
 
 def segment_distance(px: Column, py: Column, a: Column, b: Column, floor: float = 1e-12) -> Column:
@@ -57,8 +62,7 @@ def distance(a: Column, b: Column) -> Column:
 def lengths(line: Column) -> Column:
     """Cumulative arc length at each point."""
     steps = F.transform(segments(line), lambda s: distance(s["a"], s["b"]))
-    summed = F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
-    return F.when(F.size(line) > 0, summed).otherwise(F.array().cast("array<double>"))
+    return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
 
 
 def arc_length(line: Column) -> Column:
@@ -90,8 +94,7 @@ def _resampled(line: Column, cum: Column, k: int) -> Column:
 
 
 def centroid(line: Column) -> Column:
-    n = F.size(line)
-    return point(F.aggregate(line, F.lit(0.0), lambda s, p: s + p["x"]) / n, F.aggregate(line, F.lit(0.0), lambda s, p: s + p["y"]) / n)
+    return let(line, lambda x: point(F.aggregate(x, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(x), F.aggregate(x, F.lit(0.0), lambda s, p: s + p["y"]) / F.size(x)))
 
 
 def to_canonical(line: Column) -> Column:
@@ -150,15 +153,22 @@ def wrap(angle: Column) -> Column:
 def turning(line: Column) -> Column:
     """Wrapped absolute heading changes between consecutive segments."""
     heads = F.transform(segments(line), lambda s: F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"]))
-    m = F.greatest(F.size(heads) - 1, F.lit(0))
-    return F.zip_with(F.slice(heads, 1, m), F.slice(heads, 2, m), lambda a, b: wrap(b - a))
+
+    def build(x: Column) -> Column:
+        m = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.zip_with(F.slice(x, 1, m), F.slice(x, 2, m), lambda a, b: wrap(b - a))
+
+    return let(heads, build)
 
 
 def variance_pop(values: Column) -> Column:
     """Population variance of an array of doubles; null if it is empty."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    return F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - total / n) * (v - total / n)) / n)
+
+    def spread(x: Column) -> Column:
+        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+        return F.when(F.size(x) > 0, let(mean, lambda m: F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m))) / F.size(x))
+
+    return let(values, spread)
 
 
 def segments_intersect(p: Column, q: Column, r: Column, s: Column) -> Column:

@@ -32,7 +32,7 @@ def sigmoid(x: Column) -> Column:
 
 
 def sinusoidal(t: Column, dim: int) -> Column:
-    """Sine and cosine embedding of a step."""
+    """Cosine and sine embedding of a step."""
     half = dim // 2
     freqs = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda k: t * F.exp(-F.log(F.lit(10000.0)) * k / F.lit(float(half))))
-    return F.concat(F.transform(freqs, lambda a: F.sin(a)), F.transform(freqs, lambda a: F.cos(a)))
+    return F.concat(F.transform(freqs, lambda a: F.cos(a)), F.transform(freqs, lambda a: F.sin(a)))

@@ -203,12 +203,19 @@ def blend(anchor: Column, candidate: Column, share: float = 0.6) -> Column:
 
 def smoothness(line: Column) -> Column:
     """Evenness of turning, 0 for a line that crosses itself."""
-    heads = F.transform(g.segments(line), lambda s: F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"]))
-    m = F.greatest(F.size(heads) - 1, F.lit(0))
-    changes = F.zip_with(F.slice(heads, 1, m), F.slice(heads, 2, m), lambda a, b: F.abs(b - a))
-    last = F.size(line) - 2
-    crosses = F.exists(F.sequence(F.lit(0), last), lambda a: F.exists(F.sequence(F.lit(0), last), lambda b: (b >= a + 2) & g.segments_intersect(line[a], line[a + 1], line[b], line[b + 1])))
-    return F.when((g.arc_length(line) < 1e-8) | crosses, 0.0).otherwise(1 / (1 + F.coalesce(g.variance_pop(changes), F.lit(0.0))))
+
+    def score(x: Column) -> Column:
+        heads = F.transform(g.segments(x), lambda s: F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"]))
+
+        def changes(h: Column) -> Column:
+            m = F.greatest(F.size(h) - 1, F.lit(0))
+            return F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: F.abs(b - a))
+
+        last = F.size(x) - 2
+        crosses = F.exists(F.sequence(F.lit(0), last), lambda a: F.exists(F.sequence(F.lit(0), last), lambda b: (b >= a + 2) & g.segments_intersect(x[a], x[a + 1], x[b], x[b + 1])))
+        return F.when((g.arc_length(x) < 1e-8) | crosses, 0.0).otherwise(1 / (1 + F.coalesce(g.variance_pop(g.let(heads, changes)), F.lit(0.0))))
+
+    return g.let(line, score)
 
 
 def heading_alignment(line: Column, heading: Column) -> Column:
@@ -269,3 +276,38 @@ def augment(lines: DataFrame, key: str, factor: int = 10, angle: float = 0.26, n
     rows = lines.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(factor)))).withColumn("a", u("angle") * (2 * angle))
     shaken = F.transform("line", lambda p, i: g.point(p["x"] * F.cos("a") - p["y"] * F.sin("a") + noise * (F.pmod(F.xxhash64(F.col(key), F.col("copy"), i, F.lit(seed)), F.lit(2001)) / 1000.0 - 1), p["x"] * F.sin("a") + p["y"] * F.cos("a") + noise * (F.pmod(F.xxhash64(F.col(key), i, F.col("copy"), F.lit(seed + 1)), F.lit(2001)) / 1000.0 - 1)))
     return rows.select(key, "copy", shaken.alias("line"))
+
+
+def resolve(index: DataFrame, spec) -> DataFrame:
+    """One row with the mean vector of the lanes that a specification matches, nearer behaviour weighing more.
+
+    If none matches, the mean of all.
+    """
+    from . import match
+
+    chosen = match.behaviour_weighted(index.where(spec.condition()), spec.behaviour())
+    mean = match.centroid(index).select(F.col("e").alias("all"))
+    return mean.crossJoin(chosen).select(F.when(F.size("e") > 0, F.col("e")).otherwise(F.col("all")).alias("e"))  # a row each
+
+
+def placement(lines: DataFrame) -> DataFrame:
+    """Centroid, angle and scale of the mean of all lines (G12), in one row."""
+    points = lines.select(F.posexplode("line").alias("k", "p")).groupBy("k").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
+    mean = points.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: g.point(p["x"], p["y"])).alias("line"))
+    return mean.select(g.to_canonical(F.col("line")).alias("f")).select("f.centroid", "f.angle", "f.scale")
+
+
+def bev_lanes(rows: DataFrame, key: str, k: int = 16, radius: float = 60.0, most_variance: float = 0.001, limit: int | None = None) -> DataFrame:
+    """Straight centre lines of a bird's-eye view within the scene, resampled in 0..1.
+
+    ``rows``: key, line in metres around the vehicle. ``limit`` keeps the first by key.
+    """
+    inside = F.filter(F.transform("line", lambda p: g.point(p["x"] / (2 * radius) + 0.5, p["y"] / (2 * radius) + 0.5)), lambda p: p["x"].between(-0.1, 1.1) & p["y"].between(-0.1, 1.1))
+    kept = rows.where(F.size("line") >= 2).select(key, inside.alias("line")).where(F.size("line") >= 2)
+
+    def clip(x: Column) -> Column:
+        return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+
+    even = kept.select(key, F.transform(g.resample(F.col("line"), k), lambda p: g.point(clip(p["x"]), clip(p["y"]))).alias("line"))
+    straight = even.withColumn("variance", g.variance_pop(g.turning(F.col("line")))).where(F.col("variance") <= most_variance)
+    return straight if limit is None else straight.orderBy(key).limit(limit)

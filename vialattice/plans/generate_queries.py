@@ -320,3 +320,44 @@ def cluster_layout(spark, sf_dir):
 @query()
 def augment(spark, sf_dir):
     return flat(op.augment(scaled(spark, sf_dir).select("vec_id", "line"), "vec_id", 3), "vec_id", "copy")
+
+
+@query(f"""with {SHAPE_POINTS_SQL}, sp as (select vec_id as id, k, (px * 20 - 70) / 120 + 0.5::double as px, py * 4 / 120 + 0.5::double as py from pts where (px * 20 - 70) / 120 + 0.5::double between -0.1::double and 1.1::double),
+{resample_sql("sp", "rs", 16)},
+cl as (select id, k, least(greatest(px, 0), 1) as px, least(greatest(py, 0), 1) as py from rs),
+h as (select id, k, atan2(lead(py) over w - py, lead(px) over w - px) as h from cl window w as (partition by id order by k)),
+t as (select id, abs(h - lag(h) over (partition by id order by k)) as d from h where h is not null),
+v as (select id from t where d is not null group by id having var_pop(least(d, 2 * pi() - d)) <= 0.001::double order by id limit 40)
+select id as vec_id, k, round(px, 6) as x, round(py, 6) as y from cl where id in (select id from v)""")
+def bev_lanes(spark, sf_dir):
+    metres = shapes(spark, sf_dir).withColumn("line", F.transform("line", lambda p: g.point(p["x"] * 20 - 70, p["y"] * 4)))
+    return flat(op.bev_lanes(metres, "vec_id", limit=40), "vec_id")
+
+
+@query(f"""with {INDEX_SQL}, r as (select e, (lane % 23) / 1000::double as speed from idx where is_right),
+s as (select greatest(stddev_pop(speed), 1e-8) as s from r), w as (select e, exp(-(((speed - 0.02::double) / s) ** 2) / 2) as w from r cross join s),
+u as (select unnest(e) as x, unnest(range(len(e))) as k, w from w) select k, round(sum(w * x) / sum(w), 6) as x from u group by k""")
+def spec_resolve(spark, sf_dir):
+    rows = index(spark, sf_dir).withColumn("speed", (F.col("lane") % 23) / 1000)
+    return op.resolve(rows, spec.LaneSpec.rightmost(speed=0.02)).select(F.posexplode("e").alias("k", "x")).select(*longs("k"), *r6("x"))
+
+
+@query(f"with {SP}, m as (select k, avg(px) as px, avg(py) as py from sp group by k), s as (select *, coalesce(sqrt((px - lag(px) over w) ** 2 + (py - lag(py) over w) ** 2), 0) as step from m window w as (order by k)) select round(avg(px), 6) as x, round(avg(py), 6) as y, round(atan2(max_by(py, k) - min_by(py, k), max_by(px, k) - min_by(px, k)), 6) as angle, round(sum(step), 6) as scale from s")
+def placement(spark, sf_dir):
+    p = op.placement(scaled(spark, sf_dir))
+    return p.select(F.round("centroid.x", 6).alias("x"), F.round("centroid.y", 6).alias("y"), *r6("angle", "scale"))
+
+
+@query("with b as (select t, 0.0001::double + (0.1::double - 0.0001::double) * t / 99 as beta from (select unnest(range(100)) as t)) select t, round(beta, 9) as beta, round(exp(sum(ln(1 - beta)) over (order by t rows unbounded preceding)), 9) as alpha_bar from b")
+def diffusion_schedule(spark, sf_dir):
+    from ..operators import models
+
+    return models.schedule(spark).select("t", F.round("beta", 9).alias("beta"), F.round("alpha_bar", 9).alias("alpha_bar"))
+
+
+@query()
+def model_score(spark, sf_dir):
+    from ..operators import models
+
+    weights = models.encoder_weights(k=8)
+    return models.encode(scaled(spark, sf_dir).select("vec_id", "line"), "vec_id", weights)
