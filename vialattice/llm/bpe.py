@@ -17,6 +17,7 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,25 +29,24 @@ LONG = 256
 #: Positions fit into so many bits beside the rank in one ordering key.
 POS_BITS = 30
 
+POS_MASK = (1 << POS_BITS) - 1
+
 CONTRACT = f"""
-with recursive state(w, p, t, turn) as (
-  select w, p, t, 0 from start
+with recursive state(w, p, t, done) as (
+  select w, p, t, false from start
   union all
   select * from (
-    with near as (
-      select w, p, t, turn, lead(t) over (partition by w order by p) as t2, lead(p) over (partition by w order by p) as p2
-      from state),
+    with near as materialized (
+      select w, p, t, lead((p::bigint << 20) + t) over (partition by w order by p) as nxt from state where not done),
     pairs as (
-      select near.w, near.p, near.p2, merges.rank, (merges.rank::bigint << {POS_BITS}) + near.p as key
-      from near join merges on merges.pair = (near.t::bigint << 20) + near.t2),
-    least as (select w, min(key) as key from pairs group by w),
-    chosen as (select pairs.w, pairs.p, pairs.p2, pairs.rank from pairs join least using (w, key))
-    select near.w, near.p, case when near.p = chosen.p then chosen.rank else near.t end, near.turn + 1
-    from near join chosen on near.w = chosen.w where near.p <> chosen.p2)
-),
-last as (select w, max(turn) as turn from state group by w)
+      select near.w, near.p, near.nxt >> 20 as p2, (merges.rank::bigint << {POS_BITS}) + near.p as key
+      from near join merges on merges.pair = (near.t::bigint << 20) + (near.nxt & 1048575)),
+    least as (select w, min(struct_pack(key := key, p2 := p2)) as c from pairs group by w)
+    select near.w, near.p, case when near.p = (c.key & {POS_MASK}) then (c.key >> {POS_BITS})::int else near.t end, c is null
+    from near left join least on near.w = least.w where c is null or near.p <> c.p2)
+)
 select w, count(*)::bigint as n, string_agg(t::varchar, ' ' order by p) as ids, string_agg(vocab.hex, '' order by p) as hex
-from state join last using (w, turn) join vocab using (t)
+from state join vocab using (t) where done
 group by w order by w
 """
 
@@ -65,7 +65,7 @@ class RecursiveBpe:
 
         ranks = read_ranks(path)
         self.ranks = ranks
-        self.byte = [ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [((a << 20) + b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
         given = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
@@ -80,9 +80,10 @@ class RecursiveBpe:
     def encode(self, words: list[str], at_once: int = 50_000) -> list[tuple[int, str, bytes]]:
         """For each word: number of tokens, ids joined by spaces, and the bytes these ids decode to."""
         every = [w.encode() for w in words]
-        short = [b for b in every if len(b) <= LONG]
-        done = iter(self._by_query(short, at_once))
-        return [next(done) if len(b) <= LONG else self._by_heap(b) for b in every]
+        # a word that is a token needs no contraction
+        out = [(1, str(self.ranks[b]), b) if b in self.ranks else self._by_heap(b) if len(b) > LONG else None for b in every]
+        done = iter(self._by_query([b for b, o in zip(every, out, strict=True) if o is None], at_once))
+        return [o if o is not None else next(done) for o in out]
 
     def _by_heap(self, word: bytes) -> tuple[int, str, bytes]:
         """The same contractions for one long word, in n log n steps."""
@@ -110,11 +111,10 @@ class RecursiveBpe:
         out: list[tuple[int, str, bytes]] = []
         for at in range(0, len(words), at_once):
             coded = words[at : at + at_once]
-            rows = pa.table({
-                "w": pa.array([k for k, b in enumerate(coded) for _ in b], pa.int32()),
-                "p": pa.array([p for b in coded for p in range(len(b))], pa.int32()),
-                "t": pa.array([self.byte[x] for b in coded for x in b], pa.int32()),
-            })
+            size = np.fromiter(map(len, coded), np.int32, len(coded))
+            first = np.cumsum(size, dtype=np.int32) - size
+            w = np.repeat(np.arange(len(coded), dtype=np.int32), size)
+            rows = pa.table({"w": w, "p": np.arange(len(w), dtype=np.int32) - first[w], "t": self.byte[np.frombuffer(b"".join(coded), np.uint8)]})
             self.db.register("start", rows)
             out += [(n, ids, bytes.fromhex(code)) for _, n, ids, code in self.db.execute(CONTRACT).fetchall()]
             self.db.unregister("start")
@@ -131,7 +131,7 @@ def _memo(path: str, pattern: str) -> tuple[ChunkMemo, tuple]:
         values = list(values)
         return sum(v[0] for v in values), " ".join(v[1] for v in values), b"".join(v[2] for v in values)
 
-    return ChunkMemo(engine.encode, regex.compile(pattern).findall, join, limit=200_000), engine.encode(["\n"])[0]
+    return ChunkMemo(engine.encode, regex.compile(pattern).findall, join, limit=400_000), engine.encode(["\n"])[0]
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
