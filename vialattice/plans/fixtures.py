@@ -43,13 +43,18 @@ def lane_rows(cameras: int = 1) -> list[tuple]:
 
 
 def lanes(spark: SparkSession, cameras: int = 1) -> DataFrame:
-    """Four lanes in two groups on each camera."""
-    return spark.createDataFrame(lane_rows(cameras), "camera string, group_id int, cls_id int, waypoints array<struct<x: double, y: double>>")
+    """Four lanes in two groups on each camera, inline, so that their size is known when plans are made."""
+
+    def line(points: list[tuple]) -> str:
+        return "array(" + ", ".join(f"named_struct('x', {x}D, 'y', {y}D)" for x, y in points) + ")"
+
+    rows = ", ".join(f"('{cam}', {gid}, {cls}, {line(points)})" for cam, gid, cls, points in lane_rows(cameras))
+    return spark.sql(f"select * from values {rows} as t(camera, group_id, cls_id, waypoints)")
 
 
 def relationships(spark: SparkSession, cameras: int = 1) -> DataFrame:
-    rows = [(f"cam{c}", *r) for c in range(cameras) for r in ((1, "successor", 1, 0), (0, "adjacent", 0, 1))]
-    return spark.createDataFrame(rows, "camera string, group_id int, type string, from_cls int, to_cls int")
+    rows = ", ".join(f"('cam{c}', 1, 'successor', 1, 0), ('cam{c}', 0, 'adjacent', 0, 1)" for c in range(cameras))
+    return spark.sql(f"select * from values {rows} as t(camera, group_id, type, from_cls, to_cls)")
 
 
 def documents(spark: SparkSession, cameras: int = 1) -> DataFrame:
