@@ -73,7 +73,7 @@ def _constants(n: int, seed: int) -> np.ndarray:
 class Shingler:
     """Shingle sets of texts as sorted 64-bit hashes. Words are bytes between ASCII white space."""
 
-    def __init__(self, words: int, limit: int = 500_000):
+    def __init__(self, words: int, limit: int = 150_000):
         self.words, self.limit, self.known = words, limit, {}
         self.weights = _constants(words, 7)
 

@@ -36,7 +36,7 @@ def _memo(path: str) -> tuple[ChunkMemo, bytes]:
     def pack(pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return ChunkMemo(pack, limit=600_000), pack(["\n"])[0]
+    return ChunkMemo(pack, limit=450_000), pack(["\n"])[0]
 
 
 def cut_lengths(n: int, seq_len: int) -> list[int]:
