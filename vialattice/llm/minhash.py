@@ -45,8 +45,8 @@ class Params:
     slack: float = 4.5
     turns: int = 1
     tries: int = 3
-    at_once: int = 2048
-    codes_at_once: int = 4_000_000
+    at_once: int = 1024
+    codes_at_once: int = 2_000_000
 
     @property
     def most_apart(self) -> int:
@@ -73,7 +73,7 @@ def _constants(n: int, seed: int) -> np.ndarray:
 class Shingler:
     """Shingle sets of texts as sorted 64-bit hashes. Words are bytes between ASCII white space."""
 
-    def __init__(self, words: int, limit: int = 150_000):
+    def __init__(self, words: int, limit: int = 100_000):
         self.words, self.limit, self.known = words, limit, {}
         self.weights = _constants(words, 7)
 
@@ -195,7 +195,7 @@ def _compare(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray]:
     if part.any():
         pair &= part[:, None] != part[None, :]
     pair &= np.minimum(size[:, None], size[None, :]) * 100 >= np.maximum(size[:, None], size[None, :]) * p.percent
-    apart = np.zeros(pair.shape, np.int64)
+    apart = np.zeros(pair.shape, np.uint16)
     for word in sketches.T:
         apart += np.bitwise_count(word[:, None] ^ word[None, :])
     pair &= apart <= p.most_apart

@@ -102,7 +102,7 @@ class Lexicon:
 
     def kind(self, word: str) -> int:
         """0: no hit, 1: a term, 2: it starts with a stem, 3: a misspelled term."""
-        if len(self.states) > 20_000:
+        if len(self.states) > 10_000:
             self._reset()
         state, stem = 0, False
         for letter in word:
@@ -131,7 +131,7 @@ class Lexicon:
 class Scorer:
     """Features of texts, given a lexicon; remembers words' kinds in bounded tables."""
 
-    def __init__(self, lexicon: Lexicon, p: Params, limit: int = 150_000):
+    def __init__(self, lexicon: Lexicon, p: Params, limit: int = 80_000):
         self.lexicon, self.p, self.limit = lexicon, p, limit
         self.clean: set[str] = set()
         self.hits: dict[str, int] = {}
@@ -222,7 +222,7 @@ def _term_counts(rows: DataFrame, p: Params) -> DataFrame:
                 words = {w for w in WORD.findall((text or "").lower()) if w not in MARKS}
                 stems = {w[:n] + "*" for w in words for n in range(low, min(high, len(w)) + 1)}
                 counts[1 if toxic else 0].update(words | stems)
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 100_000:
                 yield flush()
         yield flush()
 
