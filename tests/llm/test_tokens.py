@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from vialattice.llm import bpe, packing
+from vialattice.llm import bpe, packing, tokens
 
 TEXTS = [
     "The cat, it's here.\nAnd two  spaces\t tab", "", None, "  lead", "trail ", "a\n\n b", "a \n b", "naïve café", "日本語 テキスト", "x" * 3000, "1234567 8.9 it'll we've 'quoted' “q”",
@@ -35,6 +35,23 @@ def test_encode_decode(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+#: White space that keeps the number of words equal to that of spaces and line feeds plus one.
+CANCELLING = ["a\tb\n\nc", "x\u00a0y\u00a0z\n\n\nw", "\n\u00a0\u00a0word a", "a\tb  c", " a\tb", "a\u2003b\n", "a\r\nb\n c\td"]
+
+
+def test_white_space_that_cancels(spark):
+    assert not any(map(tokens.plain, [*CANCELLING, "", " ", "a ", "\na"])) and all(map(tokens.plain, ["a", "a b\nc"]))
+    ranks, path = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    for r in bpe.encode_decode(table(spark, CANCELLING), ranks, P.PATTERN).where("doc_id is not null").collect():
+        ids = own.encode_ordinary(CANCELLING[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), CANCELLING[r["doc_id"]]
+    tokenizer = Tokenizer.from_file(path)
+    for r in packing.pack(table(spark, CANCELLING), path, 1024).where("doc_id is not null").collect():
+        ids = tokenizer.encode(CANCELLING[r["doc_id"]], add_special_tokens=False).ids + [2]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())), CANCELLING[r["doc_id"]]
+
+
 def test_heap_and_query_agree():
     engine, rng = bpe.RecursiveBpe(P.path("byte_bpe_50k.tiktoken")), random.Random(4)
     words = ["".join(rng.choice("aeth nrsé") for _ in range(rng.randint(1, 70))).encode() for _ in range(150)]

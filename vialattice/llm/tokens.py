@@ -17,7 +17,7 @@ WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,!?;:%&*$#|]*)\Z")
 
 def plain(text: str) -> bool:
     """Whether white space occurs only as single spaces and line feeds between other characters."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    return text != "" and " ".join(text.split()) == text.replace("\n", " ")
 
 
 class ChunkMemo:
