@@ -221,6 +221,32 @@ def info_nce(batch: DataFrame, pairs: DataFrame, temperature: float = 0.07) -> D
     return out.where("n_pos > 0").select(F.col("i").alias("lane"), (F.col("all") - F.col("p")).alias("loss"), "n_pos")
 
 
+def info_nce_batches(index: DataFrame, size: int = 500, temperature: float = 0.07, config: LaneConfig = DEFAULT) -> DataFrame:
+    """Contrastive loss of every lane within its batch, ``lane div size`` (N8): lane, batch, loss, n_pos.
+
+    Batches cover all lanes, so work grows with their number. Positives are as in ``positive_pairs``,
+    of the same batch. A lane without positives in its batch has a null loss and ``n_pos`` 0.
+    """
+
+    def losses(t: pd.DataFrame) -> pd.DataFrame:
+        e, role, rank = np.stack(t.e.to_numpy()), np.stack(t.role.to_numpy()), t["rank"].to_numpy()
+        left, right, camera, lane = t.is_left.to_numpy(), t.is_right.to_numpy(), t.camera.to_numpy(), t.lane.to_numpy()
+        norm = np.sqrt((role * role).sum(1)) + 1e-8
+        pos = (left[:, None] == left) & (right[:, None] == right) & (camera[:, None] != camera)
+        pos &= (np.round(np.abs(rank[:, None] - rank), 9) <= config.rank_gap) & (np.round(role @ role.T / (norm[:, None] * norm), 9) >= config.role_cosine)
+        s = e @ e.T / temperature
+        s[lane[:, None] == lane] = -np.inf  # not with itself
+        m, n_pos = s.max(axis=1, keepdims=True), pos.sum(axis=1)
+        some = n_pos > 0
+        loss = np.full(len(t), np.nan)
+        every = m[some, 0] + np.log(np.exp(s[some] - m[some]).sum(axis=1))
+        loss[some] = every - np.where(pos[some], s[some], 0).sum(axis=1) / n_pos[some]
+        return pd.DataFrame({"lane": lane, "batch": t.batch.to_numpy(), "loss": pd.Series(loss).astype(object).where(some, None), "n_pos": n_pos})
+
+    rows = index.select(F.floor(F.col("lane") / size).alias("batch"), "lane", "camera", "rank", "is_left", "is_right", "role", "e")
+    return rows.groupBy("batch").applyInPandas(losses, "lane long, batch long, loss double, n_pos long")
+
+
 def rank_consistency(predictions: DataFrame) -> DataFrame:
     """Each group's squared distance of its sorted predicted ranks from equal spacing (N9): grp, loss."""
     p = predictions.withColumn("p", v.sigmoid(F.col("pred")))

@@ -158,6 +158,17 @@ def infonce(spark, sf_dir):
     return op.info_nce(batch, op.positive_pairs(rows)).select("lane", *r6("loss"), *longs("n_pos"))
 
 
+@query(f"""with {INDEX_SQL}, lanes as (select *, lane // 500 as batch from idx),
+s as (select a.lane, a.batch, b.lane as other, list_dot_product(a.e, b.e) / 0.07::double as s,
+    a.is_left = b.is_left and a.is_right = b.is_right and a.camera <> b.camera and round(abs(a.rank - b.rank), 9) <= 0.15::double
+    and round(list_dot_product(a.role, b.role) / ((sqrt(list_dot_product(a.role, a.role)) + 1e-8) * (sqrt(list_dot_product(b.role, b.role)) + 1e-8)), 9) >= 0.8::double as pos
+  from lanes a left join lanes b on a.batch = b.batch and a.lane <> b.lane),
+m as (select *, max(s) over (partition by lane) as m from s)
+select lane, batch, round(max(m) + ln(sum(exp(s - m))) - avg(case when pos then s end), 6) as loss, sum(coalesce(pos, false)::int)::bigint as n_pos from m group by lane, batch""")
+def infonce_batches(spark, sf_dir):
+    return op.info_nce_batches(index(spark, sf_dir)).select("lane", *longs("batch"), *r6("loss"), *longs("n_pos"))
+
+
 @query(f"""with {INDEX_SQL}, p as (select grp, lane, 1 / (1 + exp(-4 * e[1])) as p, count(*) over (partition by grp) as n from idx),
 t as (select *, (row_number() over (partition by grp order by p, lane) - 1) / (n - 1)::double as t from p where n > 1) select grp, round(avg((p - t) ** 2), 6) as loss from t group by grp""")
 def rank_consistency(spark, sf_dir):
