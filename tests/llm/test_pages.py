@@ -96,6 +96,19 @@ def test_extraction():
     assert "cookies" not in html.extract(plain) and "Great" not in html.extract(plain)
 
 
+def test_extraction_without_article_keeps_all():
+    assert html.extract(PAGE.replace("article>", "div>")) == html.extract(PAGE)
+    long = "A paragraph, with words, and so on, to its end. " * 10
+    text = long.strip()
+    assert html.extract(f"<body><div><h1>Title</h1><p>{long}</p></div></body>") == f"Title\n{text}"
+    assert html.extract(f"<body><h1>Title</h1><p>Short lead</p><div><p>{long}</p></div></body>") == f"Title\nShort lead\n{text}"
+    parts = "".join(f"<div class='part'><p>{long}</p></div>" for _ in range(9))
+    assert html.extract(f"<body><div>{parts}<section><p>The last part, which is short.</p></section></div></body>").endswith("The last part, which is short.")
+    assert html.extract(f"<body><div>{parts}<div><h2>Last</h2><p>Words.</p></div></div></body>").endswith(f"{text}\nLast\nWords.")
+    assert html.extract(f"<table><tr><td><p>{long}</p></td><td>Cell, too.</td></tr></table>") == f"{text}\nCell, too."
+    assert html.extract(f"<ul><li>{long}</li><li>two</li></ul>") == f"{text}\ntwo"
+
+
 def test_extraction_edges(spark):
     for text in (None, "", "<p", "<!--", "<script>x", "<nav>only menu</nav>", "<p hidden>x</p>"):
         assert html.extract(text) == ""

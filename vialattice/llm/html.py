@@ -41,6 +41,9 @@ FURNITURE = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pager pagination masthead footer colophon copyright comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar tags toc complementary contentinfo search dialog hidden".split()
 )
 HEADER = frozenset("header topbar masthead siteheader".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold a page's regions, not a paragraph, an item, a cell or a heading.
+CONTAINERS = frozenset("html body article section main div center blockquote table tbody ul ol dl details figure".split())
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -158,7 +161,6 @@ def extract(html: str | None) -> str:
             for e in n[1]:
                 mass[e] += s * len(n[3])
     marked = [e for e, t in enumerate(tags) if t in ("article", "main") and mass.get(e)]
-    total = sum(s * len(n[3]) for n, s, good in zip(real, score, chosen, strict=True) if good)
     if marked:
         top = max(mass[e] for e in marked)
         outer = {e for e in marked if mass[e] >= 0.05 * top}
@@ -166,9 +168,9 @@ def extract(html: str | None) -> str:
         roots = set(inner) if inner and sum(mass[e] for e in inner) >= 0.5 * top else outer
         keep = [bool(roots.intersection(n[1])) for n in nodes]
     else:
-        # the deepest region that holds nearly all of what was chosen
-        region = [e for e, v in mass.items() if v >= 0.9 * total and tags[e] in BLOCK]
-        root = max(region, default=None)
+        # the deepest container that holds all that was chosen, and the page's headings
+        held = [n[1] for n, good in zip(real, chosen, strict=True) if good or any(tags[e] in HEADINGS for e in n[1])]
+        root = max((e for e in set(held[0]).intersection(*held[1:]) if tags[e] in CONTAINERS), default=None)
         keep = [root is None or root in n[1] for n in nodes]
     blocks: dict[int, list[str]] = defaultdict(list)
     for n, k in zip(nodes, keep, strict=True):
