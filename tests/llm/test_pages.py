@@ -109,6 +109,22 @@ def test_extraction_without_article_keeps_all():
     assert html.extract(f"<ul><li>{long}</li><li>two</li></ul>") == f"{text}\ntwo"
 
 
+def test_names_alone_exclude_no_content():
+    long = "A paragraph, with words, and so on, to its end. " * 10
+    text = long.strip()
+    for open_, close in (
+        ('<body class="has-sidebar">', "</body>"), ('<body class="search">', "</body>"), ('<main class="search-result">', "</main>"), ('<article class="post comments-open">', "</article>"),
+        ('<article class="related-story">', "</article>"), ('<div class="content with-sidebar">', "</div>"), ('<div id="no-comments">', "</div>"), ('<div class="related-story">', "</div>"), ('<div class="search">', "</div>"),
+    ):
+        page = f"{open_}<h1>Title</h1><p>{long}</p><p>Short.</p><div class='share'>Share, please.</div><div id='comments'><p>Great, I like it.</p></div>{close}"
+        assert html.extract(page) == f"Title\n{text}\nShort.", open_
+    # what is named as furniture and holds less stays furniture, long or nested
+    assert html.extract(f"<div><h1>T</h1><p>{long}</p></div><div class='sidebar'><p>{long * 3}</p></div>") == f"T\n{text}"
+    assert html.extract(f"<div class='ad'>{long}</div><div><h1>T</h1><p>Short.</p></div>") == "T\nShort."
+    assert html.extract(f"<article><p>{long}</p><article class='comment'><p>I agree, too.</p></article></article>") == text
+    assert html.extract(f"<article><p>{long}</p><div hidden><p>{long * 20}</p></div></article>") == text
+
+
 def test_extraction_edges(spark):
     for text in (None, "", "<p", "<!--", "<script>x", "<nav>only menu</nav>", "<p hidden>x</p>"):
         assert html.extract(text) == ""

@@ -4,7 +4,8 @@ Every text node has a path of tags from the root. Over a page, each path's text
 punctuation per node are counted, smoothed over the sequence of nodes, and fused with what stands
 beside it under the same parent; paths whose score passes a threshold taken from the page's own
 spread select the region that holds the article. Paths that run through navigation, headers,
-footers, asides, forms, notices, adverts or comments are never content.
+footers, asides, forms, notices, adverts or comments are never content. What is furniture by its
+class, id or role only, is asked for its share of the page's scored text first.
 """
 
 from __future__ import annotations
@@ -41,31 +42,48 @@ FURNITURE = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pager pagination masthead footer colophon copyright comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar tags toc complementary contentinfo search dialog hidden".split()
 )
 HEADER = frozenset("header topbar masthead siteheader".split())
+#: Words that tell what an element has or how it stands, before and after the word they belong to.
+BEFORE = frozenset("has have with without no not non".split())
+AFTER = frozenset("open opened closed enabled disabled".split())
+#: Shares of a page's scored text from which a name tells no furniture: if it has other words too, and if not.
+SHARES = (0.5, 0.9)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that hold a page's regions, not a paragraph, an item, a cell or a heading.
 CONTAINERS = frozenset("html body article section main div center blockquote table tbody ul ol dl details figure".split())
 
 
-def _furniture(tag: str, attributes: str) -> bool:
-    if not attributes:
-        return False
+def _hidden(attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in NAME_PARTS.findall(value)}
-            if words & FURNITURE or (words & HEADER and tag != "h1"):
-                return True
     return False
 
 
+def _furniture(tag: str, attributes: str) -> float:
+    """The share of the page that an element must hold to be content in spite of its names; 0: any."""
+    share = 0.0
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id", "role"):
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in NAME_PARTS.findall(name)]
+            for k, w in enumerate(words):
+                if not (w in FURNITURE or w in HEADER and tag != "h1"):
+                    continue
+                if k and words[k - 1] in BEFORE or k + 1 < len(words) and words[k + 1] in AFTER:
+                    continue
+                share = max(share, SHARES[all(x in FURNITURE or x in HEADER for x in words)])
+    return share
+
+
 class _Page:
-    """Text nodes of a page in order: (block, node path, in furniture, text)."""
+    """Text nodes of a page in order: (block, node path, in furniture, text); names are judged later."""
 
     def __init__(self, html: str):
         self.nodes: list[tuple[int, tuple[int, ...], bool, str]] = []
         self.tags: list[str] = []  # of each element
+        self.named: dict[int, float] = {}  # elements with names of furniture: share that overrules these
         self.stack: list[tuple[str, int, bool]] = []
         self.block = 0
         at = 0
@@ -114,7 +132,11 @@ class _Page:
             return
         bad = bool(self.stack) and self.stack[-1][2]
         inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        bad = bad or tag in NEVER or tag == "header" and not inside or _furniture(tag, attributes)
+        bad = bad or tag in NEVER or tag == "header" and not inside or bool(attributes) and _hidden(attributes)
+        # an article within another is a comment on it or a teaser
+        named = attributes and not bad and tag not in ("html", "body", "main") and (tag != "article" or any(t == "article" for t, _, _ in self.stack))
+        if named and (share := _furniture(tag, attributes)):
+            self.named[len(self.tags)] = share
         self.tags.append(tag)
         self.stack.append((tag, len(self.tags) - 1, bad))
 
@@ -136,14 +158,8 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), "valid")
 
 
-def extract(html: str | None) -> str:
-    """The article's blocks, one a line; an empty string where there is none."""
-    page = _Page(html or "")
-    nodes = [n for n in page.nodes if not n[2]]
-    real = [n for n in nodes if n[3].strip()]
-    if not real:
-        return ""
-    tags = page.tags
+def _weigh(real: list, tags: list[str]) -> tuple[np.ndarray, dict[int, float]]:
+    """Which nodes are chosen, and each element's mass: its chosen nodes' scores by length."""
     paths = ["/".join(tags[e] for e in n[1]) for n in real]
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, n in zip(paths, real, strict=True):
@@ -158,8 +174,28 @@ def extract(html: str | None) -> str:
     mass: dict[int, float] = defaultdict(float)
     for n, s, good in zip(real, score, chosen, strict=True):
         if good:
-            for e in n[1]:
+            for e in (-1, *n[1]):  # -1: the page
                 mass[e] += s * len(n[3])
+    return chosen, mass
+
+
+def extract(html: str | None) -> str:
+    """The article's blocks, one a line; an empty string where there is none."""
+    page = _Page(html or "")
+    tags = page.tags
+    nodes = [n for n in page.nodes if not n[2]]
+    real = [n for n in nodes if n[3].strip()]
+    if page.named and real:
+        _, mass = _weigh(real, tags)
+        # names without other words hold, too, for what has no heading beside other text
+        heads = {e for n in real if any(tags[h] in HEADINGS for h in n[1]) for e in n[1]}
+        others = any(page.named.keys().isdisjoint(n[1]) for n in real)
+        named = {e for e, share in page.named.items() if mass.get(e, 0.0) < share * mass[-1] or share == SHARES[1] and others and e not in heads}
+        nodes = [n for n in nodes if named.isdisjoint(n[1])]
+        real = [n for n in nodes if n[3].strip()]
+    if not real:
+        return ""
+    chosen, mass = _weigh(real, tags)
     marked = [e for e, t in enumerate(tags) if t in ("article", "main") and mass.get(e)]
     if marked:
         top = max(mass[e] for e in marked)
