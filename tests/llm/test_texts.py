@@ -36,6 +36,13 @@ def test_automaton_against_edit_distance():
         assert lexicon.kind(w) == want, w
 
 
+def test_stems_that_are_terms():
+    lexicon = toxicity.Lexicon(["idiot"], ["idio", "idiot", "idioti"], frozenset(), 5)
+    assert [lexicon.kind(w) for w in ("idiot", "idiotic", "idiotisch", "idiom", "idyot", "idi", "iddiotic")] == [1, 2, 2, 2, 3, 0, 0]
+    lexicon = toxicity.Lexicon(["idiot"], ["idiot"], frozenset(), 5)
+    assert [lexicon.kind(w) for w in ("idiotic", "idiots", "idio")] == [2, 2, 3]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(7)

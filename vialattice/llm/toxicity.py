@@ -77,7 +77,7 @@ class Lexicon:
 
     def _reset(self) -> None:
         start = self._closed({(0, 0)})
-        self.ids, self.states, self.moves, self.accept = {start: 0}, [start], [{}], [self._value(start)]
+        self.ids, self.states, self.moves, self.accept, self.stemmed = {start: 0}, [start], [{}], [self._value(start)], [False]
 
     def _closed(self, items: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         """With what is reached by leaving out a letter of the term."""
@@ -95,7 +95,7 @@ class Lexicon:
         return self._closed(out)
 
     def _value(self, state: frozenset[tuple[int, int]]) -> int:
-        """1: a term. 3: a term within an edit. Stems are seen on the way."""
+        """1: a term. 3: a term within an edit. Stems are flags of their own, seen on the way."""
         if any(self.term[n] and not e for n, e in state):
             return 1
         return 3 if any(self.term[n] >= self.fuzzy_from and e for n, e in state) else 0
@@ -115,11 +115,11 @@ class Lexicon:
                     to = self.ids[items] = len(self.states)
                     self.states.append(items)
                     self.moves.append({})
-                    self.accept.append(self._value(items) or (2 if any(self.stem[n] and not e for n, e in items) else 0))
+                    self.accept.append(self._value(items))
+                    self.stemmed.append(any(self.stem[n] and not e for n, e in items))
                 moves[letter] = to
             state = to
-            value = self.accept[state]
-            stem = stem or value == 2
+            stem = stem or self.stemmed[state]
             if not self.states[state]:
                 break
         value = self.accept[state]
