@@ -117,6 +117,29 @@ def test_surrogates_are_distinct():
     assert sorted(s.number(97, x, "t") for x in range(97)) == list(range(97))
 
 
+def test_names_are_distinct_under_any_title():
+    s = pii.Surrogates("k")
+    for first, rest, vowels in (("AEIOUY", "bcdfghjklmnpqrstvwxz", "aeiouy"), ("АЕЁИОУЫЭЮЯ", "бвг", "аеёиоуыэюя")):
+        names = [a + b + c for a in first for b in rest for c in vowels]
+        for title in ("Mrs.", "Dr."):
+            got = [s.replace("name", f"{title} {n}") for n in names]
+            assert len(set(got)) == len(names) and all(g != f"{title} {n}" and (g[-1] == n[-1] or n[-1] not in "aoая") for g, n in zip(got, names, strict=True))
+    words = [s.replace("name", f"{t} Anna Smith").removeprefix(t) for t in ("Dr.", "Mrs.", "Herr", "Prof.")]
+    assert len(set(words)) == 1 and words[0].split()[0].endswith("a")
+
+
+def test_collisions_are_resolved():
+    s = pii.Surrogates("k")
+    s.replace = lambda kind, x: {"111-11-1111": "333-33-3333", "222-22-2222": "333-33-3333", "333-33-3333": "555-55-5555"}.get(x, "444-44-4444")
+    new, found = pii.find_and_replace("111-11-1111, 222-22-2222, 222-22-2222 and 111-11-1111", s)
+    values = [f[3] for f in found]
+    assert values[0] == values[3] != values[1] == values[2] and len(new) == 53
+    s.replace = lambda kind, x: "333-33-3333"  # nothing else is there to take
+    assert len(pii.find_and_replace("111-11-1111, 222-22-2222", s)[1]) == 2
+    text = "Mr. Smith, Mr. 王 and Mr. Ωω"
+    assert pii.find_and_replace(text, pii.Surrogates("k"))[0].startswith("Mr. ")
+
+
 def test_pseudonymize(spark):
     rows = [(1, "call 202-555-0143 now"), (2, None), (3, ""), (4, "clean text, really."), (None, "a@b.org"), (5, "x " * 100_000 + "a@b.org")]
     df = spark.createDataFrame([(i, t, len(t or ""), "z") for i, t in rows], "doc_id long, text string, n_chars long, Entities string")

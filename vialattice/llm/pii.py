@@ -31,6 +31,9 @@ TITLES = tuple(sorted((t for v in HONORIFICS.values() for t in v), key=len, reve
 #: Letters that are exchanged among themselves.
 ALPHABETS = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñßšžčđ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 CLASS = {c: a for a in ALPHABETS for c in a} | {c.upper(): a.upper() for a in ALPHABETS[1:] for c in a if len(c.upper()) == 1 and c.upper() != c}
+#: Last letters that often mark gender. They stay, and no other letter becomes one of them.
+ENDINGS = "aoая"
+LAST = {c: "".join(x for x in a if x not in ENDINGS) for c, a in CLASS.items() if c not in ENDINGS}
 HEX = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
 ENTITY = re.compile(
     r"(?P<secret>\bAKIA[A-Z0-9]{16}\b|\b(?:password|passwd|pwd|secret|api_key|apikey|token)\s*[=:]\s*\"?[A-Za-z0-9+/_\-]{8,}\"?)"
@@ -79,9 +82,10 @@ class Surrogates:
         key = f"{tag}|{n}".encode()
         return self._permuted(n, (self._permuted(n, x, key, True) + 1) % n, key, False)
 
-    def text(self, s: str, tag: str, keep: frozenset[int] = frozenset(), kinds: dict[str, str] = CLASS) -> str:
-        """Replace each character by one of its alphabet, but those at the places to keep."""
-        places = [(k, kinds[c]) for k, c in enumerate(s) if k not in keep and c in kinds]
+    def text(self, s: str, tag: str, keep: frozenset[int] = frozenset(), kinds: dict[str, str] = CLASS, last: dict[str, str] | None = None) -> str:
+        """Replace each character by one of its alphabet, but those at the places to keep; ``last``: the last one's alphabets."""
+        alphabets = [kinds] * (len(s) - 1) + [kinds if last is None else last]
+        places = [(k, kinds[c]) for k, (c, kinds) in enumerate(zip(s, alphabets)) if k not in keep and c in kinds]
         n, x = 1, 0
         for k, alphabet in places:
             x, n = x * len(alphabet) + alphabet.index(s[k]), n * len(alphabet)
@@ -153,9 +157,8 @@ class Surrogates:
             return None
         if len(words) > 2 and not words[-1][:1].isupper():  # the word after the name is no part of it
             words = words[: next(k for k, w in enumerate(words) if k % 2 == 0 and not w[:1].isupper()) - 1]
-        gender = next(g for g, v in HONORIFICS.items() if title in v)
-        # the last letter often marks gender (-a, -o), so it stays in names of people whose gender is told
-        new = [w if k % 2 else self.text(w, "name", frozenset({len(w) - 1}) if gender and len(w) > 2 and w[-1] in "aoая" else frozenset()) for k, w in enumerate(words)]
+        # one permutation for a word, whatever its title is; -a and -o stay apart from other last letters
+        new = [w if k % 2 else self.text(w, "name", last=LAST if len(w) > 2 else None) for k, w in enumerate(words)]
         gap = s[len(title) : len(s) - len(s[len(title) :].lstrip())]
         return title + gap + "".join(new) + s[len(title) + len(gap) + len("".join(words)) :]
 
@@ -165,17 +168,28 @@ def find_and_replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple
     if not DIGIT.search(text) and "@" not in text and not any(t in text for t in TITLES) and "AKIA" not in text and "=" not in text and ":" not in text:
         return text, []
     parts, found, at = [], [], 0
+    given: dict[tuple[str, str], str] = {}
+    taken: set[tuple[str, str]] = set()
     for m in ENTITY.finditer(text):
-        new = surrogates.replace(m.lastgroup, m[0])
+        kind, original = m.lastgroup, m[0].lower() if m.lastgroup == "email" else m[0]
+        new = given.get((kind, original))
+        if new is None:
+            new = first = surrogates.replace(kind, m[0])
+            # another entity of the document has it: the surrogate's own surrogate, until one is free or all were seen
+            while (kind, new) in taken or new == original != first:
+                new = surrogates.replace(kind, new)
+                if new is None or new == first:
+                    new = first
+                    break
+            if new is not None:
+                given[kind, original] = new
+                taken.add((kind, new))
         if new is not None:
             parts += [text[at : m.start()], new]
-            found.append((m.lastgroup, m.start(), m.end(), new))
+            found.append((kind, m.start(), m.end(), new))
             at = m.end()
     if not found:
         return text, []
-    originals = {(k, text[s:e].lower() if k == "email" else text[s:e]) for k, s, e, _ in found}
-    if len({(k, n) for k, _, _, n in found}) != len(originals):
-        raise AssertionError("two entities of a document share a surrogate")
     return "".join([*parts, text[at:]]), found
 
 
