@@ -18,3 +18,13 @@ def test_every_lane_has_a_batch(spark, tmp_path):
     batch = index(spark, str(tmp_path)).where("lane >= 500 and lane < 1000")
     for r in match.info_nce(batch, match.positive_pairs(batch)).collect():
         assert abs(r["loss"] - got[r["lane"]]["loss"]) < 1e-5 and r["n_pos"] == got[r["lane"]]["n_pos"]
+
+
+def test_groups_to_match_grow_with_the_table(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (200, 1000):
+        rows = [(k, rng.normal(size=8).tolist(), 0) for k in range(n)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = match_queries.heading_match_all(spark, f"{tmp_path}/{n}").collect()
+        assert sorted(r["query"] for r in got) == [*range(n)] and all(r["group_id"] // 10 == r["query"] // 50 for r in got)
+        assert len({r["group_id"] for r in got}) > n / 5 * 0.7

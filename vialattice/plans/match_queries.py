@@ -137,6 +137,18 @@ def heading_match(spark, sf_dir):
     return op.heading_match(asked, groups, claimed).select("query", "group_id", *r6("score"))
 
 
+@query("""with g as (select vec_id // 5 as group_id, vec_id // 50 as cam, atan2(sum(embedding[2]::double), sum(embedding[1]::double)) as h from embeddings group by all),
+q as (select vec_id as query, vec_id // 50 as cam, atan2(embedding[4]::double, embedding[3]::double) as h from embeddings),
+m as (select query, group_id, greatest(cos(q.h - g.h), cos(q.h - g.h + pi())) as score from q join g on q.cam = g.cam)
+select query, arg_min(group_id, struct_pack(s := -round(score, 9), g := group_id)) as group_id, round(max(score), 6) as score from m group by query""")
+def heading_match_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("camera", F.floor(F.col("vec_id") / 50).cast("string"))
+    x, y = (F.sum(F.col("embedding")[k].cast("double")) for k in (0, 1))
+    groups = e.groupBy("camera", F.floor(F.col("vec_id") / 5).alias("group_id")).agg(F.atan2(y, x).alias("group_heading"))
+    asked = e.select("camera", F.col("vec_id").alias("query"), F.atan2(F.col("embedding")[3].cast("double"), F.col("embedding")[2].cast("double")).alias("heading"))
+    return op.heading_match(asked, groups).select("query", "group_id", *r6("score"))
+
+
 @query(f"""with {INDEX_SQL}, s as (select a.camera, a.lane, avg(list_dot_product(a.e, b.e)) as mean_sim from idx a join idx b on a.camera <> b.camera group by all),
 r as (select *, row_number() over (partition by camera order by round(mean_sim, 9) desc, lane) as rn from s)
 select camera, lane, round(mean_sim, 6) as mean_sim from r where rn = 1 order by camera limit 6""")
