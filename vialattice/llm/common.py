@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,9 +55,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keep_columns(df: DataFrame, *names: str) -> list[Column]:
-    """The named columns, read without regard to other columns that may clash by case or dots."""
-    return [F.col(f"`{n}`") for n in names]
+def place(names: Sequence[str], name: str) -> int:
+    """Where a column is: the one of exactly this name, else the only one that differs by case."""
+    if name in names:
+        return list(names).index(name)
+    found = [k for k, n in enumerate(names) if n.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"there is no column {name}, or more than one, among {', '.join(names)}")
+    return found[0]
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, whatever others there are; names that differ by case don't clash."""
+    at = [place(df.columns, n) for n in names]
+    if len({n.lower() for n in df.columns}) == len(df.columns):
+        return df.select(*(F.col(f"`{df.columns[k]}`").alias(n) for k, n in zip(at, names, strict=True)))
+    numbered = df.toDF(*(f"_{k}" for k in range(len(df.columns))))
+    return numbered.select(*(F.col(f"_{k}").alias(n) for k, n in zip(at, names, strict=True)))
 
 
 def batches(iterator: Iterator, rows: int) -> Iterator:
@@ -86,6 +100,28 @@ def grouped(stream: Iterator[pa.RecordBatch], keys: Sequence[int]) -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def whole_groups(stream: Iterator[pa.RecordBatch], keys: Sequence[int], rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows (but the last) that no run of equal integer keys crosses."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        values = np.stack([t.column(k).to_numpy() for k in keys], axis=1)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        if len(cuts):
+            yield t.slice(0, cuts[-1]).combine_chunks()
+            t = t.slice(cuts[-1])
+        held, n = t.combine_chunks().to_batches(), t.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def spread(near: np.ndarray) -> np.ndarray:
     """Least index that each index reaches over a symmetric boolean matrix."""
     out = np.full(len(near), -1)

@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from . import files
-from .common import keep_columns, new_path
+from .common import new_path, pick
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -113,7 +113,7 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = 32 << 20) ->
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    docs.select(*keep_columns(docs, "doc_id", "text")).mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    pick(docs, "doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
 
 
 @dataclass

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_columns
+from .common import batches, pick, place
 
 #: Honorifics before a person's name, by gender.
 HONORIFICS = {
@@ -211,13 +211,12 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
             lists = [[dict(zip(("kind", "start", "end", "surrogate"), f, strict=True)) for f in found] for _, found in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for f in lists], pa.int64()), pa.array(lists, kind)], names=["doc_id", "text", "n_entities", "entities"])
 
-    return docs.select(*keep_columns(docs, "doc_id", "text")).mapInArrow(run, f"doc_id long, text string, n_entities long, entities {ENTITIES}")
+    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, text string, n_entities long, entities {ENTITIES}")
 
 
 def replace_text(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its own columns, with surrogates in ``text`` and ``n_chars`` of the new text."""
-    names = [n.lower() for n in docs.columns]
-    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    text, chars = place(docs.columns, "text"), place(docs.columns, "n_chars") if "n_chars" in {n.lower() for n in docs.columns} else None
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
@@ -237,6 +236,6 @@ def replace_text(docs: DataFrame, key: str) -> DataFrame:
 def collisions(docs: DataFrame, key: str) -> DataFrame:
     """(kind, surrogate) that stand for more than one entity of the corpus; there should be none."""
     found = pseudonymize(docs, key).select(F.explode("entities").alias("e"), "doc_id").select("e.*", "doc_id")
-    texts = docs.select(*keep_columns(docs, "doc_id", "text"))
+    texts = pick(docs, "doc_id", "text")
     pairs = found.join(texts, "doc_id").select("kind", "surrogate", F.lower(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("original"))
     return pairs.groupBy("kind", F.lower("surrogate").alias("surrogate")).agg(F.min("original").alias("first"), F.max("original").alias("last")).where("first <> last")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_columns, materialize
+from .common import batches, materialize, pick, place
 
 WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 MARKS = frozenset("\"“”„«»")
@@ -248,12 +248,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     empty and every score is the share of toxic rows among the labelled, 0 if there are none.
     """
     p = p or Params()
-    given = labels.select(*keep_columns(labels, "doc_id", "toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    given = pick(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = given.where("toxic = 1").orderBy(*order).limit(p.fit_toxic).union(given.where("toxic <> 1").orderBy(*order).limit(p.fit_other))
     chosen, _ = materialize(chosen, "chosen")  # at most fit_toxic + fit_other ids
-    texts = docs.select(*keep_columns(docs, "doc_id", "text"))
+    texts = pick(docs, "doc_id", "text")
     sample, _ = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
@@ -290,14 +290,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.asarray([scorer.features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    scored = docs.select(*keep_columns(docs, "doc_id", "text")).mapInArrow(run, "doc_id long, score double")
+    scored = pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= model.p.threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs``, with all their columns, that the model doesn't reject."""
-    names = docs.columns
-    at = [n.lower() for n in names].index("text")
+    at = place(docs.columns, "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import keep_columns, new_path
+from .common import new_path, pick
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,7 +103,7 @@ def _shard(pages: DataFrame, rows_per_shard: int) -> tuple[Column, int]:
 
 def write(pages: DataFrame, path: str, rows_per_shard: int = 2000, roll_bytes: int = 16 << 20, level: int = 4) -> DataFrame:
     """Write archives under ``path``; returns the manifest, which is kept in ``path/manifest``."""
-    rows = pages.select(*keep_columns(pages, "page_id", "url", "html"))
+    rows = pick(pages, "page_id", "url", "html")
     shard, shards = _shard(rows, rows_per_shard)
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     # of pages with equal payloads, all but the last are revisits of it
