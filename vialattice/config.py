@@ -18,9 +18,9 @@ class LaneConfig:
     max_trajectories: int = 50
     rank_gap: float = 0.15
     role_cosine: float = 0.8
-    window_size: float = 432_000.0
-    window_stride: float = 216_000.0
-    window_total: float = 2_592_000.0
+    window_size: float = 300.0
+    window_stride: float = 150.0
+    window_total: float = 1800.0
     min_window_trajectories: int = 2
     z_limit: float = 2.0
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .ranking import MODULUS, drawn
 
 GROUP = ["camera", "group_id"]
 
@@ -270,14 +271,63 @@ def best_candidate(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "candidate")).alias("b")).select(*keys, F.col("b.candidate").alias("candidate"))
 
 
-def augment(lines: DataFrame, key: str, factor: int = 10, angle: float = 0.26, noise: float = 0.005, seed: int = 42) -> DataFrame:
-    """Rotated and shaken copies of canonical lines (R2-R4): key, copy, line; the same on every run."""
-    u = lambda tag: F.pmod(F.xxhash64(F.col(key), F.col("copy"), F.lit(tag), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0) - 0.5
-    rows = lines.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(factor)))).withColumn("a", u("angle") * (2 * angle))
-    shaken = F.transform("line", lambda p, i: g.point(p["x"] * F.cos("a") - p["y"] * F.sin("a") + noise * (F.pmod(F.xxhash64(F.col(key), F.col("copy"), i, F.lit(seed)), F.lit(2001)) / 1000.0 - 1), p["x"] * F.sin("a") + p["y"] * F.cos("a") + noise * (F.pmod(F.xxhash64(F.col(key), i, F.col("copy"), F.lit(seed + 1)), F.lit(2001)) / 1000.0 - 1)))
+def augment(lines: DataFrame, key: str, factor: int = 10, angle: float = 0.26, noise: float = 0.005, keep: float = 1.0, seed: int = 42) -> DataFrame:
+    """Rotated and shaken copies of canonical lines (R2, R3): an integer key, copy, line; the same on every run.
+
+    ``keep``: share of inner points that a copy keeps (ends stay), by their draws.
+    """
+    rows = lines.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(factor))))
+
+    def unit(tag: int, *more: Column) -> Column:
+        return drawn(F.col(key) * factor + F.col("copy"), F.lit(tag), *more, seed=seed) / float(MODULUS)
+
+    rows = rows.withColumn("a", (2 * unit(1) - 1) * angle)
+
+    def at(p: Column, k: Column) -> Column:
+        x, y = p["x"] * F.cos("a") - p["y"] * F.sin("a"), p["x"] * F.sin("a") + p["y"] * F.cos("a")
+        return g.point(x + (2 * unit(2, k) - 1) * noise, y + (2 * unit(3, k) - 1) * noise)
+
+    shaken = F.transform("line", at)
+    if keep < 1:
+        shaken = F.filter(shaken, lambda p, k: (k == 0) | (k == F.size("line") - 1) | (unit(4, k) < keep))
     return rows.select(key, "copy", shaken.alias("line"))
 
 
+def augment_pairs(pairs: DataFrame, key: str, factor: int = 10, degrees: float = 15.0, jitter: float = 0.02, stretch: tuple[float, float] = (0.9, 1.1), noise: float = 0.01, dropped: float = 0.3, seed: int = 42) -> DataFrame:
+    """Copies of relational pairs, both lanes turned, moved and stretched alike.
+
+    ``pairs``: an integer key, target_line, neighbour_line, merge_point, offset. A share of copies
+    loses its relation: the neighbour, merge point and offset become 0. Draws are hashes of key, copy
+    and place, so every run gives the same; noise is uniform.
+    """
+    rows = pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+
+    def unit(tag: int, *more: Column) -> Column:
+        return drawn(F.col(key) * factor + F.col("copy"), F.lit(tag), *more, seed=seed) / float(MODULUS)
+
+    rows = rows.withColumn("angle", (2 * unit(1) - 1) * math.radians(degrees)).withColumn("shift", (2 * unit(2) - 1) * jitter).withColumn("by", stretch[0] + unit(3) * (stretch[1] - stretch[0])).withColumn("has_relation", unit(4) >= dropped)
+
+    def moved(line: str, tag: int) -> Column:
+        def at(p: Column, k: Column) -> Column:
+            x = (p["x"] * F.cos("angle") - p["y"] * F.sin("angle")) * F.col("by")
+            y = p["x"] * F.sin("angle") + p["y"] * F.cos("angle") + F.col("shift")
+            return g.point(x + (2 * unit(tag, k) - 1) * noise, y + (2 * unit(tag + 1, k) - 1) * noise)
+
+        return F.transform(line, at)
+
+    kept = F.col("has_relation")
+    gone = F.transform("neighbour_line", lambda p: g.point(F.lit(0.0), F.lit(0.0)))
+    return rows.select(
+        key,
+        "copy",
+        moved("target_line", 5).alias("target_line"),
+        F.when(kept, moved("neighbour_line", 7)).otherwise(gone).alias("neighbour_line"),
+        F.when(kept, F.col("merge_point")).otherwise(0.0).alias("merge_point"),
+        F.when(kept, F.col("offset")).otherwise(0.0).alias("offset"),
+        "has_relation",
+    )
+
+
 def resolve(index: DataFrame, spec) -> DataFrame:
     """One row with the mean vector of the lanes that a specification matches, nearer behaviour weighing more.
 

@@ -147,31 +147,95 @@ def behaviour_weighted(index: DataFrame, wanted: dict[str, float]) -> DataFrame:
     return centroid(rows, F.col("w"))
 
 
-def pair_types(index: DataFrame, block: int = 2048) -> DataFrame:
+KINDS = ("same group", "same camera", "same rank", "other")
+#: Ranges of similarity that pairs are counted in first.
+FINE = 1 << 14
+
+
+def _pair_blocks(index: DataFrame, block: int | None) -> DataFrame:
+    """Lanes dealt to pairs of blocks, enough of these to keep a cluster busy."""
+    n = index.count()
+    blocks = max(1, -(-n // (block or max(128, min(2048, n // 16)))))
+    b = F.pmod(F.xxhash64("lane"), F.lit(blocks)).cast("int")
+    rows = index.select(b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"), "lane", "camera", "grp", "rank", "e")
+    return rows.select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "lane", "camera", "grp", "rank", "e")
+
+
+def _pairs_of(t: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lanes by number, and places, kind and similarity of their pairs; of two blocks only pairs across."""
+    t = t.sort_values("lane", ignore_index=True)
+    i, j = np.triu_indices(len(t), 1)
+    own = t.b.to_numpy()
+    if int(t.bi.iloc[0]) != int(t.bj.iloc[0]):
+        keep = own[i] != own[j]
+        i, j = i[keep], j[keep]
+    e = np.stack(t.e.to_numpy())
+    cam, grp, rank = (pd.factorize(t[c])[0] if c != "rank" else t[c].to_numpy() for c in ("camera", "grp", "rank"))
+    sim = (e @ e.T)[i, j]
+    same_cam, near = cam[i] == cam[j], np.round(np.abs(rank[i] - rank[j]), 9) < 0.15
+    return t, i, j, np.where(same_cam, np.where(grp[i] == grp[j], 0, 1), np.where(near, 2, 3)), sim
+
+
+def pair_types(index: DataFrame, block: int | None = None) -> DataFrame:
     """Every pair's kind and similarity (J18), compared in blocks: i, j, kind, sim."""
-    n = max(1, -(-index.count() // block))
-    b = F.pmod(F.xxhash64("lane"), F.lit(n)).cast("int")
-    rows = index.select(b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"), "lane", "camera", "grp", "rank", "e").select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "lane", "camera", "grp", "rank", "e")
 
     def pairs(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.drop_duplicates("lane").sort_values("lane")
-        i, j = np.triu_indices(len(t), 1)
-        own, b, first = t.b.to_numpy(), int(t.bj.iloc[0]), int(t.bi.iloc[0])
-        if first != b:
-            keep = own[i] != own[j]
-            i, j = i[keep], j[keep]
-        e, lane, cam, grp, rank = np.stack(t.e.to_numpy()), t.lane.to_numpy(), t.camera.to_numpy(), t.grp.to_numpy(), t["rank"].to_numpy()
-        sim = np.einsum("ij,ij->i", e[i], e[j]) if len(i) else np.zeros(0)
-        same_cam, near = cam[i] == cam[j], np.round(np.abs(rank[i] - rank[j]), 9) < 0.15
-        kind = np.where(same_cam & (grp[i] == grp[j]), "same group", np.where(same_cam, "same camera", np.where(near, "same rank", "other")))
-        return pd.DataFrame({"i": lane[i], "j": lane[j], "kind": kind.astype(object), "sim": sim})
-
-    return rows.groupBy("bi", "bj").applyInPandas(pairs, "i long, j long, kind string, sim double")
-
-
-def pair_type_stats(pairs: DataFrame) -> DataFrame:
-    """Box statistics of the similarities of each kind of pair."""
-    return pairs.groupBy("kind").agg(F.count("*").alias("n"), F.percentile("sim", 0.25).alias("q1"), F.percentile("sim", 0.5).alias("median"), F.percentile("sim", 0.75).alias("q3"), F.avg("sim").alias("mean"))
+        t, i, j, kind, sim = _pairs_of(t)
+        lane = t.lane.to_numpy()
+        return pd.DataFrame({"i": lane[i], "j": lane[j], "kind": np.asarray(KINDS, object)[kind], "sim": sim})
+
+    return _pair_blocks(index, block).groupBy("bi", "bj").applyInPandas(pairs, "i long, j long, kind string, sim double")
+
+
+def pair_type_stats(index: DataFrame, block: int | None = None) -> DataFrame:
+    """Box statistics of the similarities of each kind of pair (A18), exact, without a row for each pair.
+
+    Tasks count pairs by kind and range of similarity. The ranges that hold the quartiles are known
+    from the counts, and only similarities in these come out of a second pass.
+    """
+    rows = _pair_blocks(index, block)
+
+    def fine(sim: np.ndarray) -> np.ndarray:
+        return np.clip(((sim + 1.0) * (FINE / 2)).astype(np.int64), 0, FINE - 1)
+
+    def count(t: pd.DataFrame) -> pd.DataFrame:
+        *_, kind, sim = _pairs_of(t)
+        at = kind * FINE + fine(sim)
+        n, total = np.bincount(at, minlength=4 * FINE), np.bincount(at, sim, 4 * FINE)
+        some = np.flatnonzero(n)
+        return pd.DataFrame({"kind": some // FINE, "fine": some % FINE, "n": n[some], "total": total[some]})
+
+    found = rows.groupBy("bi", "bj").applyInPandas(count, "kind int, fine int, n long, total double")
+    counts = found.groupBy("kind", "fine").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()  # at most 4 * FINE rows
+    asked: dict[int, set[int]] = {}
+    ranks: list[tuple[int, str, int, int, float]] = []  # kind, quartile, range, place in the range, weight
+    sizes: dict[int, tuple[int, float]] = {}
+    for kind, part in counts.sort_values(["kind", "fine"]).groupby("kind"):
+        end = part.n.cumsum().to_numpy()
+        sizes[int(kind)] = int(end[-1]), float(part.total.sum())
+        for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            at = (int(end[-1]) - 1) * q
+            for place, weight in ((int(at), 1 - at % 1), (int(at) + 1, at % 1)):
+                if weight:
+                    k = int(np.searchsorted(end, place, "right"))
+                    asked.setdefault(int(kind), set()).add(int(part.fine.iloc[k]))
+                    ranks.append((int(kind), name, int(part.fine.iloc[k]), place - int(end[k] - part.n.iloc[k]), weight))
+    wanted = np.array(sorted(kind * FINE + f for kind, some in asked.items() for f in some), np.int64)
+
+    def select(t: pd.DataFrame) -> pd.DataFrame:
+        *_, kind, sim = _pairs_of(t)
+        at = kind * FINE + fine(sim)
+        keep = np.isin(at, wanted)
+        return pd.DataFrame({"kind": at[keep] // FINE, "fine": at[keep] % FINE, "sim": sim[keep]})
+
+    spark = index.sparkSession
+    values = rows.groupBy("bi", "bj").applyInPandas(select, "kind int, fine int, sim double")
+    place = F.row_number().over(Window.partitionBy("kind", "fine").orderBy("sim")) - 1
+    asked_for = spark.createDataFrame([(k, n, f, p, w) for k, n, f, p, w in ranks], "kind int, name string, fine int, place int, weight double")
+    picked = values.withColumn("place", place).join(F.broadcast(asked_for), ["kind", "fine", "place"])  # at most 24 rows are asked for
+    out = picked.groupBy("kind").agg(*(F.sum(F.when(F.col("name") == n, F.col("sim") * F.col("weight"))).alias(n) for n in ("q1", "median", "q3")))
+    known = spark.createDataFrame([(k, KINDS[k], n, total / n) for k, (n, total) in sizes.items()], "kind int, name string, n long, mean double")
+    return out.join(F.broadcast(known), "kind").select(F.col("name").alias("kind"), "n", "q1", "median", "q3", "mean")
 
 
 def relative_features(stats: DataFrame, keys: list[str], lane: str) -> DataFrame:

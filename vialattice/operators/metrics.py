@@ -19,25 +19,32 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column, eps: float | N
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def roc(rows: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """Points of the ROC curve: threshold, tpr, fpr, j.
+def roc(rows: DataFrame, score: str = "score", truth: str = "truth", bins: int = 64) -> DataFrame:
+    """Points of the ROC curve: threshold, tpr, fpr, j, and area of the step from the threshold above.
 
-    Equal scores are aggregated first, so the running sums go over distinct scores only.
+    Equal scores are aggregated first. Running sums go within ranges of about as many distinct scores
+    each, and each range begins with the totals of those above it; only the ranges' totals, ``bins``
+    rows, meet in one task.
     """
     by = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum((~F.col(truth)).cast("long")).alias("n"))
-    order = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    totals = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    run = by.withColumn("tp", F.sum("p").over(order)).withColumn("fp", F.sum("n").over(order)).crossJoin(F.broadcast(totals))
-    out = run.select("threshold", (F.col("tp") / F.col("all_p")).alias("tpr"), (F.col("fp") / F.col("all_n")).alias("fpr"))
+    bounds = by.agg(F.percentile_approx("threshold", [k / bins for k in range(1, bins)], 1000).alias("bounds"))  # one row
+    binned = by.crossJoin(F.broadcast(bounds)).withColumn("bin", F.size(F.filter("bounds", lambda b: b > F.col("threshold")))).drop("bounds")
+    above = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = binned.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    totals = totals.select("bin", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"above_{c}") for c in ("bp", "bn")), F.sum("bp").over(every).alias("all_p"), F.sum("bn").over(every).alias("all_n"))
+    inside = Window.partitionBy("bin").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = binned.withColumn("tp", F.sum("p").over(inside)).withColumn("fp", F.sum("n").over(inside)).join(F.broadcast(totals), "bin")
+    tp, fp = F.col("tp") + F.col("above_bp"), F.col("fp") + F.col("above_bn")
+    area = (2 * tp - F.col("p")) / 2 / F.col("all_p") * (F.col("n") / F.col("all_n"))
+    out = run.select("threshold", (tp / F.col("all_p")).alias("tpr"), (fp / F.col("all_n")).alias("fpr"), area.alias("area"))
     return out.withColumn("j", F.col("tpr") - F.col("fpr"))
 
 
 def auc(curve: DataFrame) -> DataFrame:
     """Area under the curve, best J and its threshold, in one row."""
-    order = Window.orderBy(F.desc("threshold"))
-    steps = curve.withColumn("h", (F.col("tpr") + F.lag("tpr", 1, 0.0).over(order)) / 2 * (F.col("fpr") - F.lag("fpr", 1, 0.0).over(order)))
     best = F.min(F.struct((-F.round("j", 9)).alias("s"), (-F.col("threshold")).alias("t")))
-    return steps.agg(F.sum("h").alias("auc"), F.max("j").alias("best_j"), (-best["t"]).alias("youden"))
+    return curve.agg(F.sum("area").alias("auc"), F.max("j").alias("best_j"), (-best["t"]).alias("youden"))
 
 
 def rank_mae(matches: DataFrame) -> DataFrame:

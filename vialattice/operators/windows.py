@@ -18,10 +18,14 @@ def n_windows(size: float, stride: float, total: float) -> int:
 
 def assign_windows(trajs: DataFrame, size: float, stride: float, total: float) -> DataFrame:
     """Each trajectory in every window that holds its mean time."""
-    start = F.min("first_time").over(Window.partitionBy(*LANE))
-    t = F.col("mean_time") - start
+    t = F.col("mean_time") - F.col("start")
     held = F.filter(F.sequence(F.lit(0), F.lit(n_windows(size, stride, total) - 1)), lambda w: (w * stride <= F.col("t")) & (F.col("t") < w * stride + size))
-    return trajs.withColumn("t", t).withColumn("w", F.explode(held)).drop("t")
+    return _started(trajs).withColumn("t", t).withColumn("w", F.explode(held)).drop("t", "start")
+
+
+def _started(trajs: DataFrame) -> DataFrame:
+    """With each lane's first time; trajectories of a lane needn't meet in one task for it."""
+    return trajs.join(trajs.groupBy(*LANE).agg(F.min("first_time").alias("start")), LANE)
 
 
 def _all(lanes: DataFrame, count: int) -> DataFrame:
@@ -39,8 +43,7 @@ def window_stats(trajs: DataFrame, lanes: DataFrame, config: LaneConfig = DEFAUL
 
 def sweep(trajs: DataFrame, sizes: tuple[float, ...], total: float) -> DataFrame:
     """Trajectories by window for several sizes at half overlap, in one plan."""
-    start = F.min("first_time").over(Window.partitionBy(*LANE))
-    rows = trajs.withColumn("t", F.col("mean_time") - start).withColumn("size", F.explode(F.array(*(F.lit(float(s)) for s in sizes))))
+    rows = _started(trajs).withColumn("t", F.col("mean_time") - F.col("start")).withColumn("size", F.explode(F.array(*(F.lit(float(s)) for s in sizes))))
     last = F.floor((F.lit(float(total)) - F.col("size")) / (F.col("size") / 2)).cast("int")
     held = F.filter(F.sequence(F.lit(0), last), lambda w: (w * F.col("size") / 2 <= F.col("t")) & (F.col("t") < w * F.col("size") / 2 + F.col("size")))
     return rows.withColumn("w", F.explode(held)).groupBy(*LANE, "size", "w").agg(F.count("*").alias("n_traj"))

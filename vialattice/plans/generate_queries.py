@@ -317,11 +317,6 @@ def cluster_layout(spark, sf_dir):
     return taxonomy.layout(index(spark, sf_dir))
 
 
-@query()
-def augment(spark, sf_dir):
-    return flat(op.augment(scaled(spark, sf_dir).select("vec_id", "line"), "vec_id", 3), "vec_id", "copy")
-
-
 @query(f"""with {SHAPE_POINTS_SQL}, sp as (select vec_id as id, k, (px * 20 - 70) / 120 + 0.5::double as px, py * 4 / 120 + 0.5::double as py from pts where (px * 20 - 70) / 120 + 0.5::double between -0.1::double and 1.1::double),
 {resample_sql("sp", "rs", 16)},
 cl as (select id, k, least(greatest(px, 0), 1) as px, least(greatest(py, 0), 1) as py from rs),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -10,6 +12,8 @@ from ..operators import lanes as op
 from .assign_queries import NORMAL
 from .fixtures import SHAPE_POINTS_SQL, WAYPOINTS_SQL, documents, lanes, points, r6, shapes
 
+#: The driver's events span thirty days: windows of days instead of minutes, as many as by default.
+FIXTURE = replace(DEFAULT, window_size=432_000.0, window_stride=216_000.0, window_total=2_592_000.0)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -132,7 +136,7 @@ HEAD = "group_id::bigint as group_id, cls_id::bigint as cls_id, w::bigint as w"
 
 def _windows(spark, sf_dir):
     _, normal, trajs = _trajectories(spark, sf_dir)
-    return windows.window_stats(trajs, normal)
+    return windows.window_stats(trajs, normal, FIXTURE)
 
 
 @query(WINDOWS + f" select {HEAD}, n_traj, valid from wd")
@@ -152,7 +156,7 @@ ws as (select size, unnest(range(((2592000 - size) / (size / 2))::bigint + 1)) a
 select group_id::bigint as group_id, cls_id::bigint as cls_id, size, w::bigint as w, count(*) as n_traj from timed join ws on w * size / 2 <= t and t < w * size / 2 + size group by all""")
 def window_sweep(spark, sf_dir):
     _, _, trajs = _trajectories(spark, sf_dir)
-    rows = windows.sweep(trajs, (86400, 172800, 432000, 864000, 1296000), DEFAULT.window_total)
+    rows = windows.sweep(trajs, (86400, 172800, 432000, 864000, 1296000), FIXTURE.window_total)
     return rows.select(*longs("group_id", "cls_id"), "size", *longs("w"), "n_traj")
 
 

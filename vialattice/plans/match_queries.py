@@ -110,7 +110,7 @@ p as (select case when a.camera = b.camera and a.grp = b.grp then 'same group' w
   from idx a join idx b on a.lane < b.lane)
 select kind, count(*) as n, round(quantile_cont(sim, 0.25), 6) as q1, round(median(sim), 6) as median, round(quantile_cont(sim, 0.75), 6) as q3, round(avg(sim), 6) as mean from p group by kind""")
 def pair_type_stats(spark, sf_dir):
-    return op.pair_type_stats(op.pair_types(index(spark, sf_dir))).select("kind", "n", *r6("q1", "median", "q3", "mean"))
+    return op.pair_type_stats(index(spark, sf_dir)).select("kind", "n", *r6("q1", "median", "q3", "mean"))
 
 
 @query(STATS + """ select a.group_id::bigint as group_id, a.cls_id::bigint as i, b.cls_id::bigint as j, round(a.lateral_offset - b.lateral_offset, 6) as lateral_diff, round(a.speed - b.speed, 6) as speed_diff,
