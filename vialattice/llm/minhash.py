@@ -7,7 +7,8 @@ asked are dropped, and the rest are confirmed on the full shingle sets.
 In turns, each band bucket proposes its members against one leader, another one each turn, and only
 across components found so far. So the members of a large family join its component after a few
 turns, with a number of pairs in proportion to the members. What is then still apart in one bucket
-is compared exhaustively, again behind the sketches, so that no link is lost.
+is compared exhaustively: first by sketches, then members with a partner in reach by full sets. So
+no link is lost, and full sets move only for documents that share a bucket with another.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, drop_path, grouped, keep_columns, materialize, spread
+from .common import batches, drop_path, grouped, materialize, pick, spread
 from .graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -118,28 +119,41 @@ def sign(docs: DataFrame, p: Params) -> DataFrame:
             count, h1, h2, bands, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 codes = shingles(text)
-                key = xxhash.xxh3_128_intdigest(codes.tobytes())
+                key = _key(codes)
                 count.append(len(codes))
-                h1.append((key >> 64) - (1 << 63))
-                h2.append((key & (1 << 64) - 1) - (1 << 63))
+                h1.append(key[0])
+                h2.append(key[1])
                 b, s = _signature(codes, p) if len(codes) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 bands.append(b.view(np.int64))
                 sketches.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (count, h1, h2)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches))], names=[c.split()[0] for c in SIGNED.split(", ")])
 
-    return docs.select(*keep_columns(docs, "doc_id", "text")).mapInArrow(run, SIGNED)
+    return pick(docs, "doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
-    """(id, codes) of every row, for exact confirmation."""
+def _key(codes: np.ndarray) -> tuple[int, int]:
+    """A 128-bit key of a set."""
+    key = xxhash.xxh3_128_intdigest(codes.tobytes())
+    return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """(id, codes) of the classes wanted (id, rep, h1, h2), from a row of the representative that has the key.
+
+    The texts are shuffled once whatever the number wanted; no plan here depends on the tables' size.
+    """
+    texts = pick(docs, "doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
+    texts = texts.dropDuplicates(["doc_id", "id", "text"]).select("id", "h1", "h2", "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(p.words)
         for batch in batches(stream, 500):
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "codes"])
+            ids, h1, h2, given = (c.to_pylist() for c in batch.columns)
+            sets = map(shingles, given)
+            found = [(i, codes.view(np.int64)) for i, *key, codes in zip(ids, h1, h2, sets, strict=True) if _key(codes) == tuple(key)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.int64()))], names=["id", "codes"])
 
-    return docs.select(*keep_columns(docs, "doc_id", "text")).mapInArrow(run, "id long, codes array<long>")
+    return texts.mapInArrow(run, "id long, codes array<long>")
 
 
 def _apart(a: str, b: str, words: int) -> Column:
@@ -152,11 +166,8 @@ def _likely(pairs: DataFrame, p: Params) -> DataFrame:
     return pairs.where((small * 100 >= large * p.percent) & (_apart("sketch_a", "sketch_b", p.sketch_bits // 64) <= p.most_apart))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) whose full sets are as similar as asked."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(*keep_columns(docs, "doc_id", "text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets, _ = materialize(shingle_sets(texts, p), "sets")
     both = F.size(F.array_intersect("codes_a", "codes_b"))
     return (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("codes").alias("codes_b")), "b")
@@ -183,13 +194,16 @@ def _overlaps(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
     return np.concatenate([np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), step)])
 
 
-def _compare(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket's members: (document, least document that it hangs on through links found here).
+MEMBER = ("bucket", "i", "j", "block", "band", "id", "component", "n", "bands", "sketch")
+
+
+def _within_reach(t: pa.Table, p: Params) -> np.ndarray:
+    """Pairs of one bucket's members that sizes and sketches allow.
 
     Pairs of one component and pairs that an earlier band has too are left out.
     """
-    ids, component, size, band = (t[c].to_numpy() for c in ("rep", "component", "n", "band"))
-    bands, sketches = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("bands", "sketch"))
+    component, size, band = (t[c].to_numpy() for c in ("component", "n", "band"))
+    bands, sketches = (t[c].combine_chunks().flatten().to_numpy().reshape(len(size), -1) for c in ("bands", "sketch"))
     sketches, part = sketches.view(np.uint64), t["block"].to_numpy() != t["i"].to_numpy()
     pair = np.triu(component[:, None] != component[None, :], 1)
     if part.any():
@@ -201,7 +215,13 @@ def _compare(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray]:
     pair &= apart <= p.most_apart
     for earlier in bands.T[: band[0]]:
         pair &= earlier[:, None] != earlier[None, :]
-    a, b = np.nonzero(pair)
+    return pair
+
+
+def _compare(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's members: (class, least class that it hangs on through links found here)."""
+    ids, size = t["id"].to_numpy(), t["n"].to_numpy()
+    a, b = np.nonzero(_within_reach(t, p))
     if not len(a):
         return ids[:0], ids[:0]
     used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -209,79 +229,104 @@ def _compare(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray]:
     codes = [flat[int(k)].values.to_numpy() for k in used]
     both = _overlaps(codes, where[: len(a)], where[len(a) :])
     good = both * 100 >= (size[a] + size[b] - both) * p.percent
-    near = np.zeros(pair.shape, bool)
+    near = np.zeros((len(ids), len(ids)), bool)
     near[a[good], b[good]] = near[b[good], a[good]] = True
     linked = np.flatnonzero(near.any(axis=1))
     return ids[linked], ids[spread(near)[linked]]
 
 
-def _exhaust(live: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def _exhaust(live: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Links (a, b) that connect what is linked across components within a bucket."""
-    ids = live.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(*keep_columns(docs, "doc_id", "text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets, _ = materialize(shingle_sets(texts, p), "sets")
-    info = classes.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch")
-    sized = live.join(info.select("rep", "n"), "rep")
+    info = classes.select("id", F.col("n_shingles").alias("n"), "bands", "sketch")
+    placed = live.join(info, "id")
     blocks = F.ceil(F.greatest(F.count("*") / (p.at_once // 2), F.sum("n") / (p.codes_at_once // 2)))
-    split = sized.groupBy("bucket").agg(blocks.cast("int").alias("n_blocks"))
-    placed = live.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    split = live.join(info.select("id", "n"), "id").groupBy("bucket").agg(blocks.cast("int").alias("n_blocks"))
+    placed = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    placed = placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "rep", "component")
-    sent = placed.join(info, "rep").join(sets.select(F.col("id").alias("rep"), "codes"), "rep").select("bucket", "i", "j", "block", "band", "rep", "component", "n", "bands", "sketch", "codes")
-    sent = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*MEMBER)
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+
+    def sieve(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(stream, (0, 1, 2)):
+            pair = _within_reach(t, p)
+            keep = np.flatnonzero(pair.any(axis=0) | pair.any(axis=1))
+            if len(keep):
+                yield from t.take(pa.array(keep)).combine_chunks().to_batches()
+
+    def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(stream, (0, 1, 2)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _compare(t, p)], names=["a", "b"])
 
-    return sent.mapInArrow(run, "a long, b long")
+    suspects = dealt(placed).mapInArrow(sieve, placed.schema)
+    return dealt(suspects.join(sets, "id").select(*MEMBER, "codes")).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """Link ``docs`` (doc_id, text) of similar shingle sets and name each row's component.
 
     Returns doc_id, n_shingles, component_id, kept for each row. A text without words (null, empty,
-    only white space) has no shingles and is its own component. Rows with a null doc_id link with
-    nothing and are kept, with a null component. Rows that repeat a doc_id count as one document
-    if their sets are equal; of different sets under one id, each is linked and the id is shared.
-    Other columns are ignored; an empty table gives no rows.
+    only white space) has no shingles and is its own component, whatever the id's other rows have. Rows with a null doc_id link with
+    nothing and are kept, with a null component. Rows that repeat a doc_id are one vertex: what is
+    linked with any of their texts is linked with all. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     p = p or Params()
     spark = docs.sparkSession
-    signed, _ = materialize(sign(docs, p), "signed")
+    used: list[str] = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        df, path = materialize(df, tag)
+        used.append(path)
+        return df
+
+    signed = kept(sign(docs, p), "signed")
     key = ["n_shingles", "h1", "h2"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "sketch")).alias("of"))
-    classes, _ = materialize(classes.select(*key, "rep", F.col("of.bands").alias("bands"), F.col("of.sketch").alias("sketch")), "classes")
-    info = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
-    of = {s: info.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
-    members = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = kept(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so an id stays with its class
+    info = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
+    of = {s: info.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
+    members = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    live = members.join(shared, "bucket", "left_semi").select("bucket", "band", "rep", F.col("rep").alias("component"))
+    live = members.join(shared, "bucket", "left_semi").select("bucket", "band", "id", F.col("id").alias("component"))
     live, path = materialize(live, "live")
+    wanted = classes.join(live.select("id").distinct(), "id", "left_semi").select("id", "rep", "h1", "h2")
+    sets = kept(shingle_sets(docs, wanted, p), "sets")
     found = spark.createDataFrame([], "id long, component long")
     for turn in range(p.turns):
-        order = F.xxhash64(F.lit(turn), "rep")
-        leader = live.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("lead"), F.col("component").alias("c"))).alias("l")).select("bucket", "l.lead", "l.c")
-        met = live.join(leader, "bucket").where("component <> c").groupBy("rep").agg(F.collect_set("lead").alias("leads"))  # at most one of each band
+        order = F.xxhash64(F.lit(turn), "id")
+        leader = live.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("lead"), F.col("component").alias("c"))).alias("l")).select("bucket", "l.lead", "l.c")
+        met = live.join(leader, "bucket").where("component <> c").groupBy("id").agg(F.collect_set("lead").alias("leads"))  # at most one of each band
         tried = F.slice(F.array_sort(F.transform("leads", lambda x: F.struct(F.xxhash64(F.lit(turn), x).alias("o"), x.alias("lead")))), 1, p.tries)
-        pairs = met.select("rep", F.explode(tried).alias("t")).select(F.least("rep", "t.lead").alias("a"), F.greatest("rep", "t.lead").alias("b")).distinct()
-        pairs, _ = materialize(_likely(pairs.join(of["b"], "b").join(of["a"], "a"), p).select("a", "b"), "pairs")
-        links, _ = materialize(_confirm(pairs, docs, p), "links")
+        pairs = met.select("id", F.explode(tried).alias("t")).select(F.least("id", "t.lead").alias("a"), F.greatest("id", "t.lead").alias("b")).distinct()
+        pairs = kept(_likely(pairs.join(of["b"], "b").join(of["a"], "a"), p).select("a", "b"), "pairs")
+        links = kept(_confirm(pairs, sets, p), "links")
         if not links.limit(1).count():
             break
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-        placed = live.drop("component").join(found, F.col("rep") == F.col("id"), "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+        found = kept(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), "found")
+        placed = live.drop("component").join(found, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
         (live, path), old = materialize(placed.join(mixed, "bucket", "left_semi"), "live"), path
         drop_path(spark, old)
 
-    more, _ = materialize(_exhaust(live, classes, docs, p), "more")
+    more = kept(_exhaust(live, classes, sets, p), "more")
 
     stars_of = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    same_id = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    same_id = signed.join(same_id, "doc_id", "left_semi").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(stars_of.unionByName(more).unionByName(same_id))
-    labels = classes.select(*key, "rep").join(final, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    # an id with several sets joins their classes
+    several = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = signed.select("doc_id", *key).join(several, "doc_id", "left_semi").join(classes.select(*key, "id"), key).select("doc_id", "id")
+    several = several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
+    final = kept(components(stars_of.unionByName(more).unionByName(several)), "final")
+    # classes are numbered without regard to documents: a component is named by its least document
+    named = classes.select("id", "rep").join(final, "id")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("name")), "component").select("id", "name")
+    labels = classes.select(*key, "id", "rep").join(named, "id", "left").select(*key, F.coalesce("name", "rep").alias("component"))
     out = signed.select("doc_id", *key).join(labels, key, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out, _ = materialize(out, "near-duplicates")
+    for path in [path, *used]:
+        drop_path(spark, path)
+    return out
