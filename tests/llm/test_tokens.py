@@ -1,6 +1,7 @@
 """Encoding, decoding and packing against the tokenizer libraries and exact round trips."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -58,6 +59,47 @@ def test_heap_and_query_agree():
     assert [engine._by_heap(w) for w in words] == engine._by_query(words, 40)
 
 
+def test_white_space_fuzz():
+    ranks, path, rng = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), random.Random(9)
+    parts = ["a", "B", "é", "the", "don't", "'re", "日本", "1", "23", ".", ",", "!?", "_", "🙂", " ", " ", " ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(9000)] + [" ".join(rng.choices(parts[:14], k=9)).replace(" ", "\n", 2) for _ in range(1000)]
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    tokenizer = Tokenizer.from_file(path)
+    assert sum(map(tokens.plain, texts)) > 1000
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for t, ids in zip(part, packing.encoded(part, path), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        for limit in (300, 100_000):  # with and without forgetting
+            for t, (n, ids, back) in zip(part, bpe.encoded(part, ranks, P.PATTERN, limit), strict=True):
+                want = own.encode_ordinary(t)
+                assert (n, ids, back) == (len(want), " ".join(map(str, want)), t.encode()), repr(t)
+
+
+def test_both_engines_agree(tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    tokenizer, engine = packing._encoders(path)
+    assert engine is not None
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeiounrstldcmhgpbéüñß'") for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        assert engine.encode_ordinary(w) == e.ids, w
+    # merges in another order than the ids, and another kind of tokenizer, are done by the tokenizer itself
+    spec = json.load(open(path))
+    spec["model"]["merges"][10:12] = spec["model"]["merges"][11:9:-1]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    assert packing._same_engine(str(tmp_path / "t.json"), Tokenizer.from_file(path)) is None
+    other = P.path("word_bpe_49k.json")
+    assert packing._same_engine(other, Tokenizer.from_file(other)) is None
+    assert [*packing.encoded(["Some words"], other)] == [np.asarray(Tokenizer.from_file(other).encode("Some words", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_every_token_comes_out_of_the_query():
+    engine = bpe.RecursiveBpe(P.path("byte_bpe_50k.tiktoken"))
+    every = [t for t in engine.ranks if len(t) <= bpe.LONG]
+    assert [(n, ids) for n, ids, _ in engine._by_query(every, 50_000)] == [(1, str(engine.ranks[t])) for t in every]
+
+
 @pytest.mark.parametrize("seq_len", [16, 1024])
 def test_packing(spark, seq_len):
     path = P.path("byte_bpe_50k.json")

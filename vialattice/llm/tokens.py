@@ -1,103 +1,85 @@
-"""Piece-wise token lookup that byte-level BPE operators share.
+"""Chunk-wise token lookup that byte-level BPE operators share.
 
 Byte-level BPE encodes each match of the pre-tokenizer pattern by itself. In a text whose white
 space is single spaces and single line feeds, matches never cross a space or a line feed, so the
-encoding of ``" word,"`` is the same wherever it stands and can be remembered. Other texts are
-matched whole by the pattern.
+encoding of ``" word,"`` is the same wherever it stands and can be remembered. Such a text is cut
+into chunks: ``word,`` stands for a space and the word, and ``\\nword,`` for a line feed and the word.
+Other texts are matched whole by the pattern.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Sequence
+from itertools import chain
 
-#: Letters and then marks that form one match of the pattern each; apostrophes are left out.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,!?;:%&*$#|]*)\Z")
+import numpy as np
+
+#: Marks that, behind a letter, no match of the pattern shares with it.
+MARKS = ".,!?;:%&*$#|"
+ODD_SPACE = re.compile(r"[^\S \n]")
 
 
 def plain(text: str) -> bool:
     """Whether white space occurs only as single spaces and line feeds between other characters."""
-    return text != "" and " ".join(text.split()) == text.replace("\n", " ")
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not ("  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text) or ODD_SPACE.search(text))
+
+
+def chunks(text: str) -> list[str]:
+    """Of a plain text; the first one begins with a line feed that the text hasn't."""
+    return ("\n" + text.replace("\n", " \n")).split(" ")
+
+
+class _Numbers(dict):
+    """Numbers keys as they come and lists the new ones."""
 
+    def __init__(self):
+        self.new: list[str] = []
 
-class ChunkMemo:
-    """Remembers the encodings of space-delimited chunks in one Python worker.
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
 
-    ``encode(pieces)`` gives the value of each piece (a match of the pattern), ``split(text)`` gives
-    a text's pieces, ``join(values)`` concatenates. Without ``split``, ``encode`` takes chunks and
-    whole texts as they are. At most ``limit`` chunks and as many pieces are held; then the tables
-    start anew, so that memory is bounded on any input.
+
+class ChunkTable:
+    """Remembers the encodings of chunks in one Python worker.
+
+    ``learn(new, table)`` gives the values of chunks that the table lacks, one list of them for each
+    of the table's columns; it may look others up and give more chunks than it was asked for (that it
+    adds), at the end. Beyond ``limit`` chunks, the half used least is forgotten, so memory is bounded
+    on any input.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], split: Callable[[str], list[str]] | None = None, join: Callable[[Iterable], object] | None = None, limit: int = 300_000):
-        self.encode, self.split, self.join, self.limit = encode, split, join, limit
-        self.first: dict[str, object] = {}
-        self.spaced: dict[str, object] = {}
-        self.pieces: dict[str, object] = {}
-
-    def _pieces_of(self, chunk: str) -> list[str]:
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        found = WORD_AND_MARKS.match(body)
-        if found and found[1].isalpha():
-            word = chunk[: len(chunk) - len(found[2])]
-            return [word, found[2]] if found[2] else [word]
-        return self.split(chunk)
-
-    def _learn(self, first: set[str], spaced: set[str], whole: dict[str, list[str]]) -> None:
-        """Encode what these chunks and pieces have and the tables lack."""
-        if max(len(self.first), len(self.spaced), len(self.pieces)) > self.limit:
-            self.first.clear(), self.spaced.clear(), self.pieces.clear()
-        if self.split is None:
-            missing = spaced.difference(self.spaced)
-            # a full stop or comma after a letter is a match by itself
-            marked = {part for part in missing if part[-1] in ".," and part[-2:-1].isalpha()}
-            base = (missing - marked).union(part[:-1] for part in marked).difference(self.spaced)
-            new, more = [*first.difference(self.first)], [*base]
-            values = self.encode([*new, *(" " + part for part in more), *whole, ".", ","])
-            self.first.update(zip(new, values[: len(new)], strict=True))
-            self.spaced.update(zip(more, values[len(new) : len(new) + len(more)], strict=True))
-            self.pieces = dict(zip(whole, values[len(new) + len(more) : -2], strict=True))
-            mark = {".": values[-2], ",": values[-1]}
-            self.spaced.update((part, self.spaced[part[:-1]] + mark[part[-1]]) for part in marked)
-            return
-        chunks = [*first.difference(self.first), *(" " + part for part in spaced.difference(self.spaced))]
-        cut = [self._pieces_of(chunk) for chunk in chunks]
-        need = [*{p for v in (*cut, *whole.values()) for p in v}.difference(self.pieces)]
-        if need:
-            self.pieces.update(zip(need, self.encode(need), strict=True))
-        known, join = self.pieces, self.join
-        for chunk, pieces in zip(chunks, cut, strict=True):
-            value = known[pieces[0]] if len(pieces) == 1 else join([known[p] for p in pieces])
-            if chunk[:1] == " ":
-                self.spaced[chunk[1:]] = value
-            else:
-                self.first[chunk] = value
-
-    def lookup(self, texts: list[str], feed) -> Iterator[list]:
-        """For each text, the values whose concatenation encodes it; ``feed`` is a line feed's."""
-        first: set[str] = set()
-        spaced: set[str] = set()
-        whole: dict[str, list[str]] = {}
-        cut: list[list[list[str]] | None] = []
-        for text in texts:
-            if plain(text):
-                lines = [line.split(" ") for line in text.split("\n")]
-                for line in lines:
-                    first.add(line[0])
-                    spaced.update(line[1:])
-                cut.append(lines)
-            else:
-                whole[text] = self.split(text) if self.split else [text]
-                cut.append(None)
-        self._learn(first, spaced, whole)
-        for text, lines in zip(texts, cut, strict=True):
-            if lines is None:
-                yield [self.pieces[p] for p in whole[text]]
-                continue
-            out: list = []
-            for k, line in enumerate(lines):
-                if k:
-                    out.append(feed)
-                out.append(self.first[line[0]])
-                out.extend(map(self.spaced.__getitem__, line[1:]))
-            yield out
+    def __init__(self, learn: Callable[[list[str], ChunkTable], tuple[list, ...]], columns: int, limit: int):
+        self.learn, self.limit = learn, limit
+        self.numbers, self.columns, self.uses = _Numbers(), [[] for _ in range(columns)], np.zeros(0, np.int64)
+
+    def add(self, chunk: str) -> None:
+        """Another chunk that learn() gives values of."""
+        self.numbers[chunk]
+
+    def lookup(self, texts: Sequence[list[str]]) -> list[list[int]]:
+        """The numbers of each text's chunks, valid until the next call."""
+        if len(self.numbers) > self.limit:
+            self._forget()
+        number = self.numbers.__getitem__
+        out = [list(map(number, parts)) for parts in texts]
+        if self.numbers.new:
+            new, self.numbers.new = self.numbers.new, []
+            for column, values in zip(self.columns, self.learn(new, self), strict=True):
+                column.extend(values)
+            self.numbers.new = []
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.numbers) - len(self.uses), np.int64)])
+        self.uses += np.bincount(np.fromiter(chain.from_iterable(out), np.int64), minlength=len(self.uses))
+        return out
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        kept, names = keep.tolist(), list(self.numbers)
+        self.columns = [[column[k] for k in kept] for column in self.columns]
+        self.numbers = _Numbers()
+        self.numbers.update((names[k], n) for n, k in enumerate(kept))
+        self.uses = self.uses[keep] // 2
