@@ -7,7 +7,7 @@ on each joined row, and the one shuffle is by track.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,10 +25,32 @@ def lane_segments(lanes: DataFrame) -> DataFrame:
     return lanes.withColumn("segs", g.segments(F.col("waypoints")))
 
 
+#: Segments up to which a lane's distances are written out, one expression each.
+UNROLLED = 32
+
+
+def _with_distance(points: DataFrame, lanes: DataFrame, drop_empty: bool) -> tuple[DataFrame, Column]:
+    """Points joined with their camera's lanes, and the distance of each row's point to its lane.
+
+    The most segments that a lane has are asked for first (lanes are annotations, few to a camera),
+    so that the distance is plain arithmetic that Spark compiles; longer lanes take a function over
+    their array of segments.
+    """
+    keys = ["camera", "group_id", "cls_id"]
+    most = (lanes.agg(F.max(F.size("waypoints"))).first()[0] or 1) - 1
+    if not 0 < most <= UNROLLED:
+        joined = points.join(lane_segments(lanes).select(*keys, "segs"), "camera")
+        return joined, g.polyline_distance(F.col("x"), F.col("y"), F.col("segs"), drop_empty)
+    a, b = (lambda k: F.get("waypoints", F.lit(k))), (lambda k: F.get("waypoints", F.lit(k + 1)))
+    given = lanes.select(*keys, *(F.when((a(k)["x"] != b(k)["x"]) | (a(k)["y"] != b(k)["y"]) | F.lit(not drop_empty), F.struct(a(k).alias("a"), b(k).alias("b"))).alias(f"s{k}") for k in range(most)))
+    each = [g.segment_distance(F.col("x"), F.col("y"), F.col(f"s{k}.a"), F.col(f"s{k}.b")) for k in range(most)]
+    least = each[0] if most == 1 else F.least(*each)  # lanes of fewer segments have nulls, which are passed over
+    return points.join(given, "camera"), F.coalesce(least, F.lit(float("inf")))
+
+
 def lane_distances(points: DataFrame, lanes: DataFrame, drop_empty: bool = True) -> DataFrame:
     """Mean and sample deviation of the distance of each track to each lane of its camera."""
-    joined = points.join(lane_segments(lanes).select("camera", "group_id", "cls_id", "segs"), "camera")
-    d = g.polyline_distance(F.col("x"), F.col("y"), F.col("segs"), drop_empty)
+    joined, d = _with_distance(points, lanes, drop_empty)
     return joined.select("camera", "track_id", "group_id", "cls_id", d.alias("d")).groupBy("camera", "track_id", "group_id", "cls_id").agg(F.avg("d").alias("score"), F.stddev_samp("d").alias("std"), F.count("*").alias("n_points"))
 
 

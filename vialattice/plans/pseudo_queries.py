@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import vectors as v
-from ..operators import assign, match, metrics, pseudo, ranking, spec, windows
+from ..operators import assign, directed, match, metrics, pseudo, ranking, spec, windows
 from ..operators import generate as gen
 from ..operators import lanes as lane_op
 from .fixtures import INDEX_SQL, WAYPOINTS_SQL, documents, index, lanes, points, r6, table
-from .generate_queries import SP, flat, resample_sql, scaled, smooth_sql
+from .generate_queries import CONTEXT, FRAME, SP, _context_lanes, flat, resample_sql, scaled, smooth_sql
 from .lane_queries import FIXTURE, STATS, TRAJ, longs
 from .match_queries import KNN
 
@@ -275,3 +276,97 @@ def augment_pairs(spark, sf_dir):
     out = gen.augment_pairs(pairs, "vec_id")
     out = out.select("vec_id", "copy", "has_relation", "merge_point", F.posexplode(F.arrays_zip("target_line", "neighbour_line")).alias("k", "z"))
     return out.select("vec_id", *longs("copy", "k"), "has_relation", F.round("z.target_line.x", 6).alias("tx"), F.round("z.target_line.y", 6).alias("ty"), F.round("z.neighbour_line.x", 6).alias("nx"), F.round("z.neighbour_line.y", 6).alias("ny"), "merge_point")
+
+
+CANON = f"""{FRAME},
+cn as (select sp.grp, lane, k, ((px - cx) * cos(-a) - (py - cy) * sin(-a)) / s as x, ((px - cx) * sin(-a) + (py - cy) * cos(-a)) / s as y from sp join fr using (id))"""
+
+
+def _clipped(x: str, y: str) -> str:
+    return f"least(greatest({x}, 0), 1) as px, least(greatest({y}, 0), 1) as py"
+
+
+def _back(frame: str = "fr") -> tuple[str, str]:
+    return f"(x * cos({frame}.a) - y * sin({frame}.a)) * {frame}.s + {frame}.cx", f"(x * sin({frame}.a) + y * cos({frame}.a)) * {frame}.s + {frame}.cy"
+
+
+def _candidates(spark, sf_dir):
+    """Each group's lanes' shapes, in canonical form, as its candidates."""
+    return scaled(spark, sf_dir).select("camera", "group_id", F.col("cls_id").alias("candidate"), g.to_canonical(F.col("line"))["canon"].alias("canon"))
+
+
+EVEN = """
+hd as (select id, k, atan2(lead(py) over w - py, lead(px) over w - px) as h from sm window w as (partition by id order by k)),
+tn as (select id, abs(h - lag(h) over (partition by id order by k)) as d from hd where h is not null),
+ev as (select id, 1 / (1 + var_pop(d)) as even from tn where d is not null group by id)"""
+NEAR = """
+dd as (select l.id, l.k as ka, an.k as kb, sqrt((l.px - an.px) ** 2 + (l.py - an.py) ** 2) as d from sm l join an on an.grp = l.id // 5),
+ch as (select id, (select avg(m) from (select min(d) as m from dd e where e.id = c.id group by ka)) / 2 + (select avg(m) from (select min(d) as m from dd e where e.id = c.id group by kb)) / 2 as d from (select distinct id from dd) c),
+sc as (select id, 0.7::double * (1 - d / (max(d) over (partition by id // 5) + 1e-8)) + 0.3::double * even as score from ch join ev using (id))
+select id // 5 as group_id, id % 5 as candidate, round(score, 6) as score, row_number() over (partition by id // 5 order by round(score, 9) desc, id) = 1 as best from sc"""
+
+
+@query(f"""with {SP}, {CANON},
+raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*_back())} from cn join fr on fr.id = cn.grp * 5),
+{smooth_sql("raw", "sm")}, an as (select grp, k, px, py from sp where lane = 0), {EVEN}, {NEAR}""")
+def directed_trajectory(spark, sf_dir):
+    anchors = scaled(spark, sf_dir).where("cls_id = 0").select("camera", "group_id", "line")
+    out = directed.at_trajectory(_candidates(spark, sf_dir), anchors, None)
+    return out.select("group_id", "candidate", *r6("score"), "best")
+
+
+@query(f"""with {SP}, {CANON},
+raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*_back())} from cn join fr on fr.id = cn.grp * 5 + 1),
+{smooth_sql("raw", "s0")}, an as (select grp, k, px, py from sp where lane = 0),
+sm as (select s0.id, k, 0.6::double * an.px + 0.4::double * s0.px as px, 0.6::double * an.py + 0.4::double * s0.py as py from s0 join an using (k) where an.grp = s0.id // 5), {EVEN}, {NEAR}""")
+def directed_beside(spark, sf_dir):
+    lines = scaled(spark, sf_dir).select("camera", "group_id", "cls_id", "line")
+    out = directed.beside_trajectory(_candidates(spark, sf_dir), lines.where("cls_id = 0").drop("cls_id"), lines.where("cls_id = 1").drop("cls_id"), None)
+    return out.select("group_id", "candidate", *r6("score"), "best")
+
+
+CROSS = """
+ng as (select id, k, px, py, lead(px) over w as nx, lead(py) over w as ny from sm window w as (partition by id order by k)),
+xs as (select distinct a.id from ng a join ng b on a.id = b.id and b.k >= a.k + 2 and a.nx is not null and b.nx is not null
+  where ((a.nx - a.px) * (b.py - a.py) - (a.ny - a.py) * (b.px - a.px)) * ((a.nx - a.px) * (b.ny - a.py) - (a.ny - a.py) * (b.nx - a.px)) < 0
+    and ((b.nx - b.px) * (a.py - b.py) - (b.ny - b.py) * (a.px - b.px)) * ((b.nx - b.px) * (a.ny - b.py) - (b.ny - b.py) * (a.nx - b.px)) < 0),
+en as (select id, sum(step) as len from (select id, coalesce(sqrt((px - lag(px) over w) ** 2 + (py - lag(py) over w) ** 2), 0) as step from sm window w as (partition by id order by k)) group by id),
+so as (select id, case when len < 1e-8 or xs.id is not null then 0 else even end as smooth from en join ev using (id) left join xs using (id))"""
+CHOSEN = "select id // 5 as group_id, id % 5 as candidate, round(score, 6) as score, row_number() over (partition by id // 5 order by round(score, 9) desc, id) = 1 as best from sc"
+
+
+@query(f"""with {SP}, {CANON},
+raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*(b.replace("fr.cx", "0.5::double").replace("fr.cy", "0.5::double") for b in _back()))} from cn join fr on fr.id = cn.grp * 5 + 2),
+{smooth_sql("raw", "sm")}, {EVEN}, {CROSS}, sc as (select id, 0.4::double * smooth + 0.6::double * 0.5::double as score from so) {CHOSEN}""")
+def directed_reference(spark, sf_dir):
+    given = scaled(spark, sf_dir).where("cls_id = 2").select("camera", "group_id", "line", g.point(F.lit(0.5), F.lit(0.5)).alias("centroid"))
+    return directed.from_reference(_candidates(spark, sf_dir), given).select("group_id", "candidate", *r6("score"), "best")
+
+
+RIGHTMOST = CONTEXT + f""", {CANON.lstrip()},
+ca as (select lt.grp, lane, curve, heading, spacing, -ty * side as qx, tx * side as qy from lt join cu using (id) join ga using (grp) join ex using (grp) where abs(lat - hi) <= spacing),
+an as (select grp, arg_min(lane, struct_pack(c := curve, l := lane)) as anchor, any_value(spacing) as spacing, any_value(heading) as heading, any_value(qx) as qx, any_value(qy) as qy from ca group by grp),"""
+ALIGNED = f"""{{smooth}}, {EVEN}, {CROSS},
+al as (select id, atan2(max_by(py, k) - min_by(py, k), max_by(px, k) - min_by(px, k)) - heading as d from sm join an on an.grp = sm.id // 5 group by id, heading),
+sc as (select id, 0.4::double * smooth + 0.6::double * greatest(0, 1 - least(least(abs(d), 2 * pi() - abs(d)), least(abs(d + pi()), 2 * pi() - abs(d + pi()))) / (pi() / 2)) as score from so join al using (id)) {CHOSEN}"""
+
+
+@query(RIGHTMOST + f""" raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*(f"{b} + {q} * spacing * 1.5::double" for b, q in zip(_back(), ("qx", "qy"), strict=True)))} from cn join an using (grp) join fr on fr.id = cn.grp * 5 + an.anchor),
+{ALIGNED.format(smooth=smooth_sql("raw", "sm"))}""")
+def directed_rightmost(spark, sf_dir):
+    context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)
+    return directed.from_specification(_candidates(spark, sf_dir), context, "rightmost").select("group_id", "candidate", *r6("score"), "best")
+
+
+@query(RIGHTMOST + f""" raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*_back())} from cn join an using (grp) join fr on fr.id = cn.grp * 5 + an.anchor),
+{ALIGNED.format(smooth=smooth_sql("raw", "sm"))}""")
+def directed_relational(spark, sf_dir):
+    context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)  # the neighbour is the anchor itself
+    return directed.relational(_candidates(spark, sf_dir), context, "rightmost").select("group_id", "candidate", *r6("score"), "best")
+
+
+@query(RIGHTMOST + """ c as (select an.grp, k, x, y, spacing, fr.s from an join cn on cn.grp = an.grp and cn.lane = an.anchor join fr on fr.id = an.grp * 5 + an.anchor)
+select grp as group_id, k, round(x, 6) as x, round(y + spacing / s, 6) as y from c""")
+def directed_warm_start(spark, sf_dir):
+    context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)
+    return flat(directed.warm_start(context).withColumnRenamed("start", "line"), "group_id")
