@@ -69,6 +69,36 @@ def test_filters_meet_at_the_threshold():
     assert all(x & y for x, y in zip(*lists, strict=True))
 
 
+def test_recall_at_the_threshold(spark):
+    """10,000 vectors, most of their neighbours just above or below the threshold, copies and ties among them."""
+    rng = np.random.default_rng(11)
+    centre = embeddings.unit(rng.standard_normal((700, 64)))
+    near = embeddings.unit(rng.standard_normal((9300, 64)))
+    of = np.where(np.arange(9300) < 2000, 0, rng.integers(0, 700, 9300))  # one large cluster
+    near = embeddings.unit(near - (near * centre[of]).sum(1, keepdims=True) * centre[of])
+    cosine = rng.uniform(0.975, 0.999, (9300, 1))
+    near = cosine * centre[of] + np.sqrt(1 - cosine**2) * near
+    x = np.vstack([centre, near]).astype(np.float32)
+    x[-500:] = x[3000:3500]
+    label = np.r_[np.arange(700) % 3, of % 3]
+    rows = [(k, v.tolist(), int(lab)) for k, (v, lab) in enumerate(zip(x, label, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(8)
+    y = embeddings.unit(x)
+    want = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1000):
+        want[at : at + 1000] = ((y[at : at + 1000] @ y.T >= 0.98) & (label[at : at + 1000, None] == label)).sum(1) - 1
+    assert want.sum() > 20_000
+    for p in (embeddings.Params(), embeddings.Params(directions=1)):
+        got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, p).collect()}
+        found = np.array([got[k] for k in range(len(x))])
+        assert (found <= want).all() and found.sum() >= 0.9999 * want.sum(), (p, found.sum(), want.sum())
+
+
+def test_directions_grow_with_the_vectors():
+    p = embeddings.Params()
+    assert [p.at_size(n).directions for n in (0, 65_536, 8 * 65_536, 10**12)] == [64, 64, 128, 1024]
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
@@ -109,6 +139,24 @@ def test_texts(spark, texts, turns):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), component[r["doc_id"]], component[r["doc_id"]] == r["doc_id"])
 
 
+def test_overlaps_of_long_sets():
+    rng = np.random.default_rng(3)
+    codes = [np.unique(rng.integers(0, 150_000, n).astype(np.uint64)) for n in rng.integers(1, 90_000, 40)]
+    a, b = np.triu_indices(40, 1)
+    want = [len(np.intersect1d(codes[x], codes[y])) for x, y in zip(a, b, strict=True)]
+    assert minhash._overlaps(codes, a, b).tolist() == want and minhash._overlaps(codes, a[:50], b[:50]).tolist() == want[:50]
+
+
+def test_repeated_ids_share_their_links(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = ([f"{x}{rng.integers(10**6)}" for _ in range(100)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (4, " ".join(c)), (5, near(c)), (1, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as Text", "2 as DOC_ID")
+    got = sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1, 0), (1, 1, 96), (1, 1, 96), (2, 1, 96), (3, 1, 96), (4, 4, 96), (4, 4, 96), (5, 4, 96), (6, 6, 0)]
+
+
 def test_empty_tables(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

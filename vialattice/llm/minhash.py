@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, drop_path, grouped, materialize, pick, spread
+from .common import batches, drop_path, grouped, materialize, pick, spread, tidied
 from .graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,7 +128,7 @@ def sign(docs: DataFrame, p: Params) -> DataFrame:
                 sketches.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (count, h1, h2)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches))], names=[c.split()[0] for c in SIGNED.split(", ")])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, SIGNED)
+    return pick(docs, "doc_id", "text").mapInArrow(tidied(run), SIGNED)
 
 
 def _key(codes: np.ndarray) -> tuple[int, int]:
@@ -153,7 +153,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
             found = [(i, codes.view(np.int64)) for i, *key, codes in zip(ids, h1, h2, sets, strict=True) if _key(codes) == tuple(key)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.int64()))], names=["id", "codes"])
 
-    return texts.mapInArrow(run, "id long, codes array<long>")
+    return texts.mapInArrow(tidied(run), "id long, codes array<long>")
 
 
 def _apart(a: str, b: str, words: int) -> Column:
@@ -184,14 +184,20 @@ def _overlaps(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
     values, which, count = np.unique(flat, return_inverse=True, return_counts=True)
     place = np.cumsum(count > 1) - 1  # codes of one set alone are in no intersection
     width = -(-max(1, int(place[-1]) + 1) // 64)
-    if len(a) < 200 or len(codes) * width > 16_000_000:
+    if len(a) < 200:
         return np.fromiter((len(np.intersect1d(codes[x], codes[y], assume_unique=True)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
     use = count[which] > 1
-    bits = np.zeros((len(codes), width), np.uint64)
-    at = place[which[use]]
-    np.bitwise_or.at(bits, (owner[use], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-    step = max(1, 4_000_000 // width)
-    return np.concatenate([np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), step)])
+    owner, at = owner[use], place[which[use]]
+    both = np.zeros(len(a), np.int64)
+    wide = max(1, 2_000_000 // len(codes))  # words of a bitmap in memory at once
+    for first in range(0, width, wide):
+        here = (at // 64 >= first) & (at // 64 < first + wide)
+        bits = np.zeros((len(codes), min(wide, width - first)), np.uint64)
+        np.bitwise_or.at(bits, (owner[here], at[here] // 64 - first), np.uint64(1) << (at[here] % 64).astype(np.uint64))
+        step = max(1, 1_000_000 // bits.shape[1])
+        for k in range(0, len(a), step):
+            both[k : k + step] += np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return both
 
 
 MEMBER = ("bucket", "i", "j", "block", "band", "id", "component", "n", "bands", "sketch")
@@ -259,8 +265,8 @@ def _exhaust(live: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) ->
         for t in grouped(stream, (0, 1, 2)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _compare(t, p)], names=["a", "b"])
 
-    suspects = dealt(placed).mapInArrow(sieve, placed.schema)
-    return dealt(suspects.join(sets, "id").select(*MEMBER, "codes")).mapInArrow(compare, "a long, b long")
+    suspects = dealt(placed).mapInArrow(tidied(sieve), placed.schema)
+    return dealt(suspects.join(sets, "id").select(*MEMBER, "codes")).mapInArrow(tidied(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
