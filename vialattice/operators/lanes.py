@@ -99,6 +99,11 @@ def normalized(points: DataFrame, config: LaneConfig = DEFAULT) -> DataFrame:
     return points.withColumn("x", F.col("x") / config.width).withColumn("y", F.col("y") / config.height)
 
 
+def pixels(points: DataFrame, config: LaneConfig = DEFAULT) -> DataFrame:
+    """Normalised points back in the frame (P5)."""
+    return points.withColumn("x", F.col("x") * config.width).withColumn("y", F.col("y") * config.height)
+
+
 def trajectories(points: DataFrame, assigned: DataFrame, lanes: DataFrame) -> DataFrame:
     """Speed, curvature and lateral_offset offset of each track on each lane that holds it; all normalised."""
     first, last = F.element_at("waypoints", 1), F.element_at("waypoints", -1)

@@ -34,6 +34,15 @@ def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT) -> DataFrame:
     return a.join(b, ["is_left", "is_right", "bin"]).where((F.col("i") < F.col("j")) & (F.col("cam_i") != F.col("cam_j")) & near & alike).select("i", "j")
 
 
+def retrieve(index: DataFrame, asked: DataFrame, k: int = 3, cross_camera: bool = True, excluded: DataFrame | None = None) -> DataFrame:
+    """The k nearest lanes to lanes of the index by their number (J12), but those excluded.
+
+    ``asked``, ``excluded``: a column lane.
+    """
+    refs = index if excluded is None else index.join(excluded.select("lane").distinct(), "lane", "left_anti")
+    return nearest(index.join(asked.select("lane").distinct(), "lane", "left_semi"), refs, k, cross_camera)
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, other_camera: bool = True, block: int = 4096) -> DataFrame:
     """The k most similar references of each query: query, ref, sim, rank from 1.
 

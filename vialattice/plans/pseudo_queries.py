@@ -370,3 +370,18 @@ select grp as group_id, k, round(x, 6) as x, round(y + spacing / s, 6) as y from
 def directed_warm_start(spark, sf_dir):
     context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)
     return flat(directed.warm_start(context).withColumnRenamed("start", "line"), "group_id")
+
+
+@query(KNN.replace("a.camera <> b.camera)", "a.lane <> b.lane and a.lane % 3 = 0 and b.lane % 4 <> 0)") + " select query, ref, round(sim, 6) as sim, place from knn")
+def retrieve_excluding(spark, sf_dir):
+    rows = index(spark, sf_dir)
+    out = match.retrieve(rows, rows.where("lane % 3 = 0"), 3, cross_camera=False, excluded=rows.where("lane % 4 = 0"))
+    return out.select("query", "ref", *r6("sim"), *longs("place"))
+
+
+@query("select event_id, round((event_id % 100000) / 25::double, 6) as time, round(x, 6) as x, round(y, 6) as y from (select event_id, (props->>'k')::double * 19.2::double as x, 135::double + 270 * (user_id % 4) + value - 40 as y from events)")
+def pixel_roundtrip(spark, sf_dir):
+    from ..sources import files
+
+    rows = lane_op.pixels(lane_op.normalized(points(spark, sf_dir).withColumn("frame_num", F.col("event_id") % 100000)))
+    return files.frame_seconds(rows, 25).select("event_id", *r6("time", "x", "y"))

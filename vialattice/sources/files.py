@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import ast
+import io
 import struct
+from dataclasses import fields, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import DEFAULT, LaneConfig
 from ..schemas import ANNOTATION, POINTS
 
 IDS, TIMES = ("id", "track_id"), ("time", "timestamp", "frame", "t")
@@ -46,6 +50,7 @@ def resolve(rows: DataFrame) -> DataFrame:
 
 
 def assignments(spark: SparkSession, path: str) -> DataFrame:
+    """Assignment CSVs (S3)."""
     from ..schemas import ASSIGNMENTS
 
     return spark.read.schema(ASSIGNMENTS).option("header", True).csv(path)
@@ -99,7 +104,7 @@ def frame_sizes(spark: SparkSession, pattern: str, width: int = 1920, height: in
 
 def find_videos(files: DataFrame, cameras_: DataFrame, patterns: tuple[str, ...] = ("{c}.mp4", "{c}.avi", "{c}/video.mp4", "{c}/*.mp4", "*{c}*")) -> DataFrame:
     """The first matching file of each camera, by the order of patterns and then by name."""
-    rows = files.crossJoin(F.broadcast(cameras_))  # a list of cameras, known to be short
+    rows = files.crossJoin(cameras_)  # by patterns, no key to join on; Spark broadcasts the cameras if they are few
     rank = F.lit(None).cast("int")
     for k, p in reversed(list(enumerate(patterns))):
         pieces = p.split("{c}")
@@ -108,9 +113,57 @@ def find_videos(files: DataFrame, cameras_: DataFrame, patterns: tuple[str, ...]
     return rows.withColumn("rank", rank).where("rank is not null").groupBy("camera").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
 
 
-def centerlines(spark: SparkSession, path: str) -> DataFrame:
-    """Road centre lines from Parquet (S9, S10); pickles are never read, they can run code."""
-    return spark.read.parquet(path)
+#: Names of a split's centre lines, in the order in which they are looked for.
+CENTERLINES = ("data_dict_subset_A_{split}_lanesegnet.parquet", "data_dict_subset_A_{split}.parquet", "data_dict_sample_ls.parquet")
+
+
+def centerlines(spark: SparkSession, root: str, split: str = "train") -> DataFrame:
+    """A split's road centre lines, a row each (S9): segment, line of struct(x, y, z).
+
+    The first of the known names that is there is read, as Parquet with a column ``lane_segment`` of
+    frames or with a row a line; pickles are never read, they can run code.
+    """
+    found = {r["name"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(root).select(F.explode(F.split("path", "/")).alias("name")).distinct().collect()}
+    name = next((n for c in CENTERLINES if (n := c.format(split=split)) in found), None)
+    if name is None:
+        raise FileNotFoundError(f"no centre lines in {root}: " + ", ".join(c.format(split=split) for c in CENTERLINES))
+    rows = spark.read.parquet(f"{root}/{name}")
+    if "lane_segment" in rows.columns:
+        rows = rows.select(F.explode("lane_segment").alias("s")).select(F.col("s.centerline").alias("centerline"))
+    line = F.transform("centerline", lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y"), p[2].cast("double").alias("z")))
+    return rows.select(F.monotonically_increasing_id().alias("segment"), line.alias("line"))
+
+
+def canonical_lanes(spark: SparkSession, pattern: str, name: str = "canonicals") -> DataFrame:
+    """Lanes of NPZ files (S10): path, lane, line. Arrays of objects are refused, they can run code."""
+    schema = "path string, lane int, line array<struct<x: double, y: double>>"
+
+    def run(stream):
+        for batch in stream:
+            for path, content in zip(batch.path, batch.content, strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    lines = held[name].astype(float).reshape(len(held[name]), -1, 2)
+                yield pd.DataFrame({"path": path, "lane": np.arange(len(lines), dtype=np.int32), "line": [[{"x": x, "y": y} for x, y in one] for one in lines.tolist()]})
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, schema)
+
+
+def configuration(spark: SparkSession, path: str) -> LaneConfig:
+    """Parameters of a YAML file over the defaults (S11): sections data, assignment, model, temporal and training."""
+    import yaml
+
+    given = yaml.safe_load("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())) or {}  # one small file
+    found = {field: given[part][key] for (part, key), field in SETTINGS.items() if given.get(part) and key in given[part]}
+    kinds = {f.name: type(f.default) for f in fields(LaneConfig)}
+    return replace(DEFAULT, **{n: kinds[n](x) for n, x in found.items()})
+
+
+#: Where a file states each parameter.
+SETTINGS = {
+    ("data", "image_width"): "width", ("data", "image_height"): "height", ("assignment", "lateral_threshold_px"): "reject_px", ("assignment", "lane_change_std_px"): "change_std_px",
+    ("assignment", "min_tracklet_points"): "min_points", ("model", "polyline_k"): "polyline_points", ("contrastive_training", "role_similarity_threshold"): "role_cosine", ("contrastive_training", "max_traj_per_lane"): "max_trajectories",
+    ("temporal", "window_size_sec"): "window_size", ("temporal", "window_stride_sec"): "window_stride", ("temporal", "total_time_sec"): "window_total", ("temporal", "min_traj_per_window"): "min_window_trajectories",
+}
 
 
 def histories(spark: SparkSession, path: str) -> DataFrame:
@@ -137,13 +190,67 @@ def write_assignments(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)
 
 
-def write_small(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A summary, table or history as one CSV or JSON file (K3-K8); for rows by camera or variant."""
-    one = rows.coalesce(1).write
+def _one_file(rows: DataFrame, columns: tuple[str, ...], path: str, fmt: str) -> None:
+    """One CSV or JSON file of exactly these columns, for tables by camera, cluster, variant or method."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"nothing to write as {', '.join(missing)}")
+    one = rows.select(*columns).coalesce(1).write
     one.option("header", True).csv(path) if fmt == "csv" else one.json(path)
 
 
+def write_summary(rows: DataFrame, path: str) -> None:
+    """Tracks by camera (K3)."""
+    _one_file(rows, ("camera", "total_tracks", "assigned_tracks", "rejected_tracks", "rejection_rate"), path, "csv")
+
+
+def write_clusters(assigned: DataFrame, stats: DataFrame, path: str) -> None:
+    """Each lane's cluster, and the clusters' table (K4)."""
+    _one_file(assigned, ("lane_key", "camera", "cluster"), f"{path}/assignments", "csv")
+    _one_file(stats, ("cluster", "n_lanes", "mean_speed", "mean_density", "mean_lat_rank", "edge_ratio", "inferred_type"), f"{path}/stats", "csv")
+
+
+def write_comparison(rows: DataFrame, path: str) -> None:
+    """Methods side by side, for people and for programs (K5); numbers that a method lacks are a dash in the CSV."""
+    names = ("method", "supervision", "match_sim", "lat_diff", "edge_acc", "anomaly", "generalizes")
+    _one_file(rows, names, f"{path}/json", "json")
+    told = rows.select(*(F.when(F.col(n).isNull(), F.lit("\u2014")).otherwise(F.format_string("%.3f", F.col(n))).alias(n) if dict(rows.dtypes)[n] in ("double", "float") else F.col(n) for n in names))
+    _one_file(told, names, f"{path}/csv", "csv")
+
+
+def write_loco(metrics: DataFrame, path: str) -> None:
+    """A method's metrics of each camera, as one JSON map (K6)."""
+    values = F.struct(*(c for c in metrics.columns if c not in ("method", "camera")))
+    rows = metrics.groupBy("method").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("camera"), values.alias("value")))))).alias("value"))
+    rows.select("method", "value").write.partitionBy("method").text(path)
+
+
+def write_sweep(rows: DataFrame, path: str) -> None:
+    """Metrics by window size, kept by name and type (K7)."""
+    rows.coalesce(1).write.parquet(path)
+
+
+def write_run(history: DataFrame, params: dict[str, object], path: str) -> None:
+    """A run's history (metric to its values by epoch) and parameters (K8)."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("epoch", "value"))), lambda z: z["value"])
+    lists = history.groupBy("variant", "metric").agg(values.alias("values"))
+    maps = lists.groupBy("variant").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "values")))).alias("value"))
+    maps.write.partitionBy("variant").text(f"{path}/history")
+    spark = history.sparkSession
+    spark.createDataFrame([(n, str(x)) for n, x in sorted(params.items())], "name string, value string").coalesce(1).write.json(f"{path}/params")
+
+
+def write_dumps(points: DataFrame, path: str) -> None:
+    """Vehicle points of each camera, without and with their class (K9)."""
+    for with_class in (False, True):
+        car_points(points, with_class).write.partitionBy("camera").parquet(f"{path}/{'cars_class' if with_class else 'cars'}")
+
+
 def car_points(points: DataFrame, with_class: bool = False) -> DataFrame:
-    """The columns that point dumps hold (K9)."""
+    """The columns that point dumps hold."""
     return points.select("camera", "time", "track_id", *(["class"] if with_class else []), "x", "y")
 
+
+def frame_seconds(points: DataFrame, fps: float) -> DataFrame:
+    """Seconds from the start of a video, by frame number."""
+    return points.withColumn("time", F.col("frame_num") / F.lit(float(fps)))
