@@ -88,3 +88,22 @@ def test_joint(spark):
         p = enc.project(seq, W)[use].mean(0) if use else np.zeros(8)
         assert np.allclose(r["projection"], p / max(np.linalg.norm(p), 1e-12))
     assert len(got) == 12
+
+
+def test_relational_conditions(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    w = models.relation_weights(8, 6, seed=2)
+    models.save_weights(w, tmp_path / "w.npz")
+    w = models.load_weights(tmp_path / "w.npz")
+    rows = [(k, [float(x) for x in rng.random(5)], line(rng.random((4, 2))) if k else None, 0.5, 0.1) for k in range(4)]
+    df = spark.createDataFrame(rows, "lane long, e array<double>, neighbour_line array<struct<x: double, y: double>>, merge_point double, offset double")
+    got = {r["lane"]: r["e"] for r in models.relational_conditions(df, "lane", w).collect()}
+    for k, e, near, merge, offset in rows:
+        x = np.r_[np.ravel([(p["x"], p["y"]) for p in near]), merge, offset, 1.0] if near else np.zeros(11)
+        for name in "ab":
+            x = models.dense(x, w[name])
+            x = models.gelu((x - x.mean()) / np.sqrt(x.var() + 1e-5))
+        assert np.allclose(got[k], np.r_[e, x])
+    sampled = models.sample(models.relational_conditions(df, "lane", w), "lane", models.denoiser_weights(geom=8, cond=11, hidden=8), candidates=2, steps=5)
+    first = sorted((r["lane"], r["candidate"], r["values"]) for r in sampled.collect())
+    assert len(first) == 8 and first == sorted((r["lane"], r["candidate"], r["values"]) for r in sampled.collect())

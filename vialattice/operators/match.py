@@ -302,11 +302,7 @@ def info_nce_batches(index: DataFrame, size: int = 500, temperature: float = 0.0
     """
 
     def losses(t: pd.DataFrame) -> pd.DataFrame:
-        e, role, rank = np.stack(t.e.to_numpy()), np.stack(t.role.to_numpy()), t["rank"].to_numpy()
-        left, right, camera, lane = t.is_left.to_numpy(), t.is_right.to_numpy(), t.camera.to_numpy(), t.lane.to_numpy()
-        norm = np.sqrt((role * role).sum(1)) + 1e-8
-        pos = (left[:, None] == left) & (right[:, None] == right) & (camera[:, None] != camera)
-        pos &= (np.round(np.abs(rank[:, None] - rank), 9) <= config.rank_gap) & (np.round(role @ role.T / (norm[:, None] * norm), 9) >= config.role_cosine)
+        e, lane, pos = np.stack(t.e.to_numpy()), t.lane.to_numpy(), _positives(t, config)
         s = e @ e.T / temperature
         s[lane[:, None] == lane] = -np.inf  # not with itself
         m, n_pos = s.max(axis=1, keepdims=True), pos.sum(axis=1)
@@ -320,6 +316,58 @@ def info_nce_batches(index: DataFrame, size: int = 500, temperature: float = 0.0
     return rows.groupBy("batch").applyInPandas(losses, "lane long, batch long, loss double, n_pos long")
 
 
+def phase_weights(epoch: int, epochs: int, role_weight: float = 2.0) -> tuple[float, float]:
+    """Weights of the contrastive and the role loss: roles first, then both, then matching."""
+    share = epoch / max(epochs, 1)
+    return (0.3, role_weight) if share < 0.3 else (1.0, 1.0) if share < 0.7 else (2.0, 0.5)
+
+
+LOSS = "batch long, contrastive double, role double, total double, n_pos long, mean_pos double, mean_neg double"
+
+
+def training_loss(index: DataFrame, epoch: int, epochs: int, size: int = 500, temperature: float = 0.07, config: LaneConfig = DEFAULT) -> DataFrame:
+    """The loss of each batch (``lane div size``) and its parts (N8): a row a batch.
+
+    ``index`` has logits pred_rank, pred_left, pred_right, pred_size, too. A lane's contrastive loss
+    is the share of its positives in the sum of exponentials over all others; lanes without
+    positives have none, and a batch without any has 0. A batch holds at most ``size`` lanes.
+    """
+    contrastive_weight, role_weight = phase_weights(epoch, epochs)
+
+    def cross_entropy(logit: np.ndarray, target: np.ndarray, weight: float = 1.0) -> np.ndarray:
+        return (1 - target) * logit + (1 + (weight - 1) * target) * (np.log1p(np.exp(-np.abs(logit))) + np.maximum(-logit, 0))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        e, pos = np.stack(t.e.to_numpy()), _positives(t, config)
+        sim = e @ e.T
+        other = ~np.eye(len(t), dtype=bool)
+        s = np.where(other, sim / temperature, -np.inf)
+        some = pos.any(axis=1)
+        contrastive = 0.0
+        if some.any():
+            m = s[some].max(axis=1, keepdims=True)
+            x = np.exp(s[some] - m)
+            contrastive = float(np.mean(np.log(x.sum(axis=1)) - np.log(np.where(pos[some], x, 0).sum(axis=1))))
+        flags = [t[c].to_numpy(float) for c in ("is_left", "is_right")]
+        edge = np.mean([cross_entropy(t[c].to_numpy(float), f, 3.0) for c, f in zip(("pred_left", "pred_right"), flags, strict=True)])
+        role = float(cross_entropy(t.pred_rank.to_numpy(float), t["rank"].to_numpy(float)).mean() + edge + 0.5 * cross_entropy(t.pred_size.to_numpy(float), t.group_size.to_numpy(float)).mean())
+        rest = other & ~pos
+        means = [float(sim[at].mean()) if at.any() else 0.0 for at in (pos, rest)]
+        return pd.DataFrame([(int(t.batch.iloc[0]), contrastive, role, contrastive_weight * contrastive + role_weight * role, int(pos.sum()) // 2, *means)], columns=[c.split()[0] for c in LOSS.split(", ")])
+
+    rows = index.select(F.floor(F.col("lane") / size).alias("batch"), "lane", "camera", "rank", "is_left", "is_right", "group_size", "role", "e", "pred_rank", "pred_left", "pred_right", "pred_size")
+    return rows.groupBy("batch").applyInPandas(run, LOSS)
+
+
+def _positives(t: pd.DataFrame, config: LaneConfig) -> np.ndarray:
+    """Which lanes of a batch are positives of each other, as in ``positive_pairs``."""
+    role, rank = np.stack(t.role.to_numpy()), t["rank"].to_numpy()
+    left, right, camera = t.is_left.to_numpy(), t.is_right.to_numpy(), t.camera.to_numpy()
+    norm = np.sqrt((role * role).sum(1)) + 1e-8
+    pos = (left[:, None] == left) & (right[:, None] == right) & (camera[:, None] != camera)
+    return pos & (np.round(np.abs(rank[:, None] - rank), 9) <= config.rank_gap) & (np.round(role @ role.T / (norm[:, None] * norm), 9) >= config.role_cosine)
+
+
 def rank_consistency(predictions: DataFrame) -> DataFrame:
     """Each group's squared distance of its sorted predicted ranks from equal spacing (N9): grp, loss."""
     p = predictions.withColumn("p", v.sigmoid(F.col("pred")))

@@ -1,4 +1,4 @@
-"""Forward passes of the small networks, in NumPy on Arrow batches.
+"""Forward passes of the small networks, in NumPy on Arrow batches.
 
 Weights are plain arrays, a few hundred kilobytes, that travel with the function. None are shipped;
 the makers below give fixed random ones, and trained ones can be loaded in their place.
@@ -142,3 +142,48 @@ def sample(conditions: DataFrame, key: str, w: Weights, candidates: int = 4, ste
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array([k % candidates for k in range(len(ids))], pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=[key, "candidate", "values"])
 
     return conditions.select(key, "e").mapInArrow(run, f"{key} {dict(conditions.dtypes)[key]}, candidate int, values array<double>")
+
+
+def save_weights(w: Weights, path: str) -> None:
+    """Weights as one NPZ file."""
+    np.savez(path, **w)
+
+
+def load_weights(path: str) -> Weights:
+    """Weights of an NPZ file (S12); arrays of objects are refused, they can run code."""
+    with np.load(path, allow_pickle=False) as held:
+        return {n: held[n] for n in held.files}
+
+
+def relation_weights(geom: int = 32, d: int = 64, seed: int = 0) -> Weights:
+    rng = np.random.default_rng(seed)
+    return {"a": _dense(rng, geom + 3, d), "b": _dense(rng, d, d)}
+
+
+def relate(neighbour: np.ndarray, merge_point: np.ndarray, offset: np.ndarray, related: np.ndarray, w: Weights) -> np.ndarray:
+    """What a lane's neighbour, merge point and offset say, as a vector."""
+    h = np.column_stack([neighbour, merge_point, offset, related])
+    for name in "ab":
+        h = dense(h, w[name])
+        h = gelu((h - h.mean(axis=1, keepdims=True)) / np.sqrt(h.var(axis=1, keepdims=True) + 1e-5))
+    return h
+
+
+def relational_conditions(rows: DataFrame, key: str, w: Weights) -> DataFrame:
+    """key and e: behaviour and relation side by side, a condition for ``sample``.
+
+    ``rows``: key, e, neighbour_line, merge_point, offset; a null neighbour is no relation.
+    """
+    width = w["a"].shape[0] - 4
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            lines = [np.ravel([(p["x"], p["y"]) for p in x]) if x is not None else np.zeros(width) for x in batch.column(2).to_pylist()]
+            related = batch.column(2).is_valid().to_numpy(zero_copy_only=False).astype(float)
+            merge, offset = (batch.column(k).fill_null(0.0).to_numpy(zero_copy_only=False) * related for k in (3, 4))
+            r = relate(np.reshape(lines, (-1, width)), merge, offset, related, w)
+            e = [np.r_[a, b] for a, b in zip(batch.column(1).to_pylist(), r, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e, pa.list_(pa.float64()))], names=[key, "e"])
+
+    given = rows.select(key, F.col("e").cast("array<double>").alias("e"), "neighbour_line", F.col("merge_point").cast("double").alias("merge_point"), F.col("offset").cast("double").alias("offset"))
+    return given.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, e array<double>")

@@ -385,3 +385,23 @@ def pixel_roundtrip(spark, sf_dir):
 
     rows = lane_op.pixels(lane_op.normalized(points(spark, sf_dir).withColumn("frame_num", F.col("event_id") % 100000)))
     return files.frame_seconds(rows, 25).select("event_id", *r6("time", "x", "y"))
+
+
+def _bce_sql(x: str, y: str, weight: str = "1") -> str:
+    return f"((1 - {y}) * {x} + (1 + ({weight} - 1) * {y}) * (ln(1 + exp(-abs({x}))) + greatest(-{x}, 0)))"
+
+
+@query(f"""with {INDEX_SQL}, lanes as (select *, lane // 500 as batch, 2 * e[1] as pr, 3 * e[2] as pl, 3 * e[3] as pt, 2 * e[4] as ps from idx),
+s as (select a.batch, a.lane, list_dot_product(a.e, b.e) as sim,
+    a.is_left = b.is_left and a.is_right = b.is_right and a.camera <> b.camera and round(abs(a.rank - b.rank), 9) <= 0.15::double
+    and round(list_dot_product(a.role, b.role) / ((sqrt(list_dot_product(a.role, a.role)) + 1e-8) * (sqrt(list_dot_product(b.role, b.role)) + 1e-8)), 9) >= 0.8::double as pos
+  from lanes a join lanes b on a.batch = b.batch and a.lane <> b.lane),
+l as (select batch, lane, ln(sum(exp(sim / 0.07::double))) - ln(sum(exp(sim / 0.07::double)) filter (where pos)) as loss from s group by all),
+c as (select batch, coalesce(avg(loss), 0) as contrastive from l group by batch),
+m as (select batch, sum(pos::int)::bigint // 2 as n_pos, coalesce(avg(sim) filter (where pos), 0) as mean_pos, coalesce(avg(sim) filter (where not pos), 0) as mean_neg from s group by batch),
+r as (select batch, avg({_bce_sql("pr", "rank")}) + (avg({_bce_sql("pl", "is_left::int", "3")}) + avg({_bce_sql("pt", "is_right::int", "3")})) / 2 + 0.5::double * avg({_bce_sql("ps", "group_size")}) as role from lanes group by batch)
+select batch, round(contrastive, 6) as contrastive, round(role, 6) as role, round(contrastive + role, 6) as total, n_pos, round(mean_pos, 6) as mean_pos, round(mean_neg, 6) as mean_neg from r join c using (batch) join m using (batch)""")
+def training_loss(spark, sf_dir):
+    e = F.col("e")
+    rows = index(spark, sf_dir).withColumns({"pred_rank": 2 * e[0], "pred_left": 3 * e[1], "pred_right": 3 * e[2], "pred_size": 2 * e[3]})
+    return match.training_loss(rows, epoch=50, epochs=100).select(*longs("batch"), *r6("contrastive", "role", "total"), "n_pos", *r6("mean_pos", "mean_neg"))
