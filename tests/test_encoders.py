@@ -107,3 +107,52 @@ def test_relational_conditions(spark, tmp_path):
     sampled = models.sample(models.relational_conditions(df, "lane", w), "lane", models.denoiser_weights(geom=8, cond=11, hidden=8), candidates=2, steps=5)
     first = sorted((r["lane"], r["candidate"], r["values"]) for r in sampled.collect())
     assert len(first) == 8 and first == sorted((r["lane"], r["candidate"], r["values"]) for r in sampled.collect())
+
+
+def test_points_encoder(spark, data):
+    w = models.transformer_weights(8, 2, 2, seed=1)
+    lanes, _ = data
+    df = tables(spark, data)[0]
+    got = {r["lane"]: r["embedding"] for r in models.encode(df.select("lane", "line"), "lane", w).collect()}
+    for k, points, _ in lanes:
+        x = models.dense(points, w["points"])
+        for pos in range(4):
+            for j in range(4):
+                angle = pos * np.exp(-np.log(10000.0) * 2 * j / 8)
+                x[pos, 2 * j] += np.sin(angle)
+                x[pos, 2 * j + 1] += np.cos(angle)
+        for layer in range(2):
+            out = np.zeros_like(x)
+            for head in range(2):
+                part = slice(4 * head, 4 * head + 4)
+                q, key, v = (models.dense(x, w[f"{n}{layer}"])[:, part] for n in "qkv")
+                for a in range(4):
+                    share = np.exp([q[a] @ key[b] / 2 for b in range(4)])
+                    out[a, part] = (share / share.sum()) @ v
+            x = x + models.dense(out, w[f"o{layer}"])
+            x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5)
+            x = x + models.dense(models.gelu(models.dense(x, w[f"up{layer}"])), w[f"down{layer}"])
+            x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5)
+        assert np.allclose(got[k], x.mean(0))
+
+
+def test_per_camera_models(spark):
+    from vialattice.operators import baselines
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(3):
+        for k in range(5):  # statistics tell the rank, by another rule on each camera
+            rows.append((f"c{c}", 10 * c + k, [float(x) for x in (k / 4 * (c + 1), 1 - k / 4, rng.random() / 100, 0.5)], k / 4, k == 0, k == 4))
+    rows.append(("alone", 99, [0.1, 0.2, 0.3, 0.4], 0.5, True, True))
+    df = spark.createDataFrame(rows, "camera string, lane long, stats array<double>, rank double, is_left boolean, is_right boolean")
+    errors = baselines.per_camera(df).collect()
+    assert {(r["trained"], r["camera"]) for r in errors} == {(f"c{a}", b) for a in range(3) for b in ("c0", "c1", "c2", "alone")}
+    for r in errors:
+        own = [x for x in rows if x[0] == r["trained"]]
+        w = baselines.train(np.array([x[2] for x in own]), np.array([x[3:] for x in own], float))
+        there = [x for x in rows if x[0] == r["camera"]]
+        out = baselines._forward(np.array([x[2] for x in there]), w)[1]
+        assert np.isclose(r["lat_rank_diff"], np.mean(np.abs(out[:, 0] - [x[3] for x in there]))) and r["n"] == len(there)
+    told = {r["part"]: r for r in baselines.seen_and_unseen(spark.createDataFrame(errors)).collect()}
+    assert told["seen"]["n"] == 3 and told["seen"]["lat_rank_diff"] < 0.15 and told["seen"]["lat_rank_diff"] < told["unseen"]["lat_rank_diff"]

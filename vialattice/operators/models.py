@@ -50,14 +50,49 @@ def encode_lines(lines: np.ndarray, w: Weights) -> np.ndarray:
     return dense(gelu(dense(x, w["a"])), w["b"])
 
 
+def transformer_weights(d: int = 64, layers: int = 2, heads: int = 4, seed: int = 0) -> Weights:
+    """Of an encoder of points as tokens; ``heads`` is kept as the length of a marker."""
+    rng = np.random.default_rng(seed)
+    out: Weights = {"points": _dense(rng, 2, d), "heads": np.zeros(heads)}
+    for k in range(layers):
+        out |= {f"{n}{k}": _dense(rng, d, d) for n in ("q", "k", "v", "o")}
+        out |= {f"up{k}": _dense(rng, d, 4 * d), f"down{k}": _dense(rng, 4 * d, d)}
+        out |= {f"{n}{k}": np.stack([np.ones(d), np.zeros(d)]) for n in ("first", "second")}
+    return out
+
+
+def _normal(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    return (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + 1e-5) * norm[0] + norm[1]
+
+
+def encode_points(lines: np.ndarray, w: Weights) -> np.ndarray:
+    """Attention among a polyline's points, and their mean, over (n, k, 2) polylines."""
+    n, k, _ = lines.shape
+    d, heads = w["points"].shape[1], len(w["heads"])
+    angle = np.arange(k)[:, None] * np.exp(-math.log(10000.0) * np.arange(0, d, 2) / d)
+    x = dense(lines, w["points"]) + np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(k, d)
+    for layer in range(sum(name.startswith("up") for name in w)):
+        q, key, v = (dense(x, w[f"{name}{layer}"]).reshape(n, k, heads, -1).transpose(0, 2, 1, 3) for name in "qkv")
+        scores = q @ key.transpose(0, 1, 3, 2) / math.sqrt(d // heads)
+        share = np.exp(scores - scores.max(axis=-1, keepdims=True))
+        mixed = (share / share.sum(axis=-1, keepdims=True)) @ v
+        x = _normal(x + dense(mixed.transpose(0, 2, 1, 3).reshape(n, k, d), w[f"o{layer}"]), w[f"first{layer}"])
+        x = _normal(x + dense(gelu(dense(x, w[f"up{layer}"])), w[f"down{layer}"]), w[f"second{layer}"])
+    return x.mean(axis=1)
+
+
 def encode(rows: DataFrame, key: str, w: Weights) -> DataFrame:
-    """key and embedding of each polyline; all have the length that the weights are for."""
+    """key and embedding of each polyline; all have the length that the weights are for.
+
+    The weights tell the encoder: attention among points, or Fourier features.
+    """
+    forward, width = (encode_points, w["points"].shape[1]) if "points" in w else (encode_lines, w["b"].shape[1])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             flat = batch.column(1).flatten()
             xy = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
-            out = encode_lines(xy.reshape(batch.num_rows, -1, 2), w) if batch.num_rows else np.zeros((0, w["b"].shape[1]))
+            out = forward(xy.reshape(batch.num_rows, -1, 2), w) if batch.num_rows else np.zeros((0, width))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=[key, "embedding"])
 
     return rows.select(key, "line").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>")
