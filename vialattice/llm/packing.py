@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.taskcontext import TaskContext
 
-from .common import batches, materialize, pick
+from .common import batches, materialize, pick, tidied
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"
 
@@ -110,7 +110,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: in
                     at += length
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, PIECES)
+    return pick(docs, "doc_id", "text").mapInArrow(tidied(run), PIECES)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 1024, end_id: int
                 offset[rows] = at[k] + (nth % times[k]) * size
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -23,10 +23,14 @@ URL_RULES = (
     urls.Rule("block", "example.net", "/de/8"),
     urls.Rule("block", "org", "/es/"),
 )
-#: The key of surrogates. A deployment gives its own secret.
+#: The key of surrogates where the session names none; a deployment sets its own secret there.
 PII_KEY = "vialattice"
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.vialattice.surrogateKey", PII_KEY)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -61,7 +65,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
