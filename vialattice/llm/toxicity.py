@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, pick, place
+from .common import batches, materialize, pick, place, tidied
 
 WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 MARKS = frozenset("\"“”„«»")
@@ -163,11 +164,12 @@ class Scorer:
         return [math.log1p(c) for c in (count[1], count[2], count[3], count[0])] + [min(1.0, 20 * (count[1] + count[2] + count[3]) / (len(words) + 20)), float(count[1] + count[2] > 0)]
 
     def _quoted(self, at: int, marks: list[int], reports: list[int]) -> bool:
-        near = self.p.window
-        before = [m for m in marks if at - near <= m < at]
-        after = [m for m in marks if at < m <= at + near]
-        inside = bool(before) and bool(after) and sum(m < at for m in marks) % 2 == 1
-        return inside or any(abs(r - at) <= near // 2 for r in reports)
+        """By the nearest marks and verbs alone, found by bisection, so that long texts take little."""
+        near, k = self.p.window, bisect_left(marks, at)
+        if k % 2 and marks[k - 1] >= at - near and k < len(marks) and marks[k] <= at + near:
+            return True
+        r, reach = bisect_left(reports, at), near // 2
+        return r < len(reports) and reports[r] - at <= reach or r > 0 and at - reports[r - 1] <= reach
 
 
 @dataclass(frozen=True)
@@ -226,7 +228,7 @@ def _term_counts(rows: DataFrame, p: Params) -> DataFrame:
                 yield flush()
         yield flush()
 
-    found = rows.select("text", "toxic").mapInArrow(run, "term string, n_toxic long, n_other long")
+    found = rows.select("text", "toxic").mapInArrow(tidied(run), "term string, n_toxic long, n_other long")
     return found.groupBy("term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
 
 
@@ -238,7 +240,7 @@ def _features(docs: DataFrame, model: Model, extra: tuple[str, ...]) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["features", *extra])
 
     kinds = dict(docs.dtypes)
-    return docs.select("text", *extra).mapInArrow(run, ", ".join(["features array<double>", *(f"{c} {kinds[c]}" for c in extra)]))
+    return docs.select("text", *extra).mapInArrow(tidied(run), ", ".join(["features array<double>", *(f"{c} {kinds[c]}" for c in extra)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
@@ -270,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if lexicon.kind(w) == 3], pa.string())], names=["term"])
 
     # words of other rows that look like a misspelling; they are near a lexicon of bounded size
-    usual = counts.where("n_other > 0 and term not like '%*'").select("term").mapInArrow(alike, "term string")
+    usual = counts.where("n_other > 0 and term not like '%*'").select("term").mapInArrow(tidied(alike), "term string")
     model = Model(terms, stems, frozenset(r["term"] for r in usual.collect()), np.zeros(7), p)
     if not toxic or not other:
         share = toxic / (toxic + other) if toxic + other else 0.0
@@ -290,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.asarray([scorer.features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    scored = pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = pick(docs, "doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= model.p.threshold).cast("int").alias("predicted"))
 
 
@@ -304,4 +306,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             x = np.asarray([scorer.features(t) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, 6)
             yield batch.filter(pa.array(model.score(x) < model.p.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
