@@ -1,6 +1,7 @@
 """Toxicity, surrogates and the pipeline on small cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vialattice.llm import pii, toxicity
+from vialattice.llm.queries import pii_key
 
 
 def edits(a, b):
@@ -101,7 +103,7 @@ def test_surrogates():
     assert kinds == ["email", "email", "phone", "card", "ip", "iban", "name", "name"]
     for kind, start, end, value in found:
         assert text[start:end].lower() != value.lower() and value in new, kind
-    assert found[0][3] == found[1][3] and found[0][3].endswith(".org")  # one address
+    assert found[0][3] == found[1][3] and found[0][3].endswith(".org.example")  # one address
     assert found[6][3].startswith("Señora ") and found[6][3].split()[1].endswith("a")
     assert new.endswith("CC BY-NC 4.0, Version 2.0.")
     digits = [int(c) for c in found[3][3] if c.isdigit()]
@@ -128,6 +130,27 @@ def test_names_are_distinct_under_any_title():
     assert len(set(words)) == 1 and words[0].split()[0].endswith("a")
 
 
+def test_secrets_and_addresses_are_distinct():
+    s = pii.Surrogates("k")
+    alphabet = "0aAgG9fFzZ"
+    given = [f"token={a}{b}{c}00000" for a in alphabet for b in alphabet for c in alphabet]
+    got = [s.replace("secret", g) for g in given]
+    assert len(set(got)) == len(given) and all(a != b for a, b in zip(given, got, strict=True))
+    hexes = [s.replace("secret", f"token={k:08x}") for k in range(0, 1 << 16, 97)]
+    assert all(set(h.removeprefix("token=")) <= set("0123456789abcdef") for h in hexes) and len(set(hexes)) == len(hexes)
+    mails = [f"{a}@{d}" for a in ("a", "b", "a1") for d in ("b.com", "b.org", "c.com", "b.com.org", "x.b.com")]
+    got = [s.replace("email", m) for m in mails]
+    assert len(set(got)) == len(mails) and all(g.endswith(".example") for g in got)
+
+
+def test_names_after_greetings():
+    s = pii.Surrogates("k")
+    new, found = pii.find_and_replace("Dear Anna Schmidt, and Liebe Eva Maier! Dear all, Dear Sir or Lieber Gott im. Dr. Anna Schmidt", s)
+    assert [f[0] for f in found] == ["greeted", "greeted", "name"]
+    assert found[0][3].removeprefix("Dear ") == found[2][3].removeprefix("Dr. ")  # one person, one surrogate
+    assert new.endswith("Dear all, Dear Sir or Lieber Gott im. " + found[2][3])
+
+
 def test_collisions_are_resolved():
     s = pii.Surrogates("k")
     s.replace = lambda kind, x: {"111-11-1111": "333-33-3333", "222-22-2222": "333-33-3333", "333-33-3333": "555-55-5555"}.get(x, "444-44-4444")
@@ -164,3 +187,28 @@ def test_pipeline(spark, corpus, tmp_path):
         out = stage(spark, seen, str(tmp_path))
         assert out.columns == seen.columns, name
         assert stage(spark, seen.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_against_plain_versions(spark, corpus, tmp_path):
+    docs, labels = corpus
+    rows = [(1, "b c d e f g", "en", "s", 11), (1, "a c d e f g", "en", "s", 11), (2, None, "en", "s", 0), (2, None, "en", "s", 0), (3, "B c d e f g", "en", "s", 11), (None, "b c d e f g", "en", "s", 1), (None, "", "en", "s", 0), (7, "mail a@b.org", "en", "s", 12)]
+    given = spark.createDataFrame(rows, docs.schema)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None, r["text"] or "")
+    got = sorted(corpus_pipeline.keep_one_of_each(spark, given, str(tmp_path)).collect(), key=key)
+    assert [(r["doc_id"], r["text"]) for r in got] == [(1, "a c d e f g"), (2, None), (7, "mail a@b.org"), (None, ""), (None, "b c d e f g")]
+    s = pii.Surrogates(pii_key(spark))
+    got = sorted(corpus_pipeline.pseudonymize(spark, given, str(tmp_path)).collect(), key=key)
+    want = sorted((dict(zip(docs.columns, r, strict=True)) | {"text": r[1] and pii.find_and_replace(r[1], s)[0]} for r in rows), key=key)
+    assert [(r["doc_id"], r["text"]) for r in got] == [(r["doc_id"], r["text"]) for r in want]
+    # the whole run is the same again, whatever the partitions
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    first = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()))
+    docs.repartition(2).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert first == sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()))
+
+
+def test_long_texts_take_little():
+    scorer = toxicity.Scorer(toxicity.Lexicon(["scumbag"], [], frozenset(), 5), toxicity.Params())
+    began = time.process_time()
+    assert scorer.features('"scumbag" ' * 100_000)[3] > 0 and time.process_time() - began < 5

@@ -4,7 +4,11 @@ An entity's replaceable characters, each with the alphabet it comes from (a digi
 script, ...), are the digits of one mixed-radix number. A keyed permutation of that number's range
 without fixed points gives the surrogate. So equal entities get equal surrogates wherever they
 occur (coreference), different ones get different surrogates (distinctness), and no table of
-entities has to be kept, joined or sent around, at any corpus size.
+entities has to be kept, joined or sent around, at any corpus size. Alphabets are of one script, and
+last letters that often mark gender stay, as titles do.
+
+Names are found behind a title, or two capitalised words behind a greeting; a name that stands alone
+in prose isn't found, since nothing here knows names from other capitalised words.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pick, place
+from .common import batches, pick, place, tidied
 
 #: Honorifics before a person's name, by gender.
 HONORIFICS = {
@@ -27,14 +31,18 @@ HONORIFICS = {
     "f": ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Doña", "Госпожа"),
     "": ("Dr.", "Prof.", "Professor"),
 }
+#: Greetings before a given and a family name.
+GREETINGS = {"m": ("Lieber", "Cher", "Querido", "Estimado"), "f": ("Liebe", "Chère", "Querida", "Estimada"), "": ("Dear",)}
 TITLES = tuple(sorted((t for v in HONORIFICS.values() for t in v), key=len, reverse=True))
+GREETED = tuple(sorted((t for v in GREETINGS.values() for t in v), key=len, reverse=True))
 #: Letters that are exchanged among themselves.
 ALPHABETS = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñßšžčđ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 CLASS = {c: a for a in ALPHABETS for c in a} | {c.upper(): a.upper() for a in ALPHABETS[1:] for c in a if len(c.upper()) == 1 and c.upper() != c}
 #: Last letters that often mark gender. They stay, and no other letter becomes one of them.
 ENDINGS = "aoая"
 LAST = {c: "".join(x for x in a if x not in ENDINGS) for c, a in CLASS.items() if c not in ENDINGS}
-HEX = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
+#: Of secrets, letters of hexadecimal numbers stay apart from the others, so each kind of string keeps its kind.
+SECRET = {c: a for a in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ") for c in a}
 ENTITY = re.compile(
     r"(?P<secret>\bAKIA[A-Z0-9]{16}\b|\b(?:password|passwd|pwd|secret|api_key|apikey|token)\s*[=:]\s*\"?[A-Za-z0-9+/_\-]{8,}\"?)"
     r"|(?P<email>[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"
@@ -44,6 +52,7 @@ ENTITY = re.compile(
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\d.])(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\d])|(?<!\w)\+\d[\d .\-()]{7,17}\d(?!\d))"
     r"|(?P<name>(?<!\w)(?:" + "|".join(map(re.escape, TITLES)) + r")\s+[^\W\d_]+(?:[\-'][^\W\d_]+)*(?!\w)(?:\s+[^\W\d_]+(?:[\-'][^\W\d_]+)*(?!\w))?)"
+    r"|(?P<greeted>(?<!\w)(?:" + "|".join(map(re.escape, GREETED)) + r")[ \u00a0][^\W\d_]+(?:[\-'][^\W\d_]+)*[ \u00a0][^\W\d_]+(?:[\-'][^\W\d_]+)*(?!\w))"
 )
 DIGIT = re.compile(r"\d")
 
@@ -101,13 +110,12 @@ class Surrogates:
 
     def _secret(self, s: str) -> str:
         value = s.startswith("AKIA") and 4 or re.match(r"\w+\s*[=:]\s*\"?", s).end()
-        if re.fullmatch(r"[0-9a-f]+\"?", s[value:]):
-            return s[:value] + self.text(s[value:], "hex", kinds=HEX)
-        return s[:value] + self.text(s[value:], "secret")
+        return s[:value] + self.text(s[value:], "secret", kinds=SECRET)
 
     def _email(self, s: str) -> str:
+        """At a domain under ``.example``, which is nobody's."""
         local, _, domain = s.lower().rpartition("@")
-        return self.text(local, "email") + "@" + self.text(domain.rpartition(".")[0], "domain") + "." + domain.rpartition(".")[2]
+        return self.text(local, "email") + "@" + self.text(domain.rpartition(".")[0], "domain") + "." + domain.rpartition(".")[2] + ".example"
 
     def _ip(self, s: str) -> str:
         octets = [int(o) for o in s.split(".")]
@@ -150,8 +158,14 @@ class Surrogates:
         code = re.match(r"\+\d{1,3}(?=[ .\-(])", s)
         return self.text(s, "phone", frozenset(range(code.end() if code else 0)))
 
-    def _name(self, s: str) -> str | None:
-        title = next(t for t in TITLES if s.startswith(t) and s[len(t)].isspace())
+    def _greeted(self, s: str) -> str | None:
+        """After a greeting, only two capitalised words are a name."""
+        if not all(w[:1].isupper() and len(w) > 1 for w in s.split()[1:]):
+            return None
+        return self._name(s, GREETED)
+
+    def _name(self, s: str, titles: tuple[str, ...] = TITLES) -> str | None:
+        title = next(t for t in titles if s.startswith(t) and s[len(t)].isspace())
         words = re.split(r"(\s+|[\-'])", s[len(title) :].lstrip())
         if not words[0][:1].isupper():
             return None
@@ -165,7 +179,7 @@ class Surrogates:
 
 def find_and_replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and (kind, start, end, surrogate) of each entity in the given text."""
-    if not DIGIT.search(text) and "@" not in text and not any(t in text for t in TITLES) and "AKIA" not in text and "=" not in text and ":" not in text:
+    if not DIGIT.search(text) and "@" not in text and not any(t in text for t in TITLES) and not any(t in text for t in GREETED) and "AKIA" not in text and "=" not in text and ":" not in text:
         return text, []
     parts, found, at = [], [], 0
     given: dict[tuple[str, str], str] = {}
@@ -211,7 +225,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
             lists = [[dict(zip(("kind", "start", "end", "surrogate"), f, strict=True)) for f in found] for _, found in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for f in lists], pa.int64()), pa.array(lists, kind)], names=["doc_id", "text", "n_entities", "entities"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, text string, n_entities long, entities {ENTITIES}")
+    return pick(docs, "doc_id", "text").mapInArrow(tidied(run), f"doc_id long, text string, n_entities long, entities {ENTITIES}")
 
 
 def replace_text(docs: DataFrame, key: str) -> DataFrame:
@@ -230,7 +244,7 @@ def replace_text(docs: DataFrame, key: str) -> DataFrame:
                 columns[chars] = pa.array([n if a == b or a is None else len(b) for n, a, b in zip(old, given, new, strict=True)], batch.column(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:
