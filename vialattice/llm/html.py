@@ -11,7 +11,7 @@ class, id or role only, is asked for its share of the page's scored text first.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pick
+from .common import batches, pick, tidied
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+BREAK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(id|class|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -48,6 +50,8 @@ AFTER = frozenset("open opened closed enabled disabled".split())
 #: Shares of a page's scored text from which a name tells no furniture: if it has other words too, and if not.
 SHARES = (0.5, 0.9)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that say nothing of what their text is, and the share of the article's path score below which it is none.
+BOXES, THIN = frozenset("div section center".split()), 0.1
 #: Blocks that hold a page's regions, not a paragraph, an item, a cell or a heading.
 CONTAINERS = frozenset("html body article section main div center blockquote table tbody ul ol dl details figure".split())
 
@@ -78,43 +82,81 @@ def _furniture(tag: str, attributes: str) -> float:
 
 
 class _Page:
-    """Text nodes of a page in order: (block, node path, in furniture, text); names are judged later."""
+    """Text nodes of a page in order: (block, innermost element, in furniture, text); names are judged later.
+
+    Work is in proportion to the page: a quote that is never closed counts as an ordinary character,
+    and elements know their parents instead of their paths.
+    """
 
     def __init__(self, html: str):
-        self.nodes: list[tuple[int, tuple[int, ...], bool, str]] = []
+        self.nodes: list[tuple[int, int, bool, str]] = []
         self.tags: list[str] = []  # of each element
+        self.parent: list[int] = []  # -1: the page
         self.named: dict[int, float] = {}  # elements with names of furniture: share that overrules these
         self.stack: list[tuple[str, int, bool]] = []
+        self.open: Counter[str] = Counter()
         self.block = 0
-        at = 0
-        raw_end = 0
-        for m in TOKEN.finditer(html):
-            if m.start() < raw_end:
-                continue
+        self.unclosed: set[str] = set()  # quotes that don't occur any more
+        at, n = 0, len(html)
+        while at < n:
+            m = MARKUP.search(html, at)
+            if m is None:
+                break
             if m.start() > at:
                 self._text(html[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self._close(tag)
-            else:
-                self._open(tag, m[3] or "")
-                if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, at)
-                    at = raw_end = end.end() if end else len(html)
-                    self.stack.pop()
+            at = self._markup(html, m)
         self._text(html[at:])
 
+    def _markup(self, html: str, m: re.Match) -> int:
+        """Read the comment or tag that begins here; where the text goes on."""
+        n, kind = len(html), m[0]
+        for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if kind == begin:
+                found = html.find(end, m.end())
+                return found + len(end) if found >= 0 else n
+        if kind in ("<!", "<?"):
+            return html.find(">", m.end()) + 1 or n
+        name = NAME.match(html, m.end() - 1)
+        tag, at = name[0].lower(), name.end()
+        while True:
+            k = BREAK.search(html, at)
+            if k is None:
+                end = at = n
+                break
+            if k[0] == ">":
+                end, at = k.start(), k.end()
+                break
+            close = -1 if k[0] in self.unclosed else html.find(k[0], k.end())
+            if close < 0:
+                self.unclosed.add(k[0])
+            at = close + 1 if close >= 0 else k.end()
+        if kind[1] == "/":
+            self._close(tag)
+            return at
+        self._open(tag, html[name.end() : end])
+        if tag in RAW:
+            self._pop(len(self.stack) - 1)
+            close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, at) if f"</{tag}" not in self.unclosed else None
+            if close is None:
+                self.unclosed.add(f"</{tag}")
+            return close.end() if close else n
+        return at
+
     def _text(self, text: str) -> None:
         if text and (text.strip() or self.nodes and self.nodes[-1][0] == self.block):
-            self.nodes.append((self.block, tuple(e for _, e, _ in self.stack), bool(self.stack) and self.stack[-1][2], text))
+            self.nodes.append((self.block, self.stack[-1][1] if self.stack else -1, bool(self.stack) and self.stack[-1][2], text))
+
+    def _pop(self, to: int) -> None:
+        for tag, _, _ in self.stack[to:]:
+            self.open[tag] -= 1
+        del self.stack[to:]
 
     def _pop_to(self, tags: set[str] | frozenset[str], stop: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in tags:
-                del self.stack[k:]
+                self._pop(k)
                 return
             if self.stack[k][0] in stop:
                 return
@@ -131,22 +173,37 @@ class _Page:
                 self._text(" ")
             return
         bad = bool(self.stack) and self.stack[-1][2]
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        bad = bad or tag in NEVER or tag == "header" and not inside or bool(attributes) and _hidden(attributes)
+        bad = bad or tag in NEVER or tag == "header" and not (self.open["article"] or self.open["main"]) or bool(attributes) and _hidden(attributes)
         # an article within another is a comment on it or a teaser
-        named = attributes and not bad and tag not in ("html", "body", "main") and (tag != "article" or any(t == "article" for t, _, _ in self.stack))
+        named = attributes and not bad and tag not in ("html", "body", "main") and (tag != "article" or self.open["article"])
         if named and (share := _furniture(tag, attributes)):
             self.named[len(self.tags)] = share
+        self.parent.append(self.stack[-1][1] if self.stack else -1)
         self.tags.append(tag)
         self.stack.append((tag, len(self.tags) - 1, bad))
+        self.open[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if self.open[tag]:
+            self._pop(next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag))
+
+    def below(self, marked: set[int]) -> list[bool]:
+        """For each element, whether it is one of these or within one."""
+        out: list[bool] = []
+        for e, up in enumerate(self.parent):
+            out.append(e in marked or up >= 0 and out[up])
+        return out
+
+    def summed(self, values: dict[int, float]) -> list[float]:
+        """Values of innermost elements added up over all that hold them; the page's at the end."""
+        out = [0.0] * (len(self.tags) + 1)
+        for e, x in values.items():
+            out[e] += x
+        for e in range(len(self.parent) - 1, -1, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -158,25 +215,43 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), "valid")
 
 
-def _weigh(real: list, tags: list[str]) -> tuple[np.ndarray, dict[int, float]]:
-    """Which nodes are chosen, and each element's mass: its chosen nodes' scores by length."""
-    paths = ["/".join(tags[e] for e in n[1]) for n in real]
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, n in zip(paths, real, strict=True):
-        length[path] += len(n[3].strip())
-        marks[path] += len(PUNCTUATION.findall(n[3]))
-        count[path] += 1
-    ratio = _smooth(np.array([length[p] / count[p] for p in paths]))
-    stops = _smooth(np.array([marks[p] / count[p] for p in paths]))
-    score = ratio * (1 + stops)
+def _path_scores(page: _Page, real: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node's path, and its path's text length and punctuation for a node."""
+    known: dict[tuple[int, str], int] = {}  # a path is the path above and a tag
+    path: list[int] = []
+    for tag, up in zip(page.tags, page.parent, strict=True):
+        path.append(known.setdefault((path[up] if up >= 0 else -1, tag), len(known)))
+    at = np.array([path[n[1]] if n[1] >= 0 else len(known) for n in real])
+    count = np.bincount(at)
+    length = np.bincount(at, [len(n[3].strip()) for n in real])
+    marks = np.bincount(at, [len(PUNCTUATION.findall(n[3])) for n in real])
+    return at, length[at] / count[at], marks[at] / count[at]
+
+
+def _weigh(page: _Page, real: list) -> tuple[np.ndarray, list[float]]:
+    """Which nodes are chosen, and each element's mass (the page's at the end): its chosen nodes' scores by length."""
+    _, length, marks = _path_scores(page, real)
+    score = _smooth(length) * (1 + _smooth(marks))
     # fused: what the region around a node has, an element's text being worth its nodes' scores
     chosen = score >= min(score.mean(), score.std() or score.mean())
     mass: dict[int, float] = defaultdict(float)
-    for n, s, good in zip(real, score, chosen, strict=True):
+    for n, s, good in zip(real, score.tolist(), chosen.tolist(), strict=True):
         if good:
-            for e in (-1, *n[1]):  # -1: the page
-                mass[e] += s * len(n[3])
-    return chosen, mass
+            mass[n[1]] += s * len(n[3])
+    return chosen, page.summed(mass)
+
+
+def _thin_paths(page: _Page, kept: list) -> set[int]:
+    """Elements whose own text is on a path of hardly any text, beside the paths of the rest.
+
+    Only boxes are asked: paragraphs, headings, items and cells are the article's, however short.
+    """
+    if not kept:
+        return set()
+    _, length, marks = _path_scores(page, kept)
+    score, size = length * (1 + marks), np.array([len(n[3]) for n in kept])
+    low = THIN * (score * size).sum() / size.sum()
+    return {n[1] for n, s in zip(kept, score.tolist(), strict=True) if s < low and n[1] >= 0 and page.tags[n[1]] in BOXES}
 
 
 def extract(html: str | None) -> str:
@@ -185,32 +260,39 @@ def extract(html: str | None) -> str:
     tags = page.tags
     nodes = [n for n in page.nodes if not n[2]]
     real = [n for n in nodes if n[3].strip()]
+    heading = page.below({e for e, t in enumerate(tags) if t in HEADINGS})
     if page.named and real:
-        _, mass = _weigh(real, tags)
+        _, mass = _weigh(page, real)
         # names without other words hold, too, for what has no heading beside other text
-        heads = {e for n in real if any(tags[h] in HEADINGS for h in n[1]) for e in n[1]}
-        others = any(page.named.keys().isdisjoint(n[1]) for n in real)
-        named = {e for e, share in page.named.items() if mass.get(e, 0.0) < share * mass[-1] or share == SHARES[1] and others and e not in heads}
-        nodes = [n for n in nodes if named.isdisjoint(n[1])]
+        heads = page.summed(Counter(n[1] for n in real if n[1] >= 0 and heading[n[1]]))
+        furniture = page.below(set(page.named))
+        others = any(n[1] < 0 or not furniture[n[1]] for n in real)
+        named = page.below({e for e, share in page.named.items() if mass[e] < share * mass[-1] or share == SHARES[1] and others and not heads[e]})
+        nodes = [n for n in nodes if n[1] < 0 or not named[n[1]]]
         real = [n for n in nodes if n[3].strip()]
     if not real:
         return ""
-    chosen, mass = _weigh(real, tags)
-    marked = [e for e, t in enumerate(tags) if t in ("article", "main") and mass.get(e)]
+    chosen, mass = _weigh(page, real)
+    marked = [e for e, t in enumerate(tags) if t in ("article", "main") and mass[e]]
     if marked:
         top = max(mass[e] for e in marked)
         outer = {e for e in marked if mass[e] >= 0.05 * top}
         inner = [e for e in outer if tags[e] == "article"]
         roots = set(inner) if inner and sum(mass[e] for e in inner) >= 0.5 * top else outer
-        keep = [bool(roots.intersection(n[1])) for n in nodes]
+        within = page.below(roots)
+        keep = [n[1] >= 0 and within[n[1]] for n in nodes]
     else:
         # the deepest container that holds all that was chosen, and the page's headings
-        held = [n[1] for n, good in zip(real, chosen, strict=True) if good or any(tags[e] in HEADINGS for e in n[1])]
-        root = max((e for e in set(held[0]).intersection(*held[1:]) if tags[e] in CONTAINERS), default=None)
-        keep = [root is None or root in n[1] for n in nodes]
+        held = Counter(n[1] for n, good in zip(real, chosen.tolist(), strict=True) if good or n[1] >= 0 and heading[n[1]])
+        total = page.summed(held)
+        root = max((e for e, t in enumerate(tags) if t in CONTAINERS and total[e] == total[-1]), default=None)
+        within = page.below({root})
+        keep = [root is None or n[1] >= 0 and within[n[1]] for n in nodes]
+    kept = [n for n, k in zip(nodes, keep, strict=True) if k]
+    thin = _thin_paths(page, [n for n in kept if n[3].strip()])
     blocks: dict[int, list[str]] = defaultdict(list)
-    for n, k in zip(nodes, keep, strict=True):
-        if k:
+    for n in kept:
+        if n[1] not in thin:
             blocks[n[0]].append(n[3])
     lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)
@@ -229,4 +311,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pick(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pick(pages, "page_id", "url", "html").mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
