@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, pick
+from .common import new_path, pick, tidied
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 MANIFEST = "shard int, file string, n_records long, n_bytes long, sha256 string"
 SAMPLE = 20_000
+SALTS = 64
 
 
 def _digest(data: bytes) -> str:
@@ -105,11 +106,17 @@ def write(pages: DataFrame, path: str, rows_per_shard: int = 2000, roll_bytes: i
     """Write archives under ``path``; returns the manifest, which is kept in ``path/manifest``."""
     rows = pick(pages, "page_id", "url", "html")
     shard, shards = _shard(rows, rows_per_shard)
+    # rows without an id have no place in the order and are dealt by their content
+    shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "html"), F.lit(shards)).cast("int")).otherwise(shard)
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     # of pages with equal payloads, all but the last are revisits of it
     ids = rows.where("page_id is not null").select("page_id", digest.alias("digest"))
-    last = ids.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    revisits = ids.join(last, "digest").where("page_id < last").distinct()
+    last = ids.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    # pages of a very common payload are dealt over salts first, the others by their digests
+    common = last.where(F.col("n") >= 16 * SALTS).select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(common, ["digest", "salt"], "left").drop("salt")
+    rest = met.where("last is null").drop("last").join(last.where(F.col("n") < 16 * SALTS).drop("n"), "digest")
+    revisits = met.where("last is not null").unionByName(rest).where("page_id < last").distinct()
     marks = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("last").alias("refers_to"), "digest")
     given = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("digest"))
     both = marks.unionByName(given).withColumn("shard", shard)
@@ -152,7 +159,7 @@ def write(pages: DataFrame, path: str, rows_per_shard: int = 2000, roll_bytes: i
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "file", "n_records", "n_bytes", "sha256"])
 
-    both.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    both.mapInArrow(tidied(run), MANIFEST).write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -181,7 +188,7 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                 width = 7 if with_payload else 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns[:width], kinds[:width], strict=True)], names=names[:width])
 
-    return manifest.select("file").mapInArrow(run, RECORD + (", payload binary" if with_payload else ""))
+    return manifest.select("file").mapInArrow(tidied(run), RECORD + (", payload binary" if with_payload else ""))
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
