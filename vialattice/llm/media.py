@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from . import files
-from .common import new_path, pick
+from .common import new_path, pick, tidied
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -113,11 +114,11 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = 32 << 20) ->
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    pick(docs, "doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    pick(docs, "doc_id", "text").mapInArrow(tidied(run), MANIFEST).write.parquet(f"{path}/manifest")
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     """Members of an archive whose headers begin in start..end-1."""
 
     archive: str
@@ -127,6 +128,13 @@ class ByteRange(InputPartition):
     dir_bytes: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """What one task reads: a range of an archive, or several small archives."""
+
+    ranges: list[ByteRange]
+
+
 def directory(data: bytes) -> list[tuple[int, int, int, str]]:
     """(offset, stored bytes, crc32, name) of each member, from a zip archive's central directory."""
     at, out = 0, []
@@ -166,17 +174,34 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.split = int(options.get("split_bytes", 8 << 20))
+        self.most = int(options.get("most_partitions", 100_000))
         self.rows, self.bytes = int(options.get("batch_rows", 500)), int(options.get("batch_bytes", 8 << 20))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
+        """Ranges of about ``split_bytes``, or of more where there would be over ``most_partitions``."""
         system, path = files.at(f"{self.path}/manifest")
-        names = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-        found = [row for name in sorted(names) for row in pq.read_table(name, filesystem=system).to_pylist()]
-        return [ByteRange(r["archive"], k, min(k + self.split, r["dir_start"]), r["dir_start"], r["dir_bytes"]) for r in found for k in range(0, r["dir_start"], self.split)]
+        names = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+        found = pa.concat_tables([pq.read_table(name, filesystem=system) for name in names]) if names else None
+        if found is None or not found.num_rows:
+            return []
+        split = max(self.split, -(-pa.compute.sum(found["dir_start"]).as_py() // self.most))
+        out: list[ByteRanges] = []
+        held: list[ByteRange] = []
+        size = 0
+        for archive, dir_start, dir_bytes in zip(*(found[c].to_pylist() for c in ("archive", "dir_start", "dir_bytes")), strict=True):
+            for k in range(0, dir_start, split):
+                held.append(ByteRange(archive, k, min(k + split, dir_start), dir_start, dir_bytes))
+                size += held[-1].end - k
+                if 2 * size > split:
+                    out.append(ByteRanges(held))
+                    held, size = [], 0
+        return out + ([ByteRanges(held)] if held else [])
+
+    def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if partition is not None else ():  # None: no archives
+            yield from self._read(part)
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no archives
-            return
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         members = [m for m in directory(files.read(partition.archive, partition.dir_start, partition.dir_bytes)) if partition.start <= m[0] < partition.end]
         system, path = files.at(partition.archive)
         names = [c.split()[0] for c in MEMBERS.split(", ")]
@@ -236,7 +261,7 @@ def features(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "media").mapInArrow(tidied(run), FEATURES)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
