@@ -4,8 +4,10 @@ import base64
 import fnmatch
 import hashlib
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 
 from vialattice.llm import html, media, urls, warc
@@ -73,6 +75,16 @@ def test_archives_are_the_same_again(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_common_payloads_and_no_ids(spark):
+    rows = [(k, "u", "same") for k in range(3000)] + [(None, f"u{k}", f"{k}") for k in range(50)] + [(5000 + k, "u", "pair") for k in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(df, rows_per_shard=100).collect()
+    assert len(got) == len(rows)
+    same = [r for r in got if r["page_id"] is not None and r["page_id"] < 3000]
+    assert all((r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == 2999 else ("revisit", 2999)) for r in same)
+    assert sum(r["record_type"] == "revisit" for r in got) == 3000
+
+
 def test_damage_is_seen():
     data = bytearray(warc.record(1, "http://a", b"payload", None, 4))
     assert next(warc.records(bytes(data)))[1].endswith(b"payload")
@@ -125,6 +137,29 @@ def test_names_alone_exclude_no_content():
     assert html.extract(f"<article><p>{long}</p><div hidden><p>{long * 20}</p></div></article>") == text
 
 
+def test_paths_choose(monkeypatch):
+    long = "A paragraph, with words, and so on, to its end. " * 6
+    paragraphs, boxes = "".join(f"<p>{long}</p>" for _ in range(4)), "".join(f"<div>{long}</div>" for _ in range(4))
+    text = "\n".join([long.strip()] * 4)
+    advert = "<div class='xq7'>Buy now! Click here.</div>"
+    for page in (f"<article>{paragraphs}{advert}</article>", f"<body><section>{paragraphs}{advert}</section></body>"):
+        assert html.extract(page) == text
+    assert html.extract(f"<article><h1>T</h1><p>Short.</p>{boxes}</article>") == f"T\nShort.\n{text}"
+    assert html.extract("<article><div>Short.</div></article>") == "Short."
+    outside = f"<body><div>Visit us, please.</div><div id='x9'><h1>T</h1>{paragraphs}</div><div>One more offer.</div></body>"
+    assert html.extract(outside) == f"T\n{text}"
+    # without the scores none of this is told
+    monkeypatch.setattr(html, "_path_scores", lambda page, real: (np.zeros(len(real), int), np.ones(len(real)), np.zeros(len(real))))
+    assert "Buy now" in html.extract(f"<article>{paragraphs}{advert}</article>") and "Visit us" in html.extract(outside)
+
+
+def test_hostile_markup_takes_little():
+    for unit in ('<a b" ', "<div>x, y.", "<p><li>", "<!-- ", "<div><span></b></p>", "<title>", "<p id='", "</div>"):
+        began = time.process_time()
+        html.extract(unit * 20_000)
+        assert time.process_time() - began < 5, unit
+
+
 def test_extraction_edges(spark):
     for text in (None, "", "<p", "<!--", "<script>x", "<nav>only menu</nav>", "<p hidden>x</p>"):
         assert html.extract(text) == ""
@@ -174,8 +209,12 @@ def test_media_ranges_and_retry(spark, tmp_path):
                 raise OSError("lost")
             return self.f.read(n)
 
-    name = next(p.archive for p in parts).removeprefix("file://")
-    offset, size, crc, _ = media.directory(open(name, "rb").read()[parts[0].dir_start :])[0]
+    few = media.ArchiveReader({"path": path, "split_bytes": "5000", "most_partitions": "3"}).partitions()
+    assert len(few) <= 6 and sorted(i for p in few for b in reader.read(p) for i in b.column(0).to_pylist()) == list(range(60))
+
+    one = parts[0].ranges[0]
+    name = one.archive.removeprefix("file://")
+    offset, size, crc, _ = media.directory(open(name, "rb").read()[one.dir_start :])[0]
     with open(name, "rb") as f:
         assert zlib.crc32(media.read_member(Flaky(f, 2), offset, size, crc)) == crc
         with pytest.raises(OSError):
