@@ -132,7 +132,7 @@ class Lexicon:
 class Scorer:
     """Features of texts, given a lexicon; remembers words' kinds in bounded tables."""
 
-    def __init__(self, lexicon: Lexicon, p: Params, limit: int = 80_000):
+    def __init__(self, lexicon: Lexicon, p: Params, limit: int = 300_000):
         self.lexicon, self.p, self.limit = lexicon, p, limit
         self.clean: set[str] = set()
         self.hits: dict[str, int] = {}
