@@ -46,7 +46,7 @@ class Params:
     slack: float = 4.5
     turns: int = 1
     tries: int = 3
-    at_once: int = 1024
+    at_once: int = 512
     codes_at_once: int = 2_000_000
 
     @property
