@@ -43,7 +43,7 @@ class Params:
     slack: float = 0.045
     planned: int = 65_536
     most_directions: int = 1024
-    at_once: int = 2048
+    at_once: int = 1024
     seed: int = 20260
 
     def at_size(self, n: int) -> Params:
