@@ -200,6 +200,8 @@ def _overlaps(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
     return both
 
 
+SALTS = 32
+
 MEMBER = ("bucket", "i", "j", "block", "band", "id", "component", "n", "bands", "sketch")
 
 
@@ -247,7 +249,10 @@ def _exhaust(live: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) ->
     placed = live.join(info, "id")
     blocks = F.ceil(F.greatest(F.count("*") / (p.at_once // 2), F.sum("n") / (p.codes_at_once // 2)))
     split = live.join(info.select("id", "n"), "id").groupBy("bucket").agg(blocks.cast("int").alias("n_blocks"))
-    placed = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    # only large buckets are split, and their members are dealt over salts to learn of it
+    split = split.where("n_blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("id", "bucket"), F.lit(SALTS)).cast("int")).join(split, ["bucket", "salt"], "left")
+    placed = placed.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*MEMBER)
 
