@@ -44,10 +44,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    It goes with drop_path(), or else when the driver ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path), path
 
 
