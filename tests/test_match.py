@@ -14,10 +14,27 @@ def test_every_lane_has_a_batch(spark, tmp_path):
     got = {r["lane"]: r for r in match_queries.infonce_batches(spark, str(tmp_path)).collect()}
     assert sorted(got) == [*range(1130), 1500] and {r["batch"] for r in got.values()} == {0, 1, 2, 3}
     assert (got[1500]["loss"], got[1500]["n_pos"]) == (None, 0) and all(r["loss"] > 0 and r["n_pos"] for k, r in got.items() if k < 1000)
-    # the same as the loss of one batch by pairs
+    # the same as by pairs
     batch = index(spark, str(tmp_path)).where("lane >= 500 and lane < 1000")
-    for r in match.info_nce(batch, match.positive_pairs(batch)).collect():
-        assert abs(r["loss"] - got[r["lane"]]["loss"]) < 1e-5 and r["n_pos"] == got[r["lane"]]["n_pos"]
+    e = {r["lane"]: np.array(r["e"]) for r in batch.collect()}
+    pairs = {(r["i"], r["j"]) for r in match.positive_pairs(batch).collect()}
+    for a in range(500, 1000, 37):
+        x = {b: np.exp(e[a] @ e[b] / 0.07) for b in e if b != a}
+        own = [x[b] for b in x if (min(a, b), max(a, b)) in pairs]
+        assert abs(np.log(sum(x.values())) - np.log(sum(own)) - got[a]["loss"]) < 1e-5 and len(own) == got[a]["n_pos"]
+
+
+def test_loss_of_three_lanes(spark):
+    """Lanes 0 and 1 are positives of each other, 2 of none: log(exp(s01) + exp(s02)) - s01 for lane 0."""
+    rows = [(0, "a", 0.0, True, False, [0.0, 1.0], [1.0, 0.0]), (1, "b", 0.0, True, False, [0.0, 1.0], [0.6, 0.8]), (2, "c", 1.0, False, True, [1.0, 0.0], [0.0, 1.0])]
+    batch = spark.createDataFrame(rows, "lane long, camera string, rank double, is_left boolean, is_right boolean, role array<double>, e array<double>")
+    got = {r["lane"]: (r["loss"], r["n_pos"]) for r in match.info_nce_batches(batch, temperature=1.0).collect()}
+    assert abs(got[0][0] - (np.log(np.exp(0.6) + np.exp(0.0)) - 0.6)) < 1e-12 and abs(got[1][0] - (np.log(np.exp(0.6) + np.exp(0.8)) - 0.6)) < 1e-12
+    assert got[0][1] == got[1][1] == 1 and got[2] == (None, 0)
+    # of two positives the sum counts, not the mean
+    rows.append((3, "d", 0.0, True, False, [0.0, 1.0], [0.8, 0.6]))
+    more = {r["lane"]: r["loss"] for r in match.info_nce_batches(spark.createDataFrame(rows, batch.schema), temperature=1.0).collect()}
+    assert abs(more[0] - (np.log(np.exp(0.6) + 1 + np.exp(0.8)) - np.log(np.exp(0.6) + np.exp(0.8)))) < 1e-12
 
 
 def test_groups_to_match_grow_with_the_table(spark, tmp_path):

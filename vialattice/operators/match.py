@@ -280,24 +280,10 @@ def cross_camera_queries(index: DataFrame, cameras: int = 6) -> DataFrame:
     return best.select("camera", F.col("b.lane").alias("lane"), F.col("b.mean_sim").alias("mean_sim")).orderBy("camera").limit(cameras)
 
 
-def info_nce(batch: DataFrame, pairs: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """Contrastive loss of each lane of a batch that has positives (N8): lane, loss, n_pos.
-
-    A batch has a bounded size by definition; its similarities form in one self-join.
-    """
-    a, b = batch.select(F.col("lane").alias("i"), F.col("e").alias("ea")), batch.select(F.col("lane").alias("j"), F.col("e").alias("eb"))
-    sims = a.crossJoin(b).where("i <> j").select("i", "j", (v.dot(F.col("ea"), F.col("eb")) / temperature).alias("s"))
-    both = pairs.select("i", "j").union(pairs.select("j", "i")).withColumn("pos", F.lit(True))
-    rows = sims.join(both, ["i", "j"], "left").withColumn("m", F.max("s").over(Window.partitionBy("i")))
-    pos = F.coalesce(F.col("pos"), F.lit(False))
-    out = rows.groupBy("i").agg((F.max("m") + F.log(F.sum(F.exp(F.col("s") - F.col("m"))))).alias("all"), F.avg(F.when(pos, F.col("s"))).alias("p"), F.sum(pos.cast("int")).alias("n_pos"))
-    return out.where("n_pos > 0").select(F.col("i").alias("lane"), (F.col("all") - F.col("p")).alias("loss"), "n_pos")
-
-
 def info_nce_batches(index: DataFrame, size: int = 500, temperature: float = 0.07, config: LaneConfig = DEFAULT) -> DataFrame:
     """Contrastive loss of every lane within its batch, ``lane div size`` (N8): lane, batch, loss, n_pos.
 
-    Batches cover all lanes, so work grows with their number. Positives are as in ``positive_pairs``,
+    The loss is the logarithm of all other lanes' exponentials less that of the positives'. Batches cover all lanes, so work grows with their number. Positives are as in ``positive_pairs``,
     of the same batch. A lane without positives in its batch has a null loss and ``n_pos`` 0.
     """
 
@@ -305,17 +291,22 @@ def info_nce_batches(index: DataFrame, size: int = 500, temperature: float = 0.0
         e, lane, pos = np.stack(t.e.to_numpy()), t.lane.to_numpy(), _positives(t, config)
         s = e @ e.T / temperature
         s[lane[:, None] == lane] = -np.inf  # not with itself
-        m, n_pos = s.max(axis=1, keepdims=True), pos.sum(axis=1)
+        n_pos = pos.sum(axis=1)
         some = n_pos > 0
         loss = np.full(len(t), np.nan)
-        every = m[some, 0] + np.log(np.exp(s[some] - m[some]).sum(axis=1))
-        loss[some] = every - np.where(pos[some], s[some], 0).sum(axis=1) / n_pos[some]
+        loss[some] = log_sum_exp(s[some]) - log_sum_exp(np.where(pos[some], s[some], -np.inf))
         return pd.DataFrame({"lane": lane, "batch": t.batch.to_numpy(), "loss": pd.Series(loss).astype(object).where(some, None), "n_pos": n_pos})
 
     rows = index.select(F.floor(F.col("lane") / size).alias("batch"), "lane", "camera", "rank", "is_left", "is_right", "role", "e")
     return rows.groupBy("batch").applyInPandas(losses, "lane long, batch long, loss double, n_pos long")
 
 
+def log_sum_exp(s: np.ndarray) -> np.ndarray:
+    """Of each row that has a finite number."""
+    m = s.max(axis=1, keepdims=True)
+    return m[:, 0] + np.log(np.exp(s - m).sum(axis=1))
+
+
 def phase_weights(epoch: int, epochs: int, role_weight: float = 2.0) -> tuple[float, float]:
     """Weights of the contrastive and the role loss: roles first, then both, then matching."""
     share = epoch / max(epochs, 1)
@@ -345,9 +336,7 @@ def training_loss(index: DataFrame, epoch: int, epochs: int, size: int = 500, te
         some = pos.any(axis=1)
         contrastive = 0.0
         if some.any():
-            m = s[some].max(axis=1, keepdims=True)
-            x = np.exp(s[some] - m)
-            contrastive = float(np.mean(np.log(x.sum(axis=1)) - np.log(np.where(pos[some], x, 0).sum(axis=1))))
+            contrastive = float(np.mean(log_sum_exp(s[some]) - log_sum_exp(np.where(pos[some], s[some], -np.inf))))
         flags = [t[c].to_numpy(float) for c in ("is_left", "is_right")]
         edge = np.mean([cross_entropy(t[c].to_numpy(float), f, 3.0) for c, f in zip(("pred_left", "pred_right"), flags, strict=True)])
         role = float(cross_entropy(t.pred_rank.to_numpy(float), t["rank"].to_numpy(float)).mean() + edge + 0.5 * cross_entropy(t.pred_size.to_numpy(float), t.group_size.to_numpy(float)).mean())

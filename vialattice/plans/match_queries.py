@@ -121,20 +121,23 @@ def relative_features(spark, sf_dir):
     return out.select(*longs("group_id", "i", "j"), *r6("lateral_diff", "speed_diff", "density_ratio"))
 
 
-@query("""with g as (select vec_id as group_id, vec_id % 3 as cam, atan2(embedding[2]::double, embedding[1]::double) as h from embeddings where vec_id < 60),
-q as (select vec_id as query, vec_id % 3 as cam, atan2(embedding[4]::double, embedding[3]::double) as h from embeddings where vec_id >= 60),
-m as (select q.cam, query, group_id, greatest(cos(q.h - g.h), cos(q.h - g.h + pi())) as score from q join g on q.cam = g.cam where group_id % 10 <> 0)
+@query("""with g as (select vec_id // 5 as group_id, vec_id // 50 as cam, atan2(sum(embedding[2]::double), sum(embedding[1]::double)) as h from embeddings group by all),
+q as (select vec_id as query, vec_id // 50 as cam, atan2(embedding[4]::double, embedding[3]::double) as h from embeddings),
+claimed as (select cam, min(group_id) as group_id from g group by cam),
+m as (select query, group_id, greatest(cos(q.h - g.h), cos(q.h - g.h + pi())) as score from q join g on q.cam = g.cam where not exists (select 1 from claimed where claimed.cam = g.cam and claimed.group_id = g.group_id))
 select query, arg_min(group_id, struct_pack(s := -round(score, 9), g := group_id)) as group_id, round(max(score), 6) as score from m group by query""")
 def heading_match(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("camera", (F.col("vec_id") % 3).cast("string"))
+    asked, groups = _headings(spark, sf_dir)
+    claimed = groups.groupBy("camera").agg(F.min("group_id").alias("group_id"))  # each camera's first group has its lanes already
+    return op.heading_match(asked, groups, claimed).select("query", "group_id", *r6("score"))
 
-    def heading(a: int):
-        return F.atan2(F.col("embedding")[a + 1].cast("double"), F.col("embedding")[a].cast("double"))
 
-    groups = e.where("vec_id < 60").select("camera", F.col("vec_id").alias("group_id"), heading(0).alias("group_heading"))
-    asked = e.where("vec_id >= 60").select("camera", F.col("vec_id").alias("query"), heading(2).alias("heading"))
-    claimed = groups.where("group_id % 10 = 0").select("camera", "group_id")
-    return op.heading_match(asked, groups, claimed).select("query", "group_id", *r6("score"))
+def _headings(spark, sf_dir):
+    """Headings asked and those of all groups."""
+    e = table(spark, sf_dir, "embeddings").withColumn("camera", F.floor(F.col("vec_id") / 50).cast("string"))
+    x, y = (F.sum(F.col("embedding")[k].cast("double")) for k in (0, 1))
+    groups = e.groupBy("camera", F.floor(F.col("vec_id") / 5).alias("group_id")).agg(F.atan2(y, x).alias("group_heading"))
+    return e.select("camera", F.col("vec_id").alias("query"), F.atan2(F.col("embedding")[3].cast("double"), F.col("embedding")[2].cast("double")).alias("heading")), groups
 
 
 @query("""with g as (select vec_id // 5 as group_id, vec_id // 50 as cam, atan2(sum(embedding[2]::double), sum(embedding[1]::double)) as h from embeddings group by all),
@@ -142,11 +145,7 @@ q as (select vec_id as query, vec_id // 50 as cam, atan2(embedding[4]::double, e
 m as (select query, group_id, greatest(cos(q.h - g.h), cos(q.h - g.h + pi())) as score from q join g on q.cam = g.cam)
 select query, arg_min(group_id, struct_pack(s := -round(score, 9), g := group_id)) as group_id, round(max(score), 6) as score from m group by query""")
 def heading_match_all(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("camera", F.floor(F.col("vec_id") / 50).cast("string"))
-    x, y = (F.sum(F.col("embedding")[k].cast("double")) for k in (0, 1))
-    groups = e.groupBy("camera", F.floor(F.col("vec_id") / 5).alias("group_id")).agg(F.atan2(y, x).alias("group_heading"))
-    asked = e.select("camera", F.col("vec_id").alias("query"), F.atan2(F.col("embedding")[3].cast("double"), F.col("embedding")[2].cast("double")).alias("heading"))
-    return op.heading_match(asked, groups).select("query", "group_id", *r6("score"))
+    return op.heading_match(*_headings(spark, sf_dir)).select("query", "group_id", *r6("score"))
 
 
 @query(f"""with {INDEX_SQL}, s as (select a.camera, a.lane, avg(list_dot_product(a.e, b.e)) as mean_sim from idx a join idx b on a.camera <> b.camera group by all),
@@ -156,27 +155,21 @@ def diverse_queries(spark, sf_dir):
     return op.cross_camera_queries(index(spark, sf_dir)).select("camera", "lane", *r6("mean_sim"))
 
 
-PAIRS = ORACLE_SQL["positive_pairs"].removeprefix(f"with {INDEX_SQL} ")
+INFONCE = """with {index}, lanes as (select *, lane // {size} as batch from idx),
+s as (select a.lane, a.batch, b.lane as other, list_dot_product(a.e, b.e) / 0.07::double as s,
+    a.is_left = b.is_left and a.is_right = b.is_right and a.camera <> b.camera and round(abs(a.rank - b.rank), 9) <= 0.15::double
+    and round(list_dot_product(a.role, b.role) / ((sqrt(list_dot_product(a.role, a.role)) + 1e-8) * (sqrt(list_dot_product(b.role, b.role)) + 1e-8)), 9) >= 0.8::double as pos
+  from lanes a left join lanes b on a.batch = b.batch and a.lane <> b.lane),
+m as (select *, max(s) over (partition by lane) as m from s),
+l as (select lane, batch, round(ln(sum(exp(s - m))) - ln(sum(case when pos then exp(s - m) end)), 6) as loss, sum(coalesce(pos, false)::int)::bigint as n_pos from m group by lane, batch)"""
 
 
-@query(f"""with {INDEX_SQL}, pos as ({PAIRS}), batch as (select * from idx where lane % 4 = 0 and lane < 400),
-s as (select a.lane as i, b.lane as j, list_dot_product(a.e, b.e) / 0.07::double as s from batch a join batch b on a.lane <> b.lane),
-p as (select s.*, exists (select 1 from pos where pos.i = least(s.i, s.j) and pos.j = greatest(s.i, s.j)) as pos from s),
-m as (select *, max(s) over (partition by i) as m from p)
-select i as lane, round(max(m) + ln(sum(exp(s - m))) - avg(case when pos then s end), 6) as loss, sum(pos::int)::bigint as n_pos from m group by i having sum(pos::int) > 0""")
+@query(INFONCE.format(index=INDEX_SQL, size=100) + " select lane, loss, n_pos from l where n_pos > 0")
 def infonce(spark, sf_dir):
-    rows = index(spark, sf_dir)
-    batch = rows.where("lane % 4 = 0 and lane < 400")  # the query's batch
-    return op.info_nce(batch, op.positive_pairs(rows)).select("lane", *r6("loss"), *longs("n_pos"))
+    return op.info_nce_batches(index(spark, sf_dir), 100).where("n_pos > 0").select("lane", *r6("loss"), *longs("n_pos"))
 
 
-@query(f"""with {INDEX_SQL}, lanes as (select *, lane // 500 as batch from idx),
-s as (select a.lane, a.batch, b.lane as other, list_dot_product(a.e, b.e) / 0.07::double as s,
-    a.is_left = b.is_left and a.is_right = b.is_right and a.camera <> b.camera and round(abs(a.rank - b.rank), 9) <= 0.15::double
-    and round(list_dot_product(a.role, b.role) / ((sqrt(list_dot_product(a.role, a.role)) + 1e-8) * (sqrt(list_dot_product(b.role, b.role)) + 1e-8)), 9) >= 0.8::double as pos
-  from lanes a left join lanes b on a.batch = b.batch and a.lane <> b.lane),
-m as (select *, max(s) over (partition by lane) as m from s)
-select lane, batch, round(max(m) + ln(sum(exp(s - m))) - avg(case when pos then s end), 6) as loss, sum(coalesce(pos, false)::int)::bigint as n_pos from m group by lane, batch""")
+@query(INFONCE.format(index=INDEX_SQL, size=500) + " select lane, batch, loss, n_pos from l")
 def infonce_batches(spark, sf_dir):
     return op.info_nce_batches(index(spark, sf_dir)).select("lane", *longs("batch"), *r6("loss"), *longs("n_pos"))
 

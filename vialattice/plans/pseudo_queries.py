@@ -146,7 +146,7 @@ def camera_similarity(spark, sf_dir):
 
 
 @query(f"""with recursive {INDEX_SQL},
-g as (select camera, grp, count(*) as n, {draw_sql("grp")} as o from idx where lane % 3 <> 1 group by all),
+g as (select camera, (lane + lane % 3) // 4 as grp, count(*) as n, {draw_sql("(lane + lane % 3) // 4")} as o from idx group by all),
 s as (select *, o % greatest(ceil((select count(*) from g) / 1000), 1)::bigint as shard from g),
 r as (select *, row_number() over (partition by shard order by o, camera, grp) as r from s),
 walk(shard, r, batch, held) as (
@@ -155,7 +155,7 @@ walk(shard, r, batch, held) as (
   select r.shard, r.r, case when held + n > 64 then batch + 1 else batch end, case when held + n > 64 then n else held + n end from walk join r on r.shard = walk.shard and r.r = walk.r + 1)
 select camera, grp, shard, batch from walk join r using (shard, r)""")
 def group_batches(spark, sf_dir):
-    rows = index(spark, sf_dir).where("lane % 3 <> 1")  # groups of three or four lanes
+    rows = index(spark, sf_dir).withColumn("grp", F.floor((F.col("lane") + F.col("lane") % 3) / 4))  # groups of three to five lanes
     return ranking.group_batches(rows, ["camera", "grp"], 64).select("camera", "grp", *longs("shard", "batch"))
 
 
