@@ -4,6 +4,7 @@ import base64
 import fnmatch
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -141,7 +142,7 @@ def test_paths_choose(monkeypatch):
     long = "A paragraph, with words, and so on, to its end. " * 6
     paragraphs, boxes = "".join(f"<p>{long}</p>" for _ in range(4)), "".join(f"<div>{long}</div>" for _ in range(4))
     text = "\n".join([long.strip()] * 4)
-    advert = "<div class='xq7'>Buy now! Click here.</div>"
+    advert = "<div class='xq7'><a>Buy now!</a> <a>Click here.</a></div>"
     for page in (f"<article>{paragraphs}{advert}</article>", f"<body><section>{paragraphs}{advert}</section></body>"):
         assert html.extract(page) == text
     assert html.extract(f"<article><h1>T</h1><p>Short.</p>{boxes}</article>") == f"T\nShort.\n{text}"
@@ -221,3 +222,93 @@ def test_media_ranges_and_retry(spark, tmp_path):
             media.read_member(Flaky(f, 9), offset, size, crc)
         with pytest.raises(ValueError):
             media.read_member(f, offset, size, crc ^ 1)
+
+
+PARAGRAPHS = "<p>A long sentence, with words; and more of it, as in prose. And another one, too.</p>" * 4
+
+
+def test_words_within_attributes_are_no_attributes():
+    lines = ["A long sentence, with words; and more of it, as in prose. And another one, too."] * 4
+    for page in (
+        f'<article aria-hidden="false">{PARAGRAPHS}</article>', f'<article title="The hidden valley">{PARAGRAPHS}</article>', f'<body data-menu="hidden"><article>{PARAGRAPHS}</article>',
+        f"<article data-x=' class=\"ad\" '>{PARAGRAPHS}</article>", f'<article><div hidden>x</div><div style="display : none">y</div>{PARAGRAPHS}</article>', f"<article><div HIDDEN=''>x</div>{PARAGRAPHS}</article>",
+    ):
+        assert html.extract(page).split("\n") == lines, page
+    for inner, text in (('<a href="/the-hidden-cost">our report</a>', "our report"), ('<a href="/x?class=ad">link</a>', "link"), ('<i data-id="related-7">kept</i>', "kept"), ("<i title=\"it's class='ad'\">kept</i>", "kept")):
+        assert html.extract(f"<article>{PARAGRAPHS}<p>{inner}</p></article>").split("\n") == [*lines, text]
+
+
+def test_short_boxes_of_an_article_stay_and_menus_go():
+    boxes = "<div>A short lead.</div><div class='byline'>By Jane Doe</div><section>Short para here</section><div>Yes, he said.</div>"
+    assert html.extract(f"<article>{boxes}{PARAGRAPHS}</article>").split("\n")[:4] == ["A short lead.", "By Jane Doe", "Short para here", "Yes, he said."]
+    menu = '<div class="qq1"><a>Home</a> <a>News</a></div>'
+    for page in (f"<body>{menu}<article>{PARAGRAPHS}</article></body>", f"<article>{menu}{PARAGRAPHS}</article>", f"<body>{menu}<div>{PARAGRAPHS}</div><div>All rights are ours.</div></body>"):
+        assert "Home" not in html.extract(page) and "rights" not in html.extract(page) and html.extract(page).count("prose") == 4
+    # a list of links in prose that is on a chosen path, or mostly text, stays
+    assert "see" in html.extract(f"<article>{PARAGRAPHS}<ul><li>Please see <a>this</a>.</li></ul></article>")
+
+
+def without_names(page: str) -> str:
+    """The page with divisions in place of everything that tells a region."""
+    return re.sub(r"<div[^>]*>", "<div>", re.sub(r"<(/?)(?:nav|article|main|header|footer|aside|section)\b[^>]*>", r"<\1div>", page))
+
+
+def test_paths_alone_find_the_article(monkeypatch):
+    rng = random.Random(7)
+    words = "stone river winter letter garden morning window silver harbour paper".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + rng.choice([".", ", so.", "; yes."])
+    pages = []
+    for _ in range(60):
+        body = "".join("<p>" + " ".join(sentence(rng.randint(5, 14)) for _ in range(rng.randint(2, 7))) + "</p>" for _ in range(rng.randint(3, 9)))
+        links = "".join(f"<li><a href='/x'>{rng.choice(words)}</a></li>" for _ in range(rng.randint(3, 9)))
+        pages.append(f"<body><nav><ul>{links}</ul></nav><aside>{sentence(4)}</aside><article><h1>{sentence(5)}</h1>{body}</article><footer>{sentence(6)}</footer></body>")
+    want = [html.extract(p) for p in pages]
+    assert all(w.count("\n") >= 3 for w in want)
+    assert [html.extract(without_names(p)) for p in pages] == want
+    monkeypatch.setattr(html, "_path_scores", lambda page, real: (np.zeros(len(real), int), np.ones(len(real)), np.zeros(len(real))))
+    assert not any(html.extract(without_names(p)) == w for p, w in zip(pages, want, strict=True))
+
+
+def test_extraction_against_a_plain_version():
+    """Well-formed pages, with a parser of the standard library and no shortcuts."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.now, self.inside, self.dropped = [], [], 0, 0
+
+        def flush(self):
+            if line := " ".join("".join(self.now).split()):
+                self.lines.append(line)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.BLOCK:
+                self.flush()
+            bad = tag in html.NEVER or any(n == "class" and v in ("ad", "comments") for n, v in attrs)
+            self.dropped += bool(self.dropped or bad) and tag not in html.VOID
+            self.inside += tag == "article"
+            if tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            if tag in html.BLOCK:
+                self.flush()
+            self.dropped -= bool(self.dropped)
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside and not self.dropped:
+                self.now.append(data)
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["one", "two &amp; three", "&eacute;t&eacute;", "four, five;", "six\n seven", "<b>eight</b>", "<br>", "ni<i>ne</i>", "&#8212;", "hidden"])
+    prose = lambda n: " ".join(word() for _ in range(n))
+    for _ in range(150):
+        parts = [rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li><li>{}</li></ul>", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<div class='ad'>{}</div>", "<script>{}</script>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<!-- {} -->", "<section><div>{}</div><p>{}</p></section>", "<form>{}</form>", "<div class='comments'><p>{}</p></div>"]) for _ in range(rng.randint(1, 12))]
+        inner = "".join(x.format(prose(rng.randint(3, 60)), prose(rng.randint(3, 30))) for x in ["<p>{}</p>", *parts])
+        page = f"<html><head><title>t</title></head><body><nav><a>m</a></nav><article>{inner}</article><footer>{prose(5)}</footer></body></html>"
+        plain = Plain()
+        plain.feed(page)
+        assert html.extract(page).split("\n") == plain.lines, page

@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node has a path of tags from the root. Over a page, each path's text length and
-punctuation per node are counted, smoothed over the sequence of nodes, and fused with what stands
-beside it under the same parent; paths whose score passes a threshold taken from the page's own
-spread select the region that holds the article. Paths that run through navigation, headers,
-footers, asides, forms, notices, adverts or comments are never content. What is furniture by its
-class, id or role only, is asked for its share of the page's scored text first.
+punctuation per node are counted, smoothed over the sequence of nodes, and fused with the smoothed
+values of the path's other nodes; paths whose score passes a share of the page's own mean, which
+long text weighs most in, are chosen, and with them the region that holds the article. Paths that run
+through navigation, headers, footers, asides, forms, notices, adverts or comments are never content.
+What is furniture by its class, id or role only, is asked for its share of the page's scored text
+first. Within the region a box is dropped only if both signs agree: its path isn't chosen and most of
+its text is links.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from .common import batches, pick, tidied
 MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 BREAK = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"(id|class|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after another, name and value, so that nothing within a value is taken for a name.
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -50,27 +53,28 @@ AFTER = frozenset("open opened closed enabled disabled".split())
 #: Shares of a page's scored text from which a name tells no furniture: if it has other words too, and if not.
 SHARES = (0.5, 0.9)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that say nothing of what their text is, and the share of the article's path score below which it is none.
-BOXES, THIN = frozenset("div section center".split()), 0.1
+#: Elements that say nothing of what their text is, and the share of the page's mean path score and of its scored text from which a path is chosen.
+BOXES, THIN, LIGHT = frozenset("div section center".split()), 0.3, 0.03
 #: Blocks that hold a page's regions, not a paragraph, an item, a cell or a heading.
 CONTAINERS = frozenset("html body article section main div center blockquote table tbody ul ol dl details figure".split())
 
 
+def _attributes(given: str) -> Iterator[tuple[str, str]]:
+    """Names in lower case, and values with their character references decoded."""
+    for m in ATTRIBUTE.finditer(given):
+        if m[1]:
+            yield m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+
+
 def _hidden(attributes: str) -> bool:
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+    return any(name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) for name, value in _attributes(attributes))
 
 
 def _furniture(tag: str, attributes: str) -> float:
     """The share of the page that an element must hold to be content in spite of its names; 0: any."""
     share = 0.0
-    for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() not in ("class", "id", "role"):
-            continue
-        for name in (m[2] or m[3] or m[4] or "").split():
+    for key, value in _attributes(attributes):
+        for name in value.split() if key in ("class", "id", "role") else ():
             words = [w.lower() for w in NAME_PARTS.findall(name)]
             for k, w in enumerate(words):
                 if not (w in FURNITURE or w in HEADER and tag != "h1"):
@@ -215,6 +219,15 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), "valid")
 
 
+def _runs(page: _Page, real: list) -> list[np.ndarray]:
+    """Neighbouring nodes of one container, so that nothing is smoothed across a region's border."""
+    own: list[int] = []
+    for e, (tag, up) in enumerate(zip(page.tags, page.parent, strict=True)):
+        own.append(e if tag in CONTAINERS or up < 0 else own[up])
+    at = np.array([own[n[1]] if n[1] >= 0 else -1 for n in real])
+    return np.split(np.arange(len(real)), np.flatnonzero(np.diff(at)) + 1)
+
+
 def _path_scores(page: _Page, real: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each node's path, and its path's text length and punctuation for a node."""
     known: dict[tuple[int, str], int] = {}  # a path is the path above and a tag
@@ -224,16 +237,20 @@ def _path_scores(page: _Page, real: list) -> tuple[np.ndarray, np.ndarray, np.nd
     at = np.array([path[n[1]] if n[1] >= 0 else len(known) for n in real])
     count = np.bincount(at)
     length = np.bincount(at, [len(n[3].strip()) for n in real])
-    marks = np.bincount(at, [len(PUNCTUATION.findall(n[3])) for n in real])
+    marks = np.bincount(at, [len(PUNCTUATION.findall(unescape(n[3]))) for n in real])
     return at, length[at] / count[at], marks[at] / count[at]
 
 
 def _weigh(page: _Page, real: list) -> tuple[np.ndarray, list[float]]:
     """Which nodes are chosen, and each element's mass (the page's at the end): its chosen nodes' scores by length."""
-    _, length, marks = _path_scores(page, real)
-    score = _smooth(length) * (1 + _smooth(marks))
-    # fused: what the region around a node has, an element's text being worth its nodes' scores
-    chosen = score >= min(score.mean(), score.std() or score.mean())
+    at, length, marks = _path_scores(page, real)
+    # fused: what a path has by itself, and what stands around its nodes
+    near = np.concatenate([_smooth(length[r]) * (1 + _smooth(marks[r])) for r in _runs(page, real)])
+    around = np.bincount(at, near)[at] / np.bincount(at)[at]
+    score = np.sqrt(length * (1 + marks) * around)
+    size = np.array([len(n[3]) for n in real])
+    weight = np.bincount(at, score * size)[at]
+    chosen = (score >= THIN * (score * size).sum() / size.sum()) & (weight >= LIGHT * (score * size).sum())
     mass: dict[int, float] = defaultdict(float)
     for n, s, good in zip(real, score.tolist(), chosen.tolist(), strict=True):
         if good:
@@ -241,17 +258,20 @@ def _weigh(page: _Page, real: list) -> tuple[np.ndarray, list[float]]:
     return chosen, page.summed(mass)
 
 
-def _thin_paths(page: _Page, kept: list) -> set[int]:
-    """Elements whose own text is on a path of hardly any text, beside the paths of the rest.
-
-    Only boxes are asked: paragraphs, headings, items and cells are the article's, however short.
-    """
+def _link_boxes(page: _Page, kept: list) -> set[int]:
+    """Outermost boxes without a chosen path whose text is mostly links: menus within the region."""
     if not kept:
         return set()
-    _, length, marks = _path_scores(page, kept)
-    score, size = length * (1 + marks), np.array([len(n[3]) for n in kept])
-    low = THIN * (score * size).sum() / size.sum()
-    return {n[1] for n, s in zip(kept, score.tolist(), strict=True) if s < low and n[1] >= 0 and page.tags[n[1]] in BOXES}
+    chosen, _ = _weigh(page, kept)
+    link = page.below({e for e, t in enumerate(page.tags) if t == "a"})
+    held, linked, good = ({} for _ in range(3))
+    for n, c in zip(kept, chosen.tolist(), strict=True):
+        size = len(n[3].strip())
+        held[n[1]] = held.get(n[1], 0) + size
+        linked[n[1]] = linked.get(n[1], 0) + size * (n[1] >= 0 and link[n[1]])
+        good[n[1]] = good.get(n[1], 0) + c
+    held, linked, good = map(page.summed, (held, linked, good))
+    return {e for e, t in enumerate(page.tags) if (t in BOXES or t in ("ul", "ol")) and held[e] and not good[e] and linked[e] > 0.5 * held[e]}
 
 
 def extract(html: str | None) -> str:
@@ -289,10 +309,10 @@ def extract(html: str | None) -> str:
         within = page.below({root})
         keep = [root is None or n[1] >= 0 and within[n[1]] for n in nodes]
     kept = [n for n, k in zip(nodes, keep, strict=True) if k]
-    thin = _thin_paths(page, [n for n in kept if n[3].strip()])
+    menu = page.below(_link_boxes(page, [n for n in kept if n[3].strip()]))
     blocks: dict[int, list[str]] = defaultdict(list)
     for n in kept:
-        if n[1] not in thin:
+        if n[1] < 0 or not menu[n[1]]:
             blocks[n[0]].append(n[3])
     lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)
