@@ -78,7 +78,7 @@ def test_white_space_fuzz():
 
 def test_both_engines_agree(tmp_path):
     path = P.path("byte_bpe_50k.json")
-    tokenizer, engine = packing._encoders(path)
+    tokenizer, engine, _ = packing._encoders(path)
     assert engine is not None
     rng = random.Random(6)
     words = ["".join(rng.choice("aeiounrstldcmhgpbéüñß'") for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
@@ -104,8 +104,7 @@ def test_every_token_comes_out_of_the_query():
 def test_packing(spark, seq_len):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = TEXTS + [f"some words {k} " * (k % 7) for k in range(120)]
+    texts = TEXTS + [f"some words {k} " * (k % 7) for k in range(120)] + ["a <|endoftext|> b", "x" + " " * 5000 + "y", "\n" * 700]
     got = packing.pack(table(spark, texts), path, seq_len).collect()
     by_doc: dict = {}
     for r in got:

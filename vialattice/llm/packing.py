@@ -27,8 +27,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 #: The pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters outside of those that all Unicode versions of the two libraries class alike.
-UNCOMMON = re.compile("[^\0-\u024f\u0410-\u044f\u2010-\u2027]")
+#: Characters outside of those that all Unicode versions of the two libraries class alike, and white
+#: space so long that the pattern of tiktoken's engine runs out of stack.
+UNCOMMON = re.compile(r"[^\0-\u024f\u0410-\u044f\u2010-\u2027]|\s{200}")
 
 
 def _byte_names() -> dict[str, int]:
@@ -65,21 +66,26 @@ def _same_engine(path: str, tokenizer):
 
 @lru_cache(maxsize=1)
 def _encoders(path: str):
-    """Per Python worker: the tokenizer, and an engine of the same ids or None."""
+    """Per Python worker: the tokenizer, an engine of the same ids or None, and what only the tokenizer may encode."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, _same_engine(path, tokenizer)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    odd = re.compile("|".join([UNCOMMON.pattern, *map(re.escape, added)]))
+    return tokenizer, _same_engine(path, tokenizer), odd
 
 
 def encoded(texts: list[str], tokenizer_path: str) -> Iterator[bytes]:
-    """Each text's ids without special tokens, as little-endian 32-bit numbers."""
-    tokenizer, engine = _encoders(tokenizer_path)
+    """Each text's ids, as little-endian 32-bit numbers.
+
+    As the library does by default, none are added at the ends, and a text's own special tokens, such as
+    ``<|endoftext|>``, are one id each.
+    """
+    tokenizer, engine, odd = _encoders(tokenizer_path)
     for text in texts:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids if engine is None or UNCOMMON.search(text) else engine.encode_ordinary(text)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if engine is None or odd.search(text) else engine.encode_ordinary(text)
         yield np.asarray(ids, "<u4").tobytes()
 
 
