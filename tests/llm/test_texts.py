@@ -1,6 +1,7 @@
 """Toxicity, surrogates and the pipeline on small cases."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -113,7 +114,7 @@ def test_surrogates():
 
 def test_surrogates_are_distinct():
     s = pii.Surrogates("k")
-    for kind, given in (("ip", [f"10.0.{a}.{b}" for a in range(20) for b in range(20)]), ("card", [f"41111111{k:08d}" for k in range(400)]), ("ssn", [f"123-45-{k:04d}" for k in range(400)]), ("email", [f"a{k}@b.com" for k in range(300)])):
+    for kind, given in (("ip", [f"10.0.{a}.{b}" for a in range(20) for b in range(20)]), ("card", [c for k in range(4000) if s.replace("card", c := f"41111111{k:08d}")]), ("ssn", [f"123-45-{k:04d}" for k in range(400)]), ("email", [f"a{k}@b.com" for k in range(300)])):
         got = [s.replace(kind, g) for g in given]
         assert len(set(got)) == len(given) and all(a != b for a, b in zip(given, got, strict=True))
     assert sorted(s.number(97, x, "t") for x in range(97)) == list(range(97))
@@ -212,3 +213,72 @@ def test_long_texts_take_little():
     scorer = toxicity.Scorer(toxicity.Lexicon(["scumbag"], [], frozenset(), 5), toxicity.Params())
     began = time.process_time()
     assert scorer.features('"scumbag" ' * 100_000)[3] > 0 and time.process_time() - began < 5
+
+
+def test_mentions_of_names():
+    s = pii.Surrogates("k")
+    new = lambda w: s.text(w, "name", last=pii.LAST)
+    john, smith = new("John"), new("Smith")
+    text, found = pii.find_and_replace("Smith? Mr. John Smith said hello. Smith left, then John Smith came back. Smithson, smith, Smith_x and O'Smith.", s)
+    assert text == f"{smith}? Mr. {john} {smith} said hello. {smith} left, then {john} {smith} came back. Smithson, smith, Smith_x and O'{smith}."
+    assert [f[0] for f in found] == ["mention", "name", "mention", "mention", "mention", "mention"]
+    again = "Smith? Mr. John Smith said hello. Smith left, then John Smith came back. Smithson, smith, Smith_x and O'Smith."
+    assert all(again[a:b] != n for _, a, b, n in found) and text == "".join(p for _, p in pieces(again, found))
+    # each document has its own names
+    assert pii.find_and_replace("Smith left.", s) == ("Smith left.", [])
+    a, b = pii.find_and_replace("Dear Anna Meier, Anna and a@b.org", s)[0].split(", ")
+    assert b.split()[0] == a.split()[1] != "Anna"
+
+
+def pieces(text, found):
+    at = 0
+    for _, start, end, new in found:
+        yield "", text[at:start]
+        yield "", new
+        at = end
+    yield "", text[at:]
+
+
+def test_detection_against_a_plain_version():
+    """Kinds whose form is unambiguous, each found by splitting at blanks and looking at the whole word."""
+    rng = random.Random(3)
+
+    def luhn(d):
+        total = sum(x if k % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d)))
+        return [*d, -total % 10]
+
+    def is_card(w):
+        d = [int(c) for c in w]
+        return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    made = [
+        lambda: f"{rng.choice('abc')}.{rng.randint(1, 99)}@x{rng.randint(1, 9)}.org", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        lambda: "".join(map(str, luhn([rng.randint(1, 9) for _ in range(15)]))), lambda: str(rng.randint(10**14, 10**16)), lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        lambda: rng.choice(["word", "Word,", "12", "a@b", "x@y.", "1.2.3", "--"]),
+    ]
+    s = pii.Surrogates("k")
+    for _ in range(300):
+        words = [rng.choice(made)() for _ in range(rng.randint(1, 25))]
+        want = []
+        for w in words:
+            local, _, domain = w.partition("@")
+            if local and domain.count(".") == 1 and domain.partition(".")[2]:
+                want.append(("email", w))
+            elif re.fullmatch(r"\d+(\.\d+){3}", w) and all(int(x) < 256 for x in w.split(".")):
+                want.append(("ip", w))
+            elif w.isdigit() and 13 <= len(w) <= 19 and is_card(w):
+                want.append(("card", w))
+            elif re.fullmatch(r"\d{3}-\d{2}-\d{4}", w):
+                want.append(("ssn", w))
+        text = " | ".join(words)
+        new, found = pii.find_and_replace(text, s)
+        assert [(k, text[a:b]) for k, a, b, _ in found] == want
+        assert new == "".join(p for _, p in pieces(text, found)) and all(text[a:b] != n for _, a, b, n in found)
+
+
+@pytest.mark.parametrize("part", ["a", "a.", "7", "1-", "a@", "x@a.", "+1 ", "(12) 345-", "Mr. ", "Mr. Jo ", "AB12", "token=", " ", "\n", "Q"])
+def test_entities_of_long_texts_take_little(part):
+    text = "x=1 @ " + part * (600_000 // len(part))
+    began = time.process_time()
+    pii.find_and_replace(text, pii.Surrogates("k"))
+    assert time.process_time() - began < 6

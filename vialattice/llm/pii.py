@@ -7,8 +7,10 @@ occur (coreference), different ones get different surrogates (distinctness), and
 entities has to be kept, joined or sent around, at any corpus size. Alphabets are of one script, and
 last letters that often mark gender stay, as titles do.
 
-Names are found behind a title, or two capitalised words behind a greeting; a name that stands alone
-in prose isn't found, since nothing here knows names from other capitalised words.
+Names are found behind a title, or two capitalised words behind a greeting. Their words are then
+found in the rest of that document, too: a whole word of the same case gets the same surrogate. A
+name that has no title or greeting anywhere in its document isn't found, since nothing here knows
+names from other capitalised words.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ LAST = {c: "".join(x for x in a if x not in ENDINGS) for c, a in CLASS.items() i
 SECRET = {c: a for a in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ") for c in a}
 ENTITY = re.compile(
     r"(?P<secret>\bAKIA[A-Z0-9]{16}\b|\b(?:password|passwd|pwd|secret|api_key|apikey|token)\s*[=:]\s*\"?[A-Za-z0-9+/_\-]{8,}\"?)"
-    r"|(?P<email>[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"
+    r"|(?P<email>(?<![\w.%+\-])[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d\-+])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{13,19})(?![\d\-]))"
@@ -132,9 +134,10 @@ class Surrogates:
         def luhn(d: list[int]) -> int:
             return -sum(x if k % 2 else 2 * x - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10
 
-        off = (digits[-1] - luhn(digits[:-1])) % 10  # 0 for a valid number; kept either way
+        if digits[-1] != luhn(digits[:-1]):  # an order or a serial number
+            return None
         head = [int(c) for c in self.text("".join(map(str, digits[:-1])), "card", frozenset({0}))]
-        new = iter([*head, (luhn(head) + off) % 10])
+        new = iter([*head, luhn(head)])
         return "".join(str(next(new)) if c.isdigit() else c for c in s)
 
     def _iban(self, s: str) -> str | None:
@@ -204,7 +207,40 @@ def find_and_replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple
             at = m.end()
     if not found:
         return text, []
-    return "".join([*parts, text[at:]]), found
+    parts.append(text[at:])
+    if words := _name_words(text, found):
+        return _mentions(text, found, words)
+    return "".join(parts), found
+
+
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def _name_words(text: str, found: list[tuple[str, int, int, str]]) -> dict[str, str]:
+    """The words of the names found, titles aside, and their surrogates; initials and particles aren't names alone."""
+    out: dict[str, str] = {}
+    for kind, start, end, new in found:
+        if kind in ("name", "greeted"):
+            pairs = zip(WORD.findall(text[start:end]), WORD.findall(new), strict=True)
+            out |= {a: b for a, b in list(pairs)[1:] if a != b and len(a) > 1 and a[0].isupper()}
+    return out
+
+
+def _mentions(text: str, found: list[tuple[str, int, int, str]], words: dict[str, str]) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """The text with surrogates of what was found, and of the words of names wherever else they stand alone."""
+    parts, every, at = [], [], 0
+    for kind, start, end, new in [*found, ("", len(text), len(text), "")]:
+        for m in WORD.finditer(text, at, start):
+            alone = not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum() or "_" in text[max(0, m.start() - 1) : m.end() + 1])
+            if alone and m[0] in words:
+                parts += [text[at : m.start()], words[m[0]]]
+                every.append(("mention", m.start(), m.end(), words[m[0]]))
+                at = m.end()
+        parts += [text[at:start], new]
+        if kind:
+            every.append((kind, start, end, new))
+        at = end
+    return "".join(parts), every
 
 
 ENTITIES = "array<struct<kind: string, start: int, end: int, surrogate: string>>"
@@ -214,7 +250,8 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the text with surrogates, the number of replaced entities, and what they were.
 
     Offsets are code points of the given text. A null text stays null with no entities; repeated
-    rows stay; other columns are ignored. Matches that fail the kind's own rules stay as they are.
+    rows stay and get equal surrogates; other columns are ignored; an empty table gives an empty one.
+    Matches that fail the kind's own rules, such as check digits, stay as they are.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +266,11 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
 
 
 def replace_text(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with its own columns, with surrogates in ``text`` and ``n_chars`` of the new text."""
+    """``docs`` with its own columns, with surrogates in ``text`` and ``n_chars`` of the new text.
+
+    Null texts stay null, repeated rows stay equal, an empty table stays empty. Columns whose names
+    differ from ``text`` by case only are another's.
+    """
     text, chars = place(docs.columns, "text"), place(docs.columns, "n_chars") if "n_chars" in {n.lower() for n in docs.columns} else None
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +289,12 @@ def replace_text(docs: DataFrame, key: str) -> DataFrame:
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:
-    """(kind, surrogate) that stand for more than one entity of the corpus; there should be none."""
-    found = pseudonymize(docs, key).select(F.explode("entities").alias("e"), "doc_id").select("e.*", "doc_id")
+    """(kind, surrogate) that stand for more than one entity of the corpus; there should be none.
+
+    Ids are taken to be of one text each. Mentions are left out, as they repeat a name's words. Null
+    texts have none, and an empty table gives an empty one.
+    """
+    found = pseudonymize(docs, key).select(F.explode("entities").alias("e"), "doc_id").select("e.*", "doc_id").where("kind <> 'mention'")
     texts = pick(docs, "doc_id", "text")
     pairs = found.join(texts, "doc_id").select("kind", "surrogate", F.lower(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("original"))
     return pairs.groupBy("kind", F.lower("surrogate").alias("surrogate")).agg(F.min("original").alias("first"), F.max("original").alias("last")).where("first <> last")

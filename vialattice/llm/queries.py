@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,12 +24,18 @@ URL_RULES = (
     urls.Rule("block", "example.net", "/de/8"),
     urls.Rule("block", "org", "/es/"),
 )
-#: The key of surrogates where the session names none; a deployment sets its own secret there.
-PII_KEY = "vialattice"
+#: Where the session names the secret key of surrogates.
+PII_KEY = "spark.vialattice.surrogateKey"
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get("spark.vialattice.surrogateKey", PII_KEY)
+    """The session's secret; where it has none, one is drawn and holds as long as the session.
+
+    A corpus whose surrogates should agree from run to run needs its own.
+    """
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return spark.conf.get(PII_KEY)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
