@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, tidied
@@ -38,15 +38,15 @@ BLOCK_BITS = 20
 @dataclass(frozen=True)
 class Params:
     """window: words. cells: of a sketch's row for each word. most_bits: log2 of a row's cells, at most.
-    rows: of the sketch. words_at_once: of a batch. entries: of the second pass for each of its shards,
-    about."""
+    rows: of the sketch. words_at_once: of a batch. entries: words for each shard of the second pass,
+    of which some are entries."""
 
     window: int = 13
     cells: int = 4
     most_bits: int = 29
     rows: int = 2
     words_at_once: int = 1_000_000
-    entries: int = 500_000
+    entries: int = 2_000_000
 
 
 class _Words(dict):
@@ -110,17 +110,25 @@ def _texts(stream: Iterator[pa.RecordBatch], column: str, words: int) -> Iterato
             yield batch, rows, texts
 
 
-def pack(sorted_cells: np.ndarray) -> bytes:
-    """Ascending numbers below 2**32 as compressed differences."""
-    gaps = np.diff(sorted_cells.astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32)
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T)
-    return len(gaps).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, compressed byte by byte: first bytes of all, second ones, and so on."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return len(columns[0]).to_bytes(4, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.int64)
+def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    n, widths = int.from_bytes(data[:4], "little"), [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    cuts = np.split(planes, n * np.cumsum(widths)[:-1])
+    return [np.ascontiguousarray(c.reshape(w, n).T).view(k).ravel() for c, w, k in zip(cuts, widths, kinds, strict=True)]
+
+
+def gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending.astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32)
+
+
+def _met(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint32)[0], dtype=np.int64)
 
 
 def _cells(high: np.ndarray, low: np.ndarray, bits: int, rows: int) -> list[np.ndarray]:
@@ -143,7 +151,7 @@ def sketches(docs: DataFrame, bits: int, p: Params) -> DataFrame:
                 for c, m in zip(np.split(cell, cuts), np.split(n, cuts), strict=True):
                     if len(c):
                         own = c & ((1 << block) - 1)
-                        out.append((r, int(c[0] >> block), pack(own[m == 1]), pack(own[m > 1])))
+                        out.append((r, int(c[0] >> block), pack(gaps(own[m == 1])), pack(gaps(own[m > 1]))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["row", "block", "once", "more"])
 
@@ -167,9 +175,9 @@ def merged(parts: DataFrame, bits: int, tasks: int) -> DataFrame:
                     if key is not None:
                         yield done()
                     key, n = (row, block), np.zeros(width, np.uint8)
-                cells = unpack(once)
+                cells = _met(once)
                 n[cells] = np.minimum(n[cells] + 1, 2)
-                n[unpack(more)] = 2
+                n[_met(more)] = 2
         if key is not None:
             yield done()
 
@@ -193,17 +201,14 @@ def _sketch(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
     return out, words
 
 
-ENTRY = [("high", pa.uint64(), "long"), ("low", pa.uint32(), "long"), ("doc", pa.int64(), "long"), ("key", pa.int64(), "long"), ("at", pa.int32(), "int")]
-FOUND = "shard long, high binary, low binary, doc binary, key binary, at binary"
-
-
-def _row(shard: int, *columns: np.ndarray) -> tuple:
-    return (shard, *(c.tobytes() for c in columns))
+#: Of an entry: both parts of a fingerprint, the document's id and key, where the window starts.
+ENTRY = (np.uint64, np.uint32, np.int64, np.int64, np.int32)
+FOUND = "shard long, entries binary, settled binary"
 
 
 def suspects(docs: DataFrame, sketch, bits: int, shards: int, p: Params) -> DataFrame:
-    """Entries of windows that may be repeated, by shards of their fingerprints; and, with no
-    fingerprint, windows that a smaller document of their own batch also has."""
+    """Entries of windows that may be repeated, by shards of their fingerprints; and, by shards of their
+    documents, windows that a smaller document of their own batch also has."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, heavy = Fingerprints(p.window), sketch.value
@@ -219,56 +224,71 @@ def suspects(docs: DataFrame, sketch, bits: int, shards: int, p: Params) -> Data
             keys = np.array(batch.column("key").take(pa.array(rows)).to_pylist(), np.int64)
             high, low, text, at = high[may], (low[may] >> np.uint64(32)).astype(np.uint32), text[may], at[may].astype(np.int32)
             doc, key = ids[text], keys[text]
-            order = np.lexsort((doc, low, high))
-            high, low, doc, key, at = high[order], low[order], doc[order], key[order], at[order]
-            new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]
-            later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            later = _later(high, low, doc)
             out = []
-            if later.any():
-                k = np.flatnonzero(later)
-                k = k[np.lexsort((at[k], key[k], doc[k]))]
-                none = np.zeros(0, np.int64)
-                out.append(_row(int(key[k[0]]) % shards, none, none, doc[k], key[k], at[k]))
-            k = np.flatnonzero(~later)
-            shard = (high[k] % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            for part in np.split(k[by], np.flatnonzero(np.diff(shard[by])) + 1):
-                out.append(_row(int(high[part[0]] % np.uint64(shards)), high[part], low[part], doc[part], key[part], at[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 5), strict=True)], names=FOUND.replace(",", "").split()[::2])
+            for chosen, by, settled in ((~later, high, False), (later, key.view(np.uint64) ^ doc.view(np.uint64), True)):
+                k = np.flatnonzero(chosen)
+                shard = (by[k] % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((at[k], key[k], doc[k], shard))
+                k, shard = k[order], shard[order]
+                for own in np.split(np.arange(len(k)), np.flatnonzero(np.diff(shard)) + 1):
+                    if len(own):
+                        j = k[own]
+                        packed = pack(doc[j], key[j], at[j]) if settled else pack(high[j], low[j], doc[j], key[j], at[j])
+                        out.append((int(shard[own[0]]), None if settled else packed, packed if settled else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "entries", "settled"])
 
     return docs.select("doc_id", "key", "text").mapInArrow(tidied(run), FOUND)
 
 
-def _settled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows to remove, from all entries of a partition: doc, key, at."""
-    kinds = (np.uint64, np.uint32, np.int64, np.int64, np.int32)
-    held: list[list[bytes]] = [[] for _ in kinds]
+def _later(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document among these also has."""
+    order = np.lexsort((doc, low, high))
+    a, b, d = high[order], low[order], doc[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    out = np.zeros(len(high), bool)
+    out[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
-    def rows(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((at, key, doc))
-        doc, key, at = doc[order], key[order], at[order]
-        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1
-        first = np.r_[0, cuts]
-        ends = np.r_[cuts, len(doc)]
-        for k in range(0, len(first), 10_000):
-            own = first[k : k + 10_000]
-            offsets = np.r_[own, ends[k : k + 10_000][-1]] - own[0]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(key[own]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at[own[0] : own[0] + offsets[-1]]))], names=["doc", "key", "at"])
 
-    for batch in stream:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
-            if row[0]:
-                for column, data in zip(held, row, strict=True):
-                    column.append(data)
-            else:
-                yield from rows(*(np.frombuffer(d, t) for d, t in zip(row[2:], kinds[2:], strict=True)))
-    high, low, doc, key, at = (np.frombuffer(b"".join(column), t) for column, t in zip(held, kinds, strict=True))
-    if len(high):
-        order = np.lexsort((doc, low, high))
-        new = np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])]
-        later = order[doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]]
-        if len(later):
-            yield from rows(doc[later], key[later], at[later])
+def _settle(shards: int):
+    """From all entries of a partition, windows to remove, by shards of their documents."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in stream:
+            for shard, entries, settled in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if entries is not None:
+                    held.append(unpack(entries, *ENTRY))
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([settled], pa.binary())], names=["shard", "settled"])
+        if not held:
+            return
+        high, low, doc, key, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        k = np.flatnonzero(_later(high, low, doc))
+        shard = ((key[k].view(np.uint64) ^ doc[k].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((at[k], key[k], doc[k], shard))
+        k, shard = k[order], shard[order]
+        for own in np.split(np.arange(len(k)), np.flatnonzero(np.diff(shard)) + 1):
+            if len(own):
+                j = k[own]
+                yield pa.RecordBatch.from_arrays([pa.array([shard[own[0]]], pa.int64()), pa.array([pack(doc[j], key[j], at[j])], pa.binary())], names=["shard", "settled"])
+
+    return run
+
+
+def _by_document(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of a partition's documents, a row for each document."""
+    held = [unpack(x, *ENTRY[2:]) for batch in stream for x in batch.column(1).to_pylist()]
+    if not held:
+        return
+    doc, key, at = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((at, key, doc))
+    doc, key, at = doc[order], key[order], at[order]
+    first = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1, len(doc)]
+    for k in range(0, len(first) - 1, 5_000):
+        own = first[k : k + 5_001]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array(key[own[:-1]]), pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(at[own[0] : own[-1]]))], names=["doc", "key", "at"])
 
 
 def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -278,8 +298,14 @@ def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     bits = int(bits_table.shape[1] * 8).bit_length() - 1
     shards = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // p.entries))
     found = suspects(docs, spark.sparkContext.broadcast(bits_table), bits, shards, p)
-    settled = found.repartition(shards, "shard").mapInArrow(tidied(_settled), "doc long, key long, at array<int>")
-    return settled.groupBy("doc", "key").agg(F.collect_list("at").alias("at"))
+    settled = found.repartition(shards, "shard").mapInArrow(tidied(_settle(shards)), "shard long, settled binary")
+    return settled.repartition(shards, "shard").mapInArrow(tidied(_by_document), "doc long, key long, at array<int>")
+
+
+def _key() -> Column:
+    """Tells texts of one id apart: few bytes where ids are few to a value, more for rows without one."""
+    h = F.xxhash64("text")
+    return F.when(F.col("doc_id").isNull(), h).otherwise(F.pmod(h, F.lit(1 << 32)))
 
 
 def deduplicate(df: DataFrame, p: Params = Params(), text: bool = False) -> DataFrame:
@@ -290,10 +316,10 @@ def deduplicate(df: DataFrame, p: Params = Params(), text: bool = False) -> Data
     has, and others lose nothing to them. Rows that repeat an id lose nothing to each other. An empty
     table gives an empty one.
     """
-    docs = pick(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    docs = pick(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
     found = repeated(docs, p)
     keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    joined = keyed.join(found, ["doc", "key"], "left").select("doc_id", "text", F.flatten("at").alias("at"))
+    joined = keyed.join(found, ["doc", "key"], "left").select("doc_id", "text", "at")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if text else [])]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +331,7 @@ def deduplicate(df: DataFrame, p: Params = Params(), text: bool = False) -> Data
                 if starts.is_valid:
                     change = np.zeros(n + 1, np.int64)
                     at = starts.values.to_numpy()
-                    np.add.at(change, at, 1)
+                    np.add.at(change, at, 1)  # equal rows give a window twice
                     np.add.at(change, at + p.window, -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
                 kept = b" ".join(words)
