@@ -1,8 +1,8 @@
 """Matching of lanes by embeddings and roles.
 
 ``index``: lane, camera, grp, ordinal, rank, is_left, is_right, has_successor, group_size, role, e (unit
-length). Nearest neighbours are searched in blocks: each task multiplies a block of queries with a
-block of references and keeps each query's best few, which a second step merges.
+length). Nearest neighbours are searched in the cells that can hold them: each task multiplies a block
+of queries with a block of a cell and keeps each query's best few, which a second step merges.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, LaneConfig
 from ..functions import vectors as v
+from . import neighbours
 
 MATCH = "query long, ref long, sim double"
 
@@ -43,29 +44,16 @@ def retrieve(index: DataFrame, asked: DataFrame, k: int = 3, cross_camera: bool
     return nearest(index.join(asked.select("lane").distinct(), "lane", "left_semi"), refs, k, cross_camera)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, other_camera: bool = True, block: int = 4096) -> DataFrame:
-    """The k most similar references of each query: query, ref, sim, rank from 1.
+def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, other_camera: bool = True, params: neighbours.Params = neighbours.Params()) -> DataFrame:
+    """The k most similar references of each query: query, ref, sim, place from 1.
 
-    Both sides: lane, camera, e. References of the query's own camera, or the query itself, are left
-    out. Similarities equal to nine digits go by the lower lane.
+    Both sides: lane, camera, e of unit length. References of the query's own camera, or the query
+    itself, are left out. Similarities equal to nine digits go by the lower lane. Exact: cells that
+    can't hold one of the k best are passed over.
     """
-    n_q, n_r = (max(1, -(-d.count() // block)) for d in (queries, refs))
-    q = queries.select(F.lit(0).alias("side"), F.pmod(F.xxhash64("lane"), F.lit(n_q)).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("br"), "lane", "camera", "e")
-    r = refs.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("bq"), F.pmod(F.xxhash64("lane"), F.lit(n_r)).cast("int").alias("br"), "lane", "camera", "e")
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.side == 0], rows[rows.side == 1].sort_values("lane")
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "ref": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        sims = np.stack(left.e.to_numpy()) @ np.stack(right.e.to_numpy()).T
-        out = left.camera.to_numpy()[:, None] == right.camera.to_numpy()[None, :] if other_camera else left.lane.to_numpy()[:, None] == right.lane.to_numpy()[None, :]
-        rounded = np.where(out, -np.inf, np.round(sims, 9))
-        order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]  # stable: the lower lane first
-        rows_, cols = np.repeat(np.arange(len(left)), order.shape[1]), order.ravel()
-        good = np.isfinite(rounded[rows_, cols])
-        return pd.DataFrame({"query": left.lane.to_numpy()[rows_[good]], "ref": right.lane.to_numpy()[cols[good]], "sim": sims[rows_[good], cols[good]]})
-
-    found = q.unionByName(r).groupBy("bq", "br").applyInPandas(best, MATCH)
+    found, _ = neighbours.k_nearest(queries, refs, k, other_camera, params)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], MATCH + ", place int")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("sim", 9).desc(), "ref"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
