@@ -94,3 +94,28 @@ def inject(windows: DataFrame, lane_no: Column, ratio: float = 0.3, most: int =
         .withColumn("density", F.when((F.col("kind") == 1) & (F.col("n_traj") > 1), F.col("density") * 0.1).otherwise(F.col("density")))
         .withColumn("lateral_offset", F.when(F.col("kind") == 2, F.col("lateral_offset") + shift).otherwise(F.col("lateral_offset")))
     )
+
+
+def inject_trajectories(points: DataFrame, injected: DataFrame) -> DataFrame:
+    """The anomalies of ``inject`` put into the trajectories that the statistics are of.
+
+    ``points``: camera, group_id, cls_id, w, track_id, x, y, a row a point; ``injected``: what ``inject`` gives. Slowed
+    windows shrink to a fifth around the mean of their points; of thinned ones a tenth of the tracks
+    stays, one at least, the first by an arithmetic hash; shifted ones move by a vector whose
+    components add up, in size, to what their lateral offset grew by. Other windows stay as they are.
+    """
+    key = [*LANE, "w"]
+    rows = points.join(injected.select(*key, "kind", "h"), key)
+    centre = rows.where("kind = 0").groupBy(*key).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    tracks = rows.where("kind = 1").select(*key, "track_id").distinct()
+    n = tracks.groupBy(*key).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*key).orderBy(F.pmod(F.col("track_id") * 7919 + F.col("w") * 104729, F.lit(1_000_003)), "track_id")
+    kept = tracks.join(n, key).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.greatest(F.floor(F.col("n") / 10), F.lit(1))).select(*key, "track_id", F.lit(True).alias("kept"))
+    rows = rows.join(centre, key, "left").join(kept, [*key, "track_id"], "left").where("kind is null or kind <> 1 or kept")
+    shift, part = (F.pmod("h", F.lit(1000)) / 1000.0) * 0.04, F.pmod(F.floor(F.col("h") / 1000), F.lit(1000)) / 1000.0
+    sign = lambda bit: 1 - 2 * F.pmod(F.floor(F.col("h") / bit), F.lit(2))
+
+    def moved(at: str, centre: str, by: Column) -> Column:
+        return F.when(F.col("kind") == 0, F.col(centre) + 0.2 * (F.col(at) - F.col(centre))).when(F.col("kind") == 2, F.col(at) + by).otherwise(F.col(at)).alias(at)
+
+    return rows.select(*(c for c in points.columns if c not in ("x", "y")), moved("x", "cx", sign(1) * shift * part), moved("y", "cy", sign(2) * shift * (1 - part)))

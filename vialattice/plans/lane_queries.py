@@ -192,6 +192,25 @@ def inject_anomalies(spark, sf_dir):
     return rows.select(*longs("group_id", "cls_id", "w"), "label", *longs("kind"), *r6("speed", "density", "lateral_offset"))
 
 
+@query(WINDOWS + f""", h as (select *, ((group_id * 2 + cls_id) * 7919 + w * 104729) % 1000003 as h, sum(valid::int) over (partition by group_id, cls_id) as n_valid from wd),
+r as (select *, valid and row_number() over (partition by group_id, cls_id, valid order by h, w) <= least(3, greatest(1, floor(n_valid * 0.3::double))) as label from h),
+k as (select *, case when label then h % 3 end as kind from r),
+pt as (select k.group_id, k.cls_id, k.w, np.track_id, event_id, x, y, kind, h from held join k using (group_id, cls_id, w) join np using (track_id)),
+c as (select group_id, cls_id, w, avg(x) as cx, avg(y) as cy from pt where kind = 0 group by all),
+t as (select *, row_number() over (partition by group_id, cls_id, w order by (track_id * 7919 + w * 104729) % 1000003, track_id) as place, count(*) over (partition by group_id, cls_id, w) as n from (select distinct group_id, cls_id, w, track_id from pt where kind = 1)),
+s as (select pt.*, cx, cy, (h % 1000) / 1000::double * 0.04::double as shift, (h // 1000 % 1000) / 1000::double as part from pt left join c using (group_id, cls_id, w)
+  where kind is null or kind <> 1 or exists (select 1 from t where t.group_id = pt.group_id and t.cls_id = pt.cls_id and t.w = pt.w and t.track_id = pt.track_id and place <= greatest(n // 10, 1)))
+select {HEAD}, track_id, event_id,
+  round(case when kind = 0 then cx + 0.2::double * (x - cx) when kind = 2 then x + (1 - 2 * (h % 2)) * shift * part else x end, 6) as x,
+  round(case when kind = 0 then cy + 0.2::double * (y - cy) when kind = 2 then y + (1 - 2 * (h // 2 % 2)) * shift * (1 - part) else y end, 6) as y from s""")
+def inject_trajectories(spark, sf_dir):
+    given, normal, trajs = _trajectories(spark, sf_dir)
+    injected = windows.inject(windows.window_stats(trajs, normal, FIXTURE), F.col("group_id") * 2 + F.col("cls_id"))
+    held = windows.assign_windows(trajs, FIXTURE.window_size, FIXTURE.window_stride, FIXTURE.window_total).select(*windows.LANE, "w", "track_id")
+    at = held.join(given.select("camera", "track_id", "event_id", "x", "y"), ["camera", "track_id"])
+    return windows.inject_trajectories(at, injected).select(*longs("group_id", "cls_id", "w"), "track_id", "event_id", *r6("x", "y"))
+
+
 @query("select vec_id, case when s and r then 'Merge (rightmost)' when s then 'Merge' when l then 'Leftmost' when r then 'Rightmost' when k between 0.35::double and 0.65::double then 'Middle' when k < 0.35::double then 'Inner' else 'Outer' end as role from (select vec_id, (vec_id % 5) / 4::double as k, vec_id % 5 = 0 as l, vec_id % 5 = 4 as r, vec_id % 7 = 0 as s from embeddings)")
 def role_label(spark, sf_dir):
     from .fixtures import index
