@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import assign as op
-from .fixtures import POINTS_SQL, SEGS_SQL, distances_sql, lanes, points, r6
+from .fixtures import ANNOTATED_SQL, POINTS_SQL, SEGS_SQL, annotations, distances_sql, lanes, points, r6
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,7 +109,9 @@ def colour_slots(spark, sf_dir):
     return a.select("track_id", op.colour_slot(F.col("group_id"), F.col("lane_id")).alias("slot"))
 
 
-@query(f"with {SEGS_SQL} select group_id::bigint as group_id, cls_id::bigint as cls_id, floor(sum(sqrt((bx - ax) ** 2 + (by2 - ay) ** 2)) / 5) + 1 as n from segs group by all")
+@query(f"""with {ANNOTATED_SQL}, steps as (select *, sqrt((wx - lag(wx) over w) ** 2 + (wy - lag(wy) over w) ** 2) as step from annotated window w as (partition by vec_id order by k))
+select group_id, cls_id, floor(sum(step) / 5) + 1 as n from steps group by group_id, cls_id""")
 def densified_lanes(spark, sf_dir):
-    dense = lanes(spark).withColumn("dense", g.densify(F.col("waypoints"), 5.0))
-    return dense.select(F.col("group_id").cast("long"), F.col("cls_id").cast("long"), F.size("dense").cast("double").alias("n"))
+    groups = annotations(spark, sf_dir).select(F.explode("lane_groups").alias("g"))
+    dense = groups.select("g.group_id", F.explode("g.lanes").alias("l")).withColumn("dense", g.densify(F.col("l.waypoints"), 5.0))
+    return dense.select(F.col("group_id").cast("long"), F.col("l.cls_id").cast("long").alias("cls_id"), F.size("dense").cast("double").alias("n"))

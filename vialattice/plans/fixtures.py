@@ -66,6 +66,23 @@ def documents(spark: SparkSession, cameras: int = 1) -> DataFrame:
     return rows.groupBy("camera").agg(F.array_sort(F.collect_list(F.struct("group_id", "lanes", "relationships"))).alias("lane_groups"))
 
 
+#: embeddings as annotated lanes of three to five waypoints, and their relationships.
+ANNOTATED_SQL = """
+annotated as (select vec_id, 'cam' || (vec_id // 50) as camera, vec_id // 5 as group_id, vec_id % 5 as cls_id, k, 480::double * k as wx, 100 + 150 * (vec_id % 5) + 40::double * embedding[k + 1]::double as wy
+  from embeddings cross join (select unnest(range(5)) as k) where k < 3 + vec_id % 3),
+related as (select 'cam' || (vec_id // 50) as camera, vec_id // 5 as group_id, case when vec_id % 7 = 0 then 'successor' else 'adjacent' end as type, vec_id % 5 as from_cls, (vec_id + 1) % 5 as to_cls from embeddings where vec_id % 7 = 0 or vec_id % 11 = 0)"""
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as annotation documents, one a camera: five lanes to a group, some with a relationship."""
+    n = F.col("vec_id")
+    line = F.transform(F.sequence(F.lit(0), (2 + n % 3).cast("int")), lambda k: g.point(k * 480.0, 100 + 150 * (n % 5) + 40.0 * F.get("embedding", k).cast("double")))
+    linked = F.struct(F.when(n % 7 == 0, "successor").otherwise("adjacent").alias("type"), (n % 5).alias("from_cls"), ((n + 1) % 5).alias("to_cls"))
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("cam"), F.floor(n / 50).cast("string")).alias("camera"), F.floor(n / 5).alias("group_id"), F.struct((n % 5).alias("cls_id"), line.alias("waypoints")).alias("lane"), F.when((n % 7 == 0) | (n % 11 == 0), linked).alias("linked"))
+    groups = rows.groupBy("camera", "group_id").agg(F.array_sort(F.collect_list("lane")).alias("lanes"), F.collect_list("linked").alias("relationships"))
+    return groups.groupBy("camera").agg(F.array_sort(F.collect_list(F.struct("group_id", "lanes", "relationships"))).alias("lane_groups"))
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as lanes: five to a group, ten groups to a camera."""
     e = table(spark, sf_dir, "embeddings")

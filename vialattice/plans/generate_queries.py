@@ -343,11 +343,16 @@ def placement(spark, sf_dir):
     return p.select(F.round("centroid.x", 6).alias("x"), F.round("centroid.y", 6).alias("y"), *r6("angle", "scale"))
 
 
-@query("with b as (select t, 0.0001::double + (0.1::double - 0.0001::double) * t / 99 as beta from (select unnest(range(100)) as t)) select t, round(beta, 9) as beta, round(exp(sum(ln(1 - beta)) over (order by t rows unbounded preceding)), 9) as alpha_bar from b")
+@query("""with b as (select t, 0.0001::double + (0.1::double - 0.0001::double) * t / 99 as beta from (select unnest(range(100)) as t)),
+s as (select t, beta, exp(sum(ln(1 - beta)) over (order by t rows unbounded preceding)) as alpha_bar from b)
+select vec_id, t, round(beta, 9) as beta, round(alpha_bar, 9) as alpha_bar, round(sqrt(alpha_bar) * embedding[1]::double, 6) as kept from embeddings join s on s.t = vec_id % 100""")
 def diffusion_schedule(spark, sf_dir):
+    """What each vector's first component keeps at a step of its own."""
     from ..operators import models
 
-    return models.schedule(spark).select("t", F.round("beta", 9).alias("beta"), F.round("alpha_bar", 9).alias("alpha_bar"))
+    steps = models.schedule(spark).select(F.col("t").alias("t"), "beta", "alpha_bar")
+    rows = table(spark, sf_dir, "embeddings").withColumn("t", F.col("vec_id") % 100).join(F.broadcast(steps), "t")  # a hundred rows
+    return rows.select("vec_id", "t", F.round("beta", 9).alias("beta"), F.round("alpha_bar", 9).alias("alpha_bar"), F.round(F.sqrt("alpha_bar") * F.col("embedding")[0].cast("double"), 6).alias("kept"))
 
 
 @query()

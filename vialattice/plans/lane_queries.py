@@ -10,7 +10,7 @@ from ..config import DEFAULT
 from ..operators import assign, windows
 from ..operators import lanes as op
 from .assign_queries import NORMAL
-from .fixtures import SHAPE_POINTS_SQL, WAYPOINTS_SQL, documents, lanes, points, r6, shapes
+from .fixtures import ANNOTATED_SQL, SHAPE_POINTS_SQL, WAYPOINTS_SQL, annotations, documents, lanes, points, r6, shapes
 
 #: The driver's events span thirty days: windows of days instead of minutes, as many as by default.
 FIXTURE = replace(DEFAULT, window_size=432_000.0, window_stride=216_000.0, window_total=2_592_000.0)
@@ -32,26 +32,26 @@ def longs(*names):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
-@query(f"with {WAYPOINTS_SQL} select 'cam0' as camera, group_id::bigint as group_id, cls_id::bigint as cls_id, k::bigint as k, round(wx / 1920, 6) as x, round(wy / 1080, 6) as y from waypoints")
+@query(f"with {ANNOTATED_SQL} select camera, group_id, cls_id, k::bigint as k, round(wx / 1920, 6) as x, round(wy / 1080, 6) as y from annotated")
 def lane_unnest(spark, sf_dir):
-    rows = op.unnest_lanes(documents(spark)).select("camera", *longs("group_id", "cls_id"), F.posexplode("waypoints").alias("k", "p"))
+    rows = op.unnest_lanes(annotations(spark, sf_dir)).select("camera", *longs("group_id", "cls_id"), F.posexplode("waypoints").alias("k", "p"))
     return rows.select("camera", "group_id", "cls_id", *longs("k"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@query(f"with {WAYPOINTS_SQL} select distinct 'cam0' as camera, group_id::bigint as group_id, cls_id::bigint as cls_id, group_id = 1 and cls_id = 1 as has_successor from waypoints")
+@query(f"with {ANNOTATED_SQL} select distinct camera, group_id, cls_id, exists (select 1 from related r where r.camera = a.camera and r.group_id = a.group_id and r.from_cls = a.cls_id and type = 'successor') as has_successor from annotated a")
 def lane_successor(spark, sf_dir):
-    docs = documents(spark)
+    docs = annotations(spark, sf_dir)
     return op.successors(op.unnest_lanes(docs), op.unnest_relationships(docs)).select("camera", *longs("group_id", "cls_id"), "has_successor")
 
 
-@query("select * from (values ('cam0', 1::bigint, 'successor', 1::bigint, 0::bigint), ('cam0', 0, 'adjacent', 0, 1)) t(camera, group_id, type, from_cls, to_cls)")
+@query(f"with {ANNOTATED_SQL} select camera, group_id, type, from_cls, to_cls from related")
 def lane_relationships(spark, sf_dir):
-    return op.unnest_relationships(documents(spark)).select("camera", *longs("group_id"), "type", *longs("from_cls", "to_cls"))
+    return op.unnest_relationships(annotations(spark, sf_dir)).select("camera", *longs("group_id"), "type", *longs("from_cls", "to_cls"))
 
 
-@query(f"with {WAYPOINTS_SQL} select 'annot_' || group_id || '_' || cls_id as key, count(*) as n_points from waypoints group by 1")
+@query(f"with {ANNOTATED_SQL} select camera, 'annot_' || group_id || '_' || cls_id as key, count(*) as n_points from annotated group by camera, group_id, cls_id")
 def lane_geometry_map(spark, sf_dir):
-    return op.lane_map(documents(spark)).select(F.explode("geometry").alias("key", "line")).select("key", F.size("line").cast("long").alias("n_points"))
+    return op.lane_map(annotations(spark, sf_dir)).select("camera", F.explode("geometry").alias("key", "line")).select("camera", "key", F.size("line").cast("long").alias("n_points"))
 
 
 @query("select vec_id, 'cam' || (vec_id // 50) || '_' || (vec_id // 5) || '_' || (vec_id % 5) as key, 'cam' || (vec_id // 50) as camera from embeddings")
