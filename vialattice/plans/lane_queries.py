@@ -10,7 +10,7 @@ from ..config import DEFAULT
 from ..operators import assign, windows
 from ..operators import lanes as op
 from .assign_queries import NORMAL
-from .fixtures import ANNOTATED_SQL, SHAPE_POINTS_SQL, WAYPOINTS_SQL, annotations, documents, lanes, points, r6, shapes
+from .fixtures import ANNOTATED_SQL, SHAPE_POINTS_SQL, annotations, documents, lanes, points, r6, shapes
 
 #: The driver's events span thirty days: windows of days instead of minutes, as many as by default.
 FIXTURE = replace(DEFAULT, window_size=432_000.0, window_stride=216_000.0, window_total=2_592_000.0)
