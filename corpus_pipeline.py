@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the folder's labels, doesn't reject.
 
     A null or empty text is scored as an empty one; repeated rows are judged alike and stay; a folder
-    without labels rejects nothing.
+    without labels rejects nothing. The column named ``text`` is read, whatever differs from it by case.
     """
     return toxicity.keep_clean(docs, toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -39,14 +39,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; a null text stays null, and equal rows stay equal."""
+    """Personal data replaced by surrogates; a null text stays null, and equal rows stay equal.
+
+    Very long texts take time in proportion. The column named ``text`` is replaced, no other one.
+    """
     return pii.replace_text(docs, pii_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 1024 tokens.
 
-    A null or empty text has its end token alone; a null id stays null.
+    A null or empty text has its end token alone; a null id stays null; repeated rows are packed as often
+    as they occur. Other columns end here, whatever their names; an empty table has no pieces.
     """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

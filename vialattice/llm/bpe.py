@@ -184,8 +184,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = 7
     """Encode each whole text, decode its ids again, and return digests of both.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 for each row. A null text counts as empty
-    (no tokens, digests of the empty string); repeated rows stay; other columns are ignored. Special
-    tokens' strings are ordinary text. ``limit``: chunks that a Python worker remembers.
+    (no tokens, digests of the empty string); repeated rows stay; other columns are ignored; an empty
+    table gives an empty one. Special tokens' strings are ordinary text. ``limit``: chunks that a
+    Python worker remembers.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
