@@ -30,22 +30,27 @@ assigned as (select track_id, case when b.score > 60 then -1 else b.cls_id end::
   case when b.score > 60 then -1 else b.group_id end::bigint as group_id, b.score <= 60 and coalesce(b.std, 0) > 30 as lane_change from best)"""
 
 
+def _five(spark, sf_dir):
+    """Tracks of five cameras, a user's all on one, and the lanes of each."""
+    return points(spark, sf_dir, 5), lanes(spark, 5)
+
+
 @query(BEST + " select track_id, lane_id, round(lane_score, 6) as lane_score, group_id, lane_change from assigned")
 def assign_global(spark, sf_dir):
-    return op.assign_global(points(spark, sf_dir), lanes(spark)).select("track_id", "lane_id", *r6("lane_score"), "group_id", "lane_change")
+    return op.assign_global(*_five(spark, sf_dir)).select("track_id", "lane_id", *r6("lane_score"), "group_id", "lane_change")
 
 
 @query(BEST + " select track_id, round(time, 3) as time, round(x, 6) as x, round(y, 6) as y, lane_id, round(lane_score, 6) as lane_score, group_id, lane_change from points join assigned using (track_id)")
 def assign_points(spark, sf_dir):
-    return op.assign_points(points(spark, sf_dir), lanes(spark)).select("track_id", F.round("time", 3).alias("time"), *r6("x", "y"), "lane_id", *r6("lane_score"), "group_id", "lane_change")
+    return op.assign_points(*_five(spark, sf_dir)).select("track_id", F.round("time", 3).alias("time"), *r6("x", "y"), "lane_id", *r6("lane_score"), "group_id", "lane_change")
 
 
-@query(BEST + """ select 'cam0' as camera, count(distinct track_id) as total_tracks, count(distinct case when lane_id >= 0 then track_id end) as assigned_tracks,
+@query(BEST + """ select 'cam' || (track_id // 1000 % 5) as camera, count(distinct track_id) as total_tracks, count(distinct case when lane_id >= 0 then track_id end) as assigned_tracks,
   count(distinct track_id) - count(distinct case when lane_id >= 0 then track_id end) as rejected_tracks,
   round((count(distinct track_id) - count(distinct case when lane_id >= 0 then track_id end)) / greatest(count(distinct track_id), 1)::double, 6) as rejection_rate,
-  count(distinct case when lane_change then track_id end) as lane_change_tracks from assigned having count(*) > 0""")
+  count(distinct case when lane_change then track_id end) as lane_change_tracks from assigned group by 1""")
 def assign_summary(spark, sf_dir):
-    out = op.summary(op.assign_global(points(spark, sf_dir), lanes(spark)))
+    out = op.summary(op.assign_global(*_five(spark, sf_dir)))
     return out.select("camera", "total_tracks", "assigned_tracks", "rejected_tracks", *r6("rejection_rate"), "lane_change_tracks")
 
 
@@ -61,7 +66,7 @@ per_group as (select group_id, track_id, b.cls_id as cls_id, b.score as score fr
 
 @query(NORMAL + " select group_id::bigint as group_id, track_id, cls_id::bigint as cls_id, round(score, 6) as score from per_group")
 def assign_per_group(spark, sf_dir):
-    return op.assign_per_group(points(spark, sf_dir), lanes(spark)).select(F.col("group_id").cast("long"), "track_id", F.col("cls_id").cast("long"), *r6("score"))
+    return op.assign_per_group(*_five(spark, sf_dir)).select(F.col("group_id").cast("long"), "track_id", F.col("cls_id").cast("long"), *r6("score"))
 
 
 @query(f"with {POINTS_SQL} select track_id, event_id, n_points from (select track_id, event_id, count(*) over (partition by track_id) as n_points from points) where n_points >= 5")
@@ -77,7 +82,7 @@ foot as (select p.event_id, p.x, p.y, s.*, least(greatest(((p.x - ax) * (bx - ax
 near as (select event_id, group_id, cls_id, min({{'d': sqrt((x - (ax + t * (bx - ax))) ** 2 + (y - (ay + t * (by2 - ay))) ** 2), 'seg': seg, 's': case when (bx - ax) * (y - ay) - (by2 - ay) * (x - ax) < 0 then -1 else 1 end}}) as n from foot group by all)
 select event_id, group_id::bigint as group_id, cls_id::bigint as cls_id, round(n.d * n.s, 6) as signed from near""")
 def signed_lateral(spark, sf_dir):
-    return op.signed_lateral(points(spark, sf_dir), lanes(spark)).select("event_id", F.col("group_id").cast("long"), F.col("cls_id").cast("long"), *r6("signed"))
+    return op.signed_lateral(*_five(spark, sf_dir)).select("event_id", F.col("group_id").cast("long"), F.col("cls_id").cast("long"), *r6("signed"))
 
 
 @query(f"with {POINTS_SQL} select event_id, class::bigint as class, round(conf, 6) as conf from points where class in (2, 5, 7) and conf >= 0.25::double")
@@ -105,7 +110,7 @@ def trailing_buffer(spark, sf_dir):
 
 @query(BEST + " select track_id, ((group_id * 4 + lane_id) % 12 + 12) % 12 as slot from assigned")
 def colour_slots(spark, sf_dir):
-    a = op.assign_global(points(spark, sf_dir), lanes(spark))
+    a = op.assign_global(*_five(spark, sf_dir))
     return a.select("track_id", op.colour_slot(F.col("group_id"), F.col("lane_id")).alias("slot"))
 
 
