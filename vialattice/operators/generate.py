@@ -340,6 +340,18 @@ def resolve(index: DataFrame, spec) -> DataFrame:
     return mean.crossJoin(chosen).select(F.when(F.size("e") > 0, F.col("e")).otherwise(F.col("all")).alias("e"))  # a row each
 
 
+def resolve_in_place(index: DataFrame, lanes: DataFrame, spec) -> DataFrame:
+    """``resolve``, and where the lane goes if the specification names a camera and a group.
+
+    One row: e, and ``context``, that group's row of ``spatial_context``; null if camera or group are not
+    given, or there is no such group.
+    """
+    target = resolve(index, spec)
+    here = lanes.where(F.lit(False) if spec.camera is None or spec.group_id is None else (F.col("camera") == spec.camera) & (F.col("group_id") == spec.group_id))
+    context = spatial_context(here, spec.is_rightmost, spec.is_leftmost, spec.has_successor, spec.replace_cls)
+    return target.join(context.select(F.struct("*").alias("context")), F.lit(True), "left")  # a row each
+
+
 def placement(lines: DataFrame) -> DataFrame:
     """Centroid, angle and scale of the mean of all lines (G12), in one row."""
     points = lines.select(F.posexplode("line").alias("k", "p")).groupBy("k").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
