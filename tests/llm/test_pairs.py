@@ -29,6 +29,17 @@ def test_components_of_a_long_chain(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST", 20)
+    monkeypatch.setattr(graph, "SHARE", 5)
+    monkeypatch.setattr(graph, "SALTS", 7)
+    links = [(500, k) for k in range(300, 700)] + [(900, k) for k in range(800, 1000)] + [(1, 2), (2, 650), (1500, 1501)]
+    nodes = {x for p in links for x in p}
+    want = smallest(nodes, [p for p in links if p[0] != p[1]])
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(5)
