@@ -1,12 +1,13 @@
 """Collocations: phrases whose words occur together more often than their parts would suggest.
 
-Texts are cut into pieces at marks and pieces into words. All runs of one to ``words`` words become
-rows, which are counted by language with partial aggregation before the shuffle, so common phrases
-travel once for each task. Counts of at least ``least`` are kept, as every part of a candidate occurs
-as often as the candidate at least. Each cut of a candidate into two parts is joined with the counts
-of both; scores are exact decimals. A candidate that lives mostly inside a longer one is dropped by an
-anti-join with the one-word extensions: a longer phrase that holds it is no more frequent than the
-extension within that phrase, so these suffice.
+Texts are cut into pieces at marks and pieces into words; equal pieces are counted first. All runs of
+one to ``words`` words become rows, which are counted by language with partial aggregation before the
+shuffle, so common phrases travel once for each task. Counts of at least ``least`` are kept, as every
+part of a candidate occurs as often as the candidate at least, and those of all single words, which
+add up to a language's size. Each cut of a candidate into two parts is joined with the counts of both;
+scores are exact decimals. A candidate that lives mostly inside a longer one is dropped by an anti-join
+with the one-word extensions: a longer phrase that holds it is no more frequent than the extension
+within that phrase, so these suffice.
 
 Parts that very many candidates share are dealt over salts in the joins, and the first ranks are
 found within salts before they meet for each language.
@@ -20,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pick
+from .common import drop_path, materialize, pick
 
 #: Between pieces, and what becomes lower case.
 MARKS, UPPER, LOWER = ".,;:!?\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Spark's switch that removes a query's shuffle files at its end, instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass(frozen=True)
@@ -39,23 +42,51 @@ class Params:
     hot: int = 500
     salts: int = 64
 
+    def __post_init__(self):
+        if self.words < 2 or self.least < 1:
+            raise ValueError("words: 2 at least, least: 1 at least")
 
-def _tokens(df: DataFrame) -> DataFrame:
-    """lang, w: the words of each piece that has some."""
+
+def pieces(df: DataFrame) -> DataFrame:
+    """lang, piece, times: the pieces that have words, set apart by single spaces. Equal ones are one row: copied texts and lines count once."""
     text = F.translate(F.coalesce("text", F.lit("")), UPPER + MARKS + "\t", LOWER + "\n" * len(MARKS) + " ")
-    pieces = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, "\n")).alias("piece"))
-    return pieces.select("lang", F.trim("piece").alias("piece")).where("piece <> ''").select("lang", F.split("piece", " +").alias("w"))
+    rows = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, "\n")).alias("piece"))
+    return rows.select("lang", F.trim("piece").alias("piece")).where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
+
 
+def counts(pieces: DataFrame, lengths: range) -> DataFrame:
+    """lang, phrase, f: occurrences of phrases of these numbers of words.
 
-def counts(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """lang, phrase, f: occurrences of phrases of 1 to ``words`` words; an empty phrase has those of all words."""
-    n = F.size("w")
-    rest = [F.when(n > k, F.slice("w", k + 1, F.greatest(n - k, F.lit(1)))).otherwise(F.array().cast("array<string>")) for k in range(1, p.words)]
-    runs = _tokens(df).select("lang", F.inline(F.arrays_zip(F.col("w").alias("w0"), *(r.alias(f"w{k}") for k, r in enumerate(rest, 1)))).alias(*(f"w{k}" for k in range(p.words))))
+    They are counted by one string, the phrase and behind a tab, which no word has, its language.
+    """
+    most, n = lengths[-1], F.size("w")
+    rest = [F.when(n > k, F.slice("w", k + 1, F.greatest(n - k, F.lit(1)))).otherwise(F.array().cast("array<string>")) for k in range(1, most)]
+    words = pieces.select("lang", F.split("piece", " +").alias("w"), "times")
+    runs = words.select("lang", "times", F.inline(F.arrays_zip(F.col("w").alias("w0"), *(r.alias(f"w{k}") for k, r in enumerate(rest, 1)))).alias(*(f"w{k}" for k in range(most))))
     # a row for every length; beyond the piece's end words are null, and so is the phrase
-    phrase = [F.concat(*(x for j in range(k + 1) for x in ((F.lit(" "), F.col(f"w{j}")) if j else (F.col("w0"),)))) for k in range(p.words)]
-    rows = runs.select("lang", F.explode(F.array(F.lit(""), *phrase)).alias("phrase")).where("phrase is not null")
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    phrase = [F.concat(*(x for j in range(k) for x in ((F.lit(" "), F.col(f"w{j}")) if j else (F.col("w0"),))), F.lit("\t"), F.col("lang")) for k in lengths]
+    rows = runs.select("times", F.explode(F.array(*phrase)).alias("key")).where("key is not null")
+    tab = F.instr("key", "\t")
+    return rows.groupBy("key").agg(F.sum("times").alias("f")).select(F.expr("substring(key, instr(key, '\t') + 1)").alias("lang"), F.substring("key", F.lit(1), tab - 1).alias("phrase"), "f")
+
+
+def _counted(df: DataFrame, p: Params) -> DataFrame:
+    """lang, phrase, f, size: single words, and frequent phrases. The longest phrases, which are most of the
+    rows, are counted after the others, and a step's shuffle goes when its table is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        some, path = materialize(pieces(df), "pieces")
+        out = None
+        for lengths in (range(1, p.words), range(p.words, p.words + 1)):
+            found = counts(some, lengths).withColumn("size", F.size(F.split("phrase", " ")))
+            found, _ = materialize(found.where((F.col("f") >= p.least) | (F.col("size") == 1)), "phrases")
+            out = found if out is None else out.unionByName(found)
+        drop_path(spark, path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return out
 
 
 def _dealt(cuts: DataFrame, known: DataFrame, part: str, value: str, hot: DataFrame, p: Params) -> DataFrame:
@@ -88,10 +119,9 @@ def collocations(df: DataFrame, p: Params = Params()) -> DataFrame:
     Equal scores are ordered by count, then by the phrase's bytes. Rows that repeat count each time. An
     empty table, or one without candidates, gives an empty one.
     """
-    every, _ = materialize(counts(pick(df, "lang", "text"), p).where((F.col("f") >= p.least) | (F.col("phrase") == "")), "phrases")
-    known = every.where("phrase <> ''")
-    size = F.size(F.split("phrase", " "))
-    candidates = known.withColumn("size", size).where("size > 1")
+    every = _counted(pick(df, "lang", "text"), p)
+    known = every.where(F.col("f") >= p.least)
+    candidates = known.where("size > 1")
     words = F.split("phrase", " ")
     joined = lambda at, n: F.array_join(F.slice(words, at, n), " ")
     k = F.explode(F.sequence(F.lit(1), F.col("size") - 1))
@@ -107,5 +137,5 @@ def collocations(df: DataFrame, p: Params = Params()) -> DataFrame:
     salt = F.pmod(F.xxhash64("phrase"), F.lit(p.salts))
     first = own.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= p.top).drop("salt")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= p.top)
-    total = every.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    total = every.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
