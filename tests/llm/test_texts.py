@@ -89,6 +89,16 @@ def test_toxicity_without_labels(spark, corpus):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
 
 
+def test_rows_that_repeat_an_id_teach_once(spark, corpus):
+    docs, labels = corpus
+    one = docs.where(~toxicity.held_out()).orderBy("doc_id").limit(1)
+    many = docs
+    for _ in range(40):
+        many = many.unionByName(one)
+    a, b = toxicity.fit(docs, labels), toxicity.fit(many.repartition(5), labels)
+    assert (a.terms, a.stems, a.known) == (b.terms, b.stems, b.known) and np.allclose(a.weights, b.weights)
+
+
 def test_quotation_counts_apart():
     scorer = toxicity.Scorer(toxicity.Lexicon(["scumbag"], [], frozenset(), 5), toxicity.Params())
     assert scorer.features('he is a scumbag')[0] > 0

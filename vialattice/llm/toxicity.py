@@ -246,7 +246,8 @@ def _features(docs: DataFrame, model: Model, extra: tuple[str, ...]) -> DataFram
 def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     """Learn lexicon and model from a bounded, fixed sample of labelled rows that aren't held out.
 
-    Labels that are null, or of no document, teach nothing. Without any toxic label the lexicon is
+    Labels that are null, or of no document, teach nothing; of rows that repeat an id the least text
+    does. Columns that only differ by case from those used, and others, are ignored. Without any toxic label the lexicon is
     empty and every score is the share of toxic rows among the labelled, 0 if there are none.
     """
     p = p or Params()
@@ -256,7 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     chosen = given.where("toxic = 1").orderBy(*order).limit(p.fit_toxic).union(given.where("toxic <> 1").orderBy(*order).limit(p.fit_other))
     chosen, _ = materialize(chosen, "chosen")  # at most fit_toxic + fit_other ids
     texts = pick(docs, "doc_id", "text")
-    sample, _ = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
+    # of rows that repeat an id one counts, so that the sample is bounded in rows
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample, _ = materialize(sample.select("text", "toxic"), "sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
 
@@ -284,7 +287,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; a null text is scored as an empty one."""
+    """doc_id, held_out, score, predicted of every row; a null text is scored as an empty one.
+
+    Repeated rows are scored alike, a null id stays null and is not held out, other columns are ignored,
+    and an empty table gives an empty one.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
@@ -297,7 +304,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that the model doesn't reject."""
+    """Rows of ``docs``, with all their columns, that the model doesn't reject.
+
+    A null text is judged as an empty one, repeated rows alike; an empty table stays empty. Of columns
+    whose names differ by case the one named ``text`` is read.
+    """
     at = place(docs.columns, "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
