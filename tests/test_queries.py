@@ -43,3 +43,19 @@ def test_query(spark, db, name):
         assert rows(got.columns, mine) == rows(columns, run.fetchall())
     else:
         assert mine
+
+
+SMALL_GROUPS = ["group_geometry"]
+
+
+@pytest.mark.parametrize("name", SMALL_GROUPS)
+def test_groups_that_lack_lanes(spark, tmp_path, name):
+    """One lane alone (the first, second, third, last; with a successor), two of five, and one group that is whole."""
+    con = duckdb.connect()
+    path = tmp_path / "embeddings.parquet"
+    con.execute(f"copy (select * from '{DATA}/embeddings.parquet' where vec_id < 5 or vec_id in (5, 6, 10, 21, 27, 32, 35, 44, 49, 53, 54)) to '{path}' (format parquet)")
+    con.execute(f"create view embeddings as select * from '{path}'")
+    run = con.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in run.description]
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows(columns, run.fetchall())

@@ -26,22 +26,22 @@ def centerlines(trajectories: DataFrame, keys: list[str], k: int = 32) -> DataFr
     return mean_polyline(trajectories, keys, k).withColumn("line", g.smooth(F.col("line")))
 
 
-def geometry(lanes: DataFrame, default_spacing: float = 0.05) -> DataFrame:
-    """Each group's tangent, perpendicular to the right, spacing and outer lanes.
+def geometry(lanes: DataFrame, default_spacing: float | None = 0.05) -> DataFrame:
+    """Each group's tangent, perpendicular to the right, spacing and outer lanes with their order.
 
-    ``lanes``: camera, group_id, lane_ord (left to right), line.
+    ``lanes``: camera, group_id, lane_ord (left to right), line. A group of one lane has the default spacing.
     """
     first, last = F.element_at("line", 1), F.element_at("line", -1)
     dx, dy = last["x"] - first["x"], last["y"] - first["y"]
     n = F.sqrt(dx * dx + dy * dy)
     rows = lanes.withColumn("ux", F.when(n > 1e-8, dx / n)).withColumn("uy", F.when(n > 1e-8, dy / n)).withColumn("c", g.centroid(F.col("line")))
-    ends = rows.groupBy(*GROUP).agg(F.coalesce(F.avg("ux"), F.lit(1.0)).alias("tx"), F.coalesce(F.avg("uy"), F.lit(0.0)).alias("ty"), F.count("*").alias("n_lanes"), F.min_by("line", "lane_ord").alias("left"), F.max_by("line", "lane_ord").alias("right"), F.min_by("c", "lane_ord").alias("cl"), F.max_by("c", "lane_ord").alias("cr"), F.collect_list("c").alias("cs"))
+    ends = rows.groupBy(*GROUP).agg(F.coalesce(F.avg("ux"), F.lit(1.0)).alias("tx"), F.coalesce(F.avg("uy"), F.lit(0.0)).alias("ty"), F.count("*").alias("n_lanes"), F.min_by("line", "lane_ord").alias("left"), F.max_by("line", "lane_ord").alias("right"), F.min("lane_ord").alias("left_ord"), F.max("lane_ord").alias("right_ord"), F.min_by("c", "lane_ord").alias("cl"), F.max_by("c", "lane_ord").alias("cr"), F.collect_list("c").alias("cs"))
     ends = ends.withColumn("s", F.sqrt(F.col("tx") ** 2 + F.col("ty") ** 2) + 1e-8)
     ends = ends.withColumn("tx", F.col("tx") / F.col("s")).withColumn("ty", F.col("ty") / F.col("s"))
     return _sided(ends, default_spacing)
 
 
-def _sided(ends: DataFrame, default_spacing: float) -> DataFrame:
+def _sided(ends: DataFrame, default_spacing: float | None) -> DataFrame:
     def across(c: Column) -> Column:
         return -c["x"] * F.col("ty") + c["y"] * F.col("tx")
 
@@ -51,15 +51,15 @@ def _sided(ends: DataFrame, default_spacing: float) -> DataFrame:
     rows = rows.withColumn("gaps", F.array_sort(F.zip_with(F.slice("lat", 1, m), F.slice("lat", 2, m), lambda a, b: b - a)))
     middle = (F.element_at("gaps", F.floor((F.size("gaps") + 1) / 2).cast("int")) + F.element_at("gaps", F.floor((F.size("gaps") + 2) / 2).cast("int"))) / 2
     spacing = F.when(F.size("gaps") > 0, middle).otherwise(default_spacing)
-    return rows.select(*GROUP, "n_lanes", "tx", "ty", (-F.col("flip") * F.col("ty")).alias("px"), (F.col("flip") * F.col("tx")).alias("py"), spacing.alias("spacing"), "left", "right")
+    return rows.select(*GROUP, "n_lanes", "tx", "ty", (-F.col("flip") * F.col("ty")).alias("px"), (F.col("flip") * F.col("tx")).alias("py"), spacing.alias("spacing"), "left", "right", "left_ord", "right_ord")
 
 
-def new_lane(geometry_rows: DataFrame, spec: str, k: int = 32, start: float = 3.5) -> DataFrame:
+def new_lane(geometry_rows: DataFrame, spec: str, k: int = 32, start: float = 3.5, fewest: int = 2) -> DataFrame:
     """A lane beside the outermost one, or one that merges into the rightmost.
 
-    Groups of fewer than two lanes give none.
+    Groups of fewer than ``fewest`` lanes give none; without a spacing, all points are the origin.
     """
-    rows = geometry_rows.where("n_lanes >= 2")
+    rows = geometry_rows.where(F.col("n_lanes") >= fewest)
     unit = F.lit(0.0)
 
     def shifted(line: Column, factor) -> Column:
@@ -118,11 +118,12 @@ def relational_pairs(lanes: DataFrame, relationships: DataFrame, gate: bool = Tr
     return rows.select(*GROUP, "kind", "target", "neighbour", "merge_point", "offset", g.shared_frame(F.col("t_line"), F.col("frame.centroid"), F.col("frame.angle"), F.col("frame.scale")).alias("target_line"), F.col("frame.canon").alias("neighbour_line"), F.col("frame.centroid").alias("centroid"), F.col("frame.angle").alias("angle"), F.col("frame.scale").alias("scale"))
 
 
-def spatial_context(lanes: DataFrame, right: bool | None = None, left: bool | None = None, successor: bool | None = None, replace: int | None = None) -> DataFrame:
+def spatial_context(lanes: DataFrame, right: bool | None = None, left: bool | None = None, successor: bool | None = None, replace: int | None = None, default_spacing: float | None = 0.01) -> DataFrame:
     """Each group's anchor, neighbour, relationship and offset for a specification.
 
     ``lanes``: camera, group_id, cls_id, lane_ord, is_left, is_right, has_successor, line. The tangent
-    is folded to the upper half plane and the perpendicular turned so that right lanes lie right.
+    is folded to the upper half plane and the perpendicular turned so that right lanes lie right. A group
+    of one lane has the default spacing; without one it has no outer anchor.
     """
     first, last = F.element_at("line", 1), F.element_at("line", -1)
     dx, dy = last["x"] - first["x"], last["y"] - first["y"]
@@ -142,7 +143,7 @@ def spatial_context(lanes: DataFrame, right: bool | None = None, left: bool | No
     m = F.greatest(F.size("sorted") - 1, F.lit(0))
     wide = wide.withColumn("gaps", F.array_sort(F.zip_with(F.slice("sorted", 1, m), F.slice("sorted", 2, m), lambda a, b: b - a)))
     middle = (F.element_at("gaps", F.floor((F.size("gaps") + 1) / 2).cast("int")) + F.element_at("gaps", F.floor((F.size("gaps") + 2) / 2).cast("int"))) / 2
-    wide = wide.withColumn("spacing", F.when(F.size("gaps") > 0, middle).otherwise(0.01))
+    wide = wide.withColumn("spacing", F.when(F.size("gaps") > 0, middle).otherwise(default_spacing))
 
     def pick(items: Column, key) -> Column:
         """The item of least key; the earlier lane of equal ones."""
