@@ -10,7 +10,7 @@ from ..operators import assign, directed, match, metrics, pseudo, ranking, spec,
 from ..operators import generate as gen
 from ..operators import lanes as lane_op
 from .fixtures import INDEX_SQL, WAYPOINTS_SQL, documents, index, lanes, points, r6, table
-from .generate_queries import CONTEXT, FRAME, SP, _context_lanes, flat, resample_sql, scaled, smooth_sql
+from .generate_queries import CONTEXT, FRAME, SP, _context_lanes, flat, resample_sql, right_context, scaled, smooth_sql
 from .lane_queries import FIXTURE, STATS, TRAJ, longs
 from .match_queries import KNN
 
@@ -361,7 +361,7 @@ def directed_rightmost(spark, sf_dir):
 @query(RIGHTMOST + f""" raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*_back())} from cn join an using (grp) join fr on fr.id = cn.grp * 5 + an.anchor),
 {ALIGNED.format(smooth=smooth_sql("raw", "sm"))}""")
 def directed_relational(spark, sf_dir):
-    context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)  # the neighbour is the anchor itself
+    context = right_context(spark, sf_dir)  # the neighbour is the anchor itself
     return directed.relational(_candidates(spark, sf_dir), context, "rightmost").select("group_id", "candidate", *r6("score"), "best")
 
 
