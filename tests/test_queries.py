@@ -45,7 +45,7 @@ def test_query(spark, db, name):
         assert mine
 
 
-SMALL_GROUPS = ["directed_relational", "generate_leftmost", "generate_merge", "generate_rightmost", "group_geometry", "lateral_offset", "spatial_context", "spatial_context_merge", "spatial_context_replace"]
+SMALL_GROUPS = ["directed_relational", "directed_rightmost", "directed_warm_start", "generate_leftmost", "generate_merge", "generate_rightmost", "group_geometry", "lateral_offset", "spatial_context", "spatial_context_merge", "spatial_context_replace"]
 
 
 @pytest.mark.parametrize("name", SMALL_GROUPS)

@@ -10,7 +10,7 @@ from ..operators import assign, directed, match, metrics, pseudo, ranking, spec,
 from ..operators import generate as gen
 from ..operators import lanes as lane_op
 from .fixtures import INDEX_SQL, WAYPOINTS_SQL, documents, index, lanes, points, r6, table
-from .generate_queries import CONTEXT, FRAME, SP, _context_lanes, flat, resample_sql, right_context, scaled, smooth_sql
+from .generate_queries import CONTEXT, FRAME, SP, flat, resample_sql, right_context, scaled, smooth_sql
 from .lane_queries import FIXTURE, STATS, TRAJ, longs
 from .match_queries import KNN
 
@@ -354,7 +354,7 @@ sc as (select id, 0.4::double * smooth + 0.6::double * greatest(0, 1 - least(lea
 @query(RIGHTMOST + f""" raw as (select cn.grp * 5 + cn.lane as id, k, {_clipped(*(f"{b} + {q} * spacing * 1.5::double" for b, q in zip(_back(), ("qx", "qy"), strict=True)))} from cn join an using (grp) join fr on fr.id = cn.grp * 5 + an.anchor),
 {ALIGNED.format(smooth=smooth_sql("raw", "sm"))}""")
 def directed_rightmost(spark, sf_dir):
-    context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)
+    context = right_context(spark, sf_dir)
     return directed.from_specification(_candidates(spark, sf_dir), context, "rightmost").select("group_id", "candidate", *r6("score"), "best")
 
 
@@ -368,7 +368,7 @@ def directed_relational(spark, sf_dir):
 @query(RIGHTMOST + """ c as (select an.grp, k, x, y, spacing, fr.s from an join cn on cn.grp = an.grp and cn.lane = an.anchor join fr on fr.id = an.grp * 5 + an.anchor)
 select grp as group_id, k, round(x, 6) as x, round(y + spacing / s, 6) as y from c""")
 def directed_warm_start(spark, sf_dir):
-    context = gen.spatial_context(_context_lanes(spark, sf_dir), right=True)
+    context = right_context(spark, sf_dir)
     return flat(directed.warm_start(context).withColumnRenamed("start", "line"), "group_id")
 
 
