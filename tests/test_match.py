@@ -45,3 +45,14 @@ def test_groups_to_match_grow_with_the_table(spark, tmp_path):
         got = match_queries.heading_match_all(spark, f"{tmp_path}/{n}").collect()
         assert sorted(r["query"] for r in got) == [*range(n)] and all(r["group_id"] // 10 == r["query"] // 50 for r in got)
         assert len({r["group_id"] for r in got}) > n / 5 * 0.7
+
+
+def test_positive_pairs_across_blocks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).tolist(), 0) for k in range(230)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lanes = index(spark, str(tmp_path))
+    got = [(r["i"], r["j"]) for r in match.positive_pairs(lanes, block=7).collect()]
+    t = lanes.orderBy("lane").toPandas()
+    i, j = np.nonzero(np.triu(match._positives(t, match.DEFAULT)))
+    assert sorted(got) == list(zip(t.lane[i], t.lane[j], strict=True)) and len(got) > 3000

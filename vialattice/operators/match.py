@@ -20,19 +20,36 @@ from . import neighbours
 MATCH = "query long, ref long, sim double"
 
 
-def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT) -> DataFrame:
+def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT, block: int = 1024) -> DataFrame:
     """Pairs of lanes of different cameras with alike roles.
 
-    Edge flags and a bin of the rank are the join's keys; a lane is sent to its bin and the two
-    beside it, so that only lanes of near ranks meet.
+    Roles are compared once for each two kinds of lanes, which have the same edge flags, rank and role;
+    a kind is sent to its rank's bin and the two beside it, so that only near ranks meet. Lanes of a kind
+    are dealt to blocks of about ``block``, and two blocks of alike kinds are paired in one row, so
+    that no task has more than its share of the pairs, whose number grows with the square of the lanes'.
     """
     gap = config.rank_gap
+    same = ["is_left", "is_right", "rank", "role"]
+    kinds = index.groupBy(*same).agg(F.min("lane").alias("kind"), F.count("*").alias("n"))
     bin_ = F.floor(F.col("rank") / gap)
-    a = index.select("is_left", "is_right", bin_.alias("bin"), F.col("lane").alias("i"), F.col("camera").alias("cam_i"), F.col("rank").alias("rank_i"), F.col("role").alias("role_i"))
-    b = index.select("is_left", "is_right", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"), F.col("lane").alias("j"), F.col("camera").alias("cam_j"), F.col("rank").alias("rank_j"), F.col("role").alias("role_j"))
+    a = kinds.select("is_left", "is_right", bin_.alias("bin"), F.col("kind").alias("kind_i"), F.col("rank").alias("rank_i"), F.col("role").alias("role_i"))
+    b = kinds.select("is_left", "is_right", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"), F.col("kind").alias("kind_j"), F.col("rank").alias("rank_j"), F.col("role").alias("role_j"))
     near = F.round(F.abs(F.col("rank_i") - F.col("rank_j")), 9) <= gap
     alike = F.round(v.cosine(F.col("role_i"), F.col("role_j")), 9) >= config.role_cosine
-    return a.join(b, ["is_left", "is_right", "bin"]).where((F.col("i") < F.col("j")) & (F.col("cam_i") != F.col("cam_j")) & near & alike).select("i", "j")
+    pairs = a.join(b, ["is_left", "is_right", "bin"]).where((F.col("kind_i") <= F.col("kind_j")) & near & alike).select("kind_i", "kind_j")
+    dealt = F.pmod(F.xxhash64("lane"), F.ceil(F.col("n") / block))
+    blocks = index.join(kinds, same).groupBy("kind", dealt.alias("b")).agg(F.collect_list(F.struct("lane", "camera")).alias("lanes"))
+    i = blocks.select(F.col("kind").alias("kind_i"), F.col("b").alias("b_i"), F.col("lanes").alias("lanes_i"))
+    j = blocks.select(F.col("kind").alias("kind_j"), F.col("b").alias("b_j"), F.col("lanes").alias("lanes_j"))
+    met = pairs.join(i, "kind_i").join(j, "kind_j").where((F.col("kind_i") < F.col("kind_j")) | (F.col("b_i") <= F.col("b_j")))
+    spark = index.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    met = met.repartition(tasks, "kind_i", "b_i", "kind_j", "b_j")
+    once = (F.col("kind_i") == F.col("kind_j")) & (F.col("b_i") == F.col("b_j"))
+    met = met.select(once.alias("once"), "lanes_j", F.explode("lanes_i").alias("x")).select("once", "x", F.explode("lanes_j").alias("y"))
+    i, j = F.col("x.lane"), F.col("y.lane")
+    met = met.where((F.col("x.camera") != F.col("y.camera")) & ((i < j) | (~F.col("once") & (i != j))))
+    return met.select(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
 
 
 def retrieve(index: DataFrame, asked: DataFrame, k: int = 3, cross_camera: bool = True, excluded: DataFrame | None = None) -> DataFrame:
