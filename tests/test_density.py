@@ -118,3 +118,22 @@ def test_too_few_lanes_are_noise(spark):
     df = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(5)] + [(9, None)], "lane long, e array<double>")
     assert sorted(map(tuple, density.clusters(df).collect())) == [(k, -1) for k in range(5)]
     assert density.clusters(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("other_camera", [True, False])
+def test_many_visits_meet_in_blocks(spark, other_camera):
+    """Rows spread evenly visit most cells: blocks meet, and no row goes to more tasks than the grid is wide."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 24))
+    x[::9] = x[0]  # equal ones
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(k, f"c{k // 20}", x[k].tolist()) for k in range(400)], "lane long, camera string, e array<double>")
+    p = neighbours.Params(cell=4, block=50, visits=8, grid=3)
+    sims = np.round(x @ x.T, 9)
+    own = np.arange(400) // 20 if other_camera else np.arange(400)
+    sims[own[:, None] == own] = -np.inf
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :3]
+    got = {(r["query"], r["place"]): r["ref"] for r in match.nearest(df, df, 3, other_camera, p).collect()}
+    assert got == {(i, place + 1): want[i, place] for i in range(400) for place in range(3)}
+    found, _ = neighbours.k_nearest(df, df, 3, other_camera, p)
+    assert found.count() <= 400 * 3 * 3

@@ -7,6 +7,8 @@ of queries with a block of a cell and keeps each query's best few, which a secon
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,13 +63,14 @@ def retrieve(index: DataFrame, asked: DataFrame, k: int = 3, cross_camera: bool
     return nearest(index.join(asked.select("lane").distinct(), "lane", "left_semi"), refs, k, cross_camera)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, other_camera: bool = True, params: neighbours.Params = neighbours.Params()) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, other_camera: bool = True, params: neighbours.Params = neighbours.Params(), block: int | None = None) -> DataFrame:
     """The k most similar references of each query: query, ref, sim, place from 1.
 
     Both sides: lane, camera, e of unit length. References of the query's own camera, or the query
     itself, are left out. Similarities equal to nine digits go by the lower lane. Exact: cells that
-    can't hold one of the k best are passed over.
+    can't hold one of the k best are passed over. ``block``: rows of one side in a task, instead of ``params``'.
     """
+    params = params if block is None else replace(params, block=block)
     found, _ = neighbours.k_nearest(queries, refs, k, other_camera, params)
     if found is None:
         return queries.sparkSession.createDataFrame([], MATCH + ", place int")

@@ -8,7 +8,9 @@ beyond that bound are never visited. Cells of many rows, and of many visitors, a
 so that a task compares two bounded blocks.
 
 How much is saved depends on the data: rows that lie in groups are compared with few cells, rows
-spread evenly over many dimensions with most of them.
+spread evenly over many dimensions with most of them. Where a bounded number of queries shows that they
+visit many cells, both sides are dealt to a grid of blocks instead, and all blocks meet: a row then
+goes to as many tasks as the grid is wide, however many rows there are.
 """
 
 from __future__ import annotations
@@ -26,11 +28,16 @@ from ..tables import written
 
 @dataclass(frozen=True)
 class Params:
-    """cell: rows of a cell, about. most: pivots, at most. block: rows of one side in a task."""
+    """cell: rows of a cell, about. most: pivots, at most. block: rows of one side in a task. visits: cells
+    that a query may visit on average before all blocks meet; these are ``grid`` to a side, more only where
+    they would have over ``wide`` rows."""
 
     cell: int = 256
     most: int = 4096
     block: int = 4096
+    visits: int = 64
+    grid: int = 16
+    wide: int = 131_072
 
 
 @dataclass(frozen=True)
@@ -138,23 +145,89 @@ def visit(queries: DataFrame, refs: DataFrame, cells: Cells, choose: Callable[[p
     return left.unionByName(right).groupBy("cell", "bq", "br").applyInPandas(run, schema), pairs
 
 
+def many_visits(queries: DataFrame, cells: Cells, choose: Callable[[pd.DataFrame, np.ndarray], np.ndarray], p: Params = Params()) -> bool:
+    """Whether queries visit many cells. Some of them, drawn by their number, only tell which way is shorter."""
+    if len(cells.count) <= p.visits:
+        return False
+    some = queries.orderBy(F.xxhash64("lane"), "lane").limit(512).toPandas()
+    return len(some) > 0 and float((choose(some, cells.distance(stacked(some.e))) & (cells.count > 0)).sum(axis=1).mean()) > p.visits
+
+
+def meet(queries: DataFrame, refs: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, p: Params = Params()) -> DataFrame:
+    """What ``compare`` gives for each block of queries and each block of all ``refs`` (lane, camera, e)."""
+
+    def blocks(n: int) -> int:
+        return max(1, min(p.grid, -(-n // p.block)), -(-n // p.wide))
+
+    nq, nr = blocks(queries.count()), blocks(refs.count())
+    h = F.xxhash64("lane")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.lit(0).alias("side"), F.pmod(h, F.lit(nq)).cast("int").alias("bq"), every(nr).alias("br"), "lane", "camera", "e")
+    right = refs.select(F.lit(1).alias("side"), every(nq).alias("bq"), F.pmod(h, F.lit(nr)).cast("int").alias("br"), "lane", "camera", "e")
+    nothing = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        q, r = rows[rows.side == 0], rows[rows.side == 1].sort_values("lane")
+        return compare(q, r) if len(q) and len(r) else nothing
+
+    return left.unionByName(right).groupBy("bq", "br").applyInPandas(run, schema)
+
+
+def largest(x: np.ndarray, y: np.ndarray, own_x: np.ndarray, own_y: np.ndarray, k: int, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j and x[i] @ y[j] of the pairs that may be among the k largest of an i, by slices of x; pairs of the same owner never are.
+
+    Pairs less than the k-th by no more than ``slack`` come, too. Rows that hold non-finite numbers have no pairs.
+    """
+    rows, at = np.flatnonzero(np.isfinite(x).all(axis=1)), np.flatnonzero(np.isfinite(y).all(axis=1))
+    codes = pd.factorize(np.concatenate([own_x[rows], own_y[at]]))[0]
+    of_x, of_y = codes[: len(rows)], codes[len(rows) :]
+    order = np.argsort(of_y, kind="stable")
+    at, of_y = at[order], of_y[order]
+    begin, end = np.searchsorted(of_y, of_x, "left"), np.searchsorted(of_y, of_x, "right")
+    y = y[at].T
+    n = y.shape[1]
+    if not n:
+        return
+    groups = min(n, max(256, 16 * k))
+    deep = n // groups
+    step = max(1, 4_000_000 // n)
+    for first in range(0, len(rows), step):
+        s = x[rows[first : first + step]] @ y
+        for m in range(len(s)):
+            s[m, begin[first + m] : end[first + m]] = -np.inf
+        # the k-th of the groups' largest is no more than the k-th of all
+        tops = s[:, : groups * deep].reshape(len(s), deep, groups).max(axis=1)
+        kth = np.partition(tops, groups - k, axis=1)[:, groups - k] if groups >= k else np.full(len(s), -np.inf)
+        i, j = np.nonzero(s >= np.maximum(kth - slack, -1e300)[:, None])
+        yield rows[first + i], at[j], s[i, j]
+
+
+def first_of(i: np.ndarray, k: int, *by: np.ndarray) -> np.ndarray:
+    """Places of the first k of each i in the order of ``by``."""
+    order = np.lexsort((*reversed(by), i))
+    ordered = i[order]
+    return order[np.arange(len(i)) - np.searchsorted(ordered, ordered, "left") < k]
+
+
 def k_nearest(queries: DataFrame, refs: DataFrame, k: int, other_camera: bool = True, p: Params = Params()) -> tuple[DataFrame | None, int]:
     """query, ref, sim of a few candidates that hold each query's k most similar rows; pairs compared."""
     rows, cells = build(refs, p)
     if cells is None:
         return None, 0
+    schema, name = "query long, ref long, sim double", "camera" if other_camera else "lane"
 
     def choose(t: pd.DataFrame, d: np.ndarray) -> np.ndarray:
         u = bounds(cells, d, t.lane.to_numpy(), t.camera.to_numpy(), k, other_camera)
         return cells.least(d) ** 2 <= (u * u)[:, None] + cells.slack
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        sims = stacked(q.e) @ stacked(r.e).T
-        name = "camera" if other_camera else "lane"
-        rounded = np.where(q[name].to_numpy()[:, None] == r[name].to_numpy(), -np.inf, np.round(sims, 9))
-        order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]  # stable: the lower lane first
-        i, j = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-        good = np.isfinite(rounded[i, j])
-        return pd.DataFrame({"query": q.lane.to_numpy()[i[good]], "ref": r.lane.to_numpy()[j[good]], "sim": sims[i[good], j[good]]})
-
-    return visit(queries, rows, cells, choose, compare, "query long, ref long, sim double", p)
+        lanes, refs_ = q.lane.to_numpy(), r.lane.to_numpy()
+        out = []
+        for i, j, sim in largest(stacked(q.e), stacked(r.e), q[name].to_numpy(), r[name].to_numpy(), k, 2e-9):
+            some = first_of(i, k, -np.round(sim, 9), refs_[j])
+            out.append(pd.DataFrame({"query": lanes[i[some]], "ref": refs_[j[some]], "sim": sim[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "ref": [], "sim": []})
+
+    if many_visits(queries, cells, choose, p):
+        return meet(queries, refs, compare, schema, p), queries.count() * int(cells.count.sum())
+    return visit(queries, rows, cells, choose, compare, schema, p)
