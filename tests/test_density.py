@@ -137,3 +137,18 @@ def test_many_visits_meet_in_blocks(spark, other_camera):
     assert got == {(i, place + 1): want[i, place] for i in range(400) for place in range(3)}
     found, _ = neighbours.k_nearest(df, df, 3, other_camera, p)
     assert found.count() <= 400 * 3 * 3
+
+
+@pytest.mark.parametrize("visits", [2, 1000])
+def test_cores_by_blocks_and_by_cells(spark, visits):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 20))
+    x[::11] = x[0]
+    df = spark.createDataFrame([(k, "c", x[k].tolist()) for k in range(300)], "lane long, camera string, e array<double>")
+    p = density.Params(cells=neighbours.Params(cell=4, block=70, visits=visits, grid=3))
+    near, core, _, _ = density.reachability(df, p)
+    d = density.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :8]
+    assert {r["lane"]: r["core"] for r in core.collect()} == {k: d[k, order[k, 1]] for k in range(300)}
+    assert sorted((r["query"], r["ref"]) for r in near.select("query", "ref").collect()) == sorted((i, int(j)) for i in range(300) for j in order[i])
