@@ -152,3 +152,47 @@ def test_cores_by_blocks_and_by_cells(spark, visits):
     order = np.argsort(d, axis=1, kind="stable")[:, :8]
     assert {r["lane"]: r["core"] for r in core.collect()} == {k: d[k, order[k, 1]] for k in range(300)}
     assert sorted((r["query"], r["ref"]) for r in near.select("query", "ref").collect()) == sorted((i, int(j)) for i in range(300) for j in order[i])
+
+
+def kruskal(x, samples):
+    """The edges of the tree by all pairs, in order."""
+    n = len(x)
+    d = density.distances(x, x)
+    core = np.sort(d + np.diag(np.full(n, -1.0)), axis=1)[:, samples]
+    w = np.maximum(np.maximum(d, core[:, None]), core)
+    of, out = np.arange(n), []
+    i, j = np.triu_indices(n, 1)
+    for k in np.lexsort((j, i, w[i, j])):
+        a, b = of[i[k]], of[j[k]]
+        if a != b:
+            out.append((w[i[k], j[k]], int(i[k]), int(j[k])))
+            of[of == b] = a
+    return out
+
+
+@pytest.mark.parametrize("visits", [2, 1000])
+def test_tree_of_families_larger_than_what_is_known(spark, visits):
+    """Lanes whose known neighbours are all of their own component are compared, by blocks or by cells."""
+    e = np.vstack([grouped(160, 8, 0.02, 4), grouped(40, 40, 0.1, 5)])
+    e[20:30] = e[12]  # copies
+    df = spark.createDataFrame([(k, "", e[k].tolist()) for k in range(200)], INDEX)
+    p = density.Params(known=3, cells=neighbours.Params(cell=10, block=60, visits=visits, grid=3))
+    got = sorted((r["w"], r["lo"], r["hi"]) for r in density.spanning_tree(df, p).collect())
+    assert got == kruskal(e, p.samples)
+
+
+def test_the_largest_component_is_not_compared(spark, monkeypatch):
+    """Few lanes are compared, however many the largest component has."""
+    e = np.vstack([grouped(230, 1, 0.3, 6), grouped(20, 2, 0.02, 7)])
+    df = spark.createDataFrame([(k, "", e[k].tolist()) for k in range(250)], INDEX)
+    p = density.Params(known=3, cells=neighbours.Params(cell=10, block=60))
+    asked, search = [], density._searched
+
+    def counted(some, *rest):
+        asked.append(some.count())
+        return search(some, *rest)
+
+    monkeypatch.setattr(density, "_searched", counted)
+    got = sorted((r["w"], r["lo"], r["hi"]) for r in density.spanning_tree(df, p).collect())
+    assert got == kruskal(e, p.samples)
+    assert sum(asked) <= 125, asked
