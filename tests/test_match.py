@@ -1,6 +1,8 @@
 """Losses over whole tables."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from vialattice.operators import match
 from vialattice.plans import match_queries
@@ -56,3 +58,28 @@ def test_positive_pairs_across_blocks(spark, tmp_path):
     t = lanes.orderBy("lane").toPandas()
     i, j = np.nonzero(np.triu(match._positives(t, match.DEFAULT)))
     assert sorted(got) == list(zip(t.lane[i], t.lane[j], strict=True)) and len(got) > 3000
+
+
+def test_pair_stats_of_any_ranks(spark):
+    """Quartiles of pairs by kind over several blocks, with many different ranks and vectors that are equal or opposite."""
+    rng = np.random.default_rng(11)
+    e = rng.normal(size=(150, 6))
+    e[10:20], e[20] = e[9], -e[9]
+    e /= np.sqrt((e * e).sum(1))[:, None]
+    camera, grp, rank = np.arange(150) // 12, np.arange(150) // 4, rng.random(150)
+    rank[::7] = 0.5
+    df = spark.createDataFrame([(k, f"c{camera[k]}", int(grp[k]), float(rank[k]), e[k].tolist()) for k in range(150)], "lane long, camera string, grp long, rank double, e array<double>")
+    got = {r["kind"]: r for r in match.pair_type_stats(df, block=40).collect()}
+    i, j = np.triu_indices(150, 1)
+    same = camera[i] == camera[j]
+    kind = np.where(same, np.where(grp[i] == grp[j], 0, 1), np.where(np.round(np.abs(rank[i] - rank[j]), 9) < 0.15, 2, 3))
+    sim = (e[i] * e[j]).sum(1)
+    for k, name in enumerate(match.KINDS):
+        want = sim[kind == k]
+        assert got[name]["n"] == len(want)
+        assert [got[name][c] for c in ("q1", "median", "q3", "mean")] == pytest.approx([*np.quantile(want, [0.25, 0.5, 0.75]), want.mean()], abs=1e-9)
+
+
+def test_pair_stats_shuffle_grows_with_the_lanes(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("lane"), F.lit("c").alias("camera"), F.lit(0).alias("grp"), F.lit(0.0).alias("rank"), F.array(F.lit(1.0)).alias("e"))
+    assert match._grid(rows, None).count() <= 16 * 40_000

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, LaneConfig
 from ..functions import vectors as v
+from ..tables import drop, written
 from . import neighbours
 
 MATCH = "query long, ref long, sim double"
@@ -204,30 +205,109 @@ def pair_types(index: DataFrame, block: int | None = None) -> DataFrame:
     return _pair_blocks(index, block).groupBy("bi", "bj").applyInPandas(pairs, "i long, j long, kind string, sim double")
 
 
+def _grid(index: DataFrame, block: int | None) -> DataFrame:
+    """Lanes dealt to pairs of blocks. There are at most 16 blocks, and more only where one would have over
+    131,072 lanes, so that the shuffle is 16 copies of the table at most, however many lanes there are."""
+    n = index.count()
+    blocks = max(1, -(-n // block) if block else min(16, -(-n // 128)), -(-n // 131_072))
+    b = F.pmod(F.xxhash64("lane"), F.lit(blocks)).cast("int")
+    rows = index.select(b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"), "lane", "camera", "grp", "rank", "e")
+    return rows.select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "lane", "camera", "grp", "rank", "e")
+
+
+def _spans(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where lanes of ``b``, which are in the order of their ranks, are near in rank to each lane of ``a``."""
+    rank, (mine, at) = b["rank"].to_numpy(), np.unique(a["rank"].to_numpy(), return_inverse=True)
+    near = lambda r: np.flatnonzero(np.round(np.abs(r - rank), 9) < 0.15)
+    if len(mine) <= 64:
+        found = [near(r) for r in mine]
+        spans = np.array([(k[0], k[-1] + 1) if len(k) else (0, 0) for k in found]).reshape(-1, 2)[at]
+        return spans[:, 0], spans[:, 1]
+    first, last = np.searchsorted(rank, mine - 0.2), np.searchsorted(rank, mine + 0.2, "right")
+    spans = np.zeros((len(mine), 2), np.int64)
+    for k, r in enumerate(mine):
+        some = np.flatnonzero(np.round(np.abs(r - rank[first[k] : last[k]]), 9) < 0.15)
+        if len(some):
+            spans[k] = first[k] + some[0], first[k] + some[-1] + 1
+    return spans[at, 0], spans[at, 1]
+
+
+def _by_kind(t: pd.DataFrame, top: float, rows: int = 256, columns: int = 1024):
+    """kind, and places of similarities of pairs, each pair once: from 1 for -top to ``FINE`` + 1 for top.
+
+    Small tiles stay in a processor's cache. Lanes lie in the order of their ranks, so that those near to a lane
+    in rank are one range. Pairs on one camera, which are few to a lane, are taken out one by one; 0 stands in
+    their place, and in that of pairs which come with the other lane.
+    """
+    t = t.sort_values(["rank", "lane"], ignore_index=True)
+    own, same = t.b.to_numpy(), int(t.bi.iloc[0]) == int(t.bj.iloc[0])
+    a, b = (t, t) if same else (t[own == t.bi.iloc[0]], t[own == t.bj.iloc[0]])
+    if not len(a) or not len(b):
+        return
+    camera, grp = (pd.factorize(pd.concat([a[c], b[c]]))[0] for c in ("camera", "grp"))
+    cam_a, cam_b, grp_a, grp_b = camera[: len(a)], camera[len(a) :], grp[: len(a)], grp[len(a) :]
+    order = np.argsort(cam_b, kind="stable")
+    begin, end = np.searchsorted(cam_b[order], cam_a, "left"), np.searchsorted(cam_b[order], cam_a, "right")
+    low, high = _spans(a, b)
+    scale = FINE / (2 * top)
+    x, y = np.stack(a.e.to_numpy()) * scale, np.stack(b.e.to_numpy()).astype(float).T
+    for first in range(0, len(a), rows):
+        r = np.arange(first, min(first + rows, len(a)))
+        n = end[r] - begin[r]
+        i = np.repeat(r, n)
+        j = order[np.repeat(begin[r] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        by = np.argsort(j, kind="stable")
+        i, j = i[by], j[by]
+        lo, hi = low[r], high[r]
+        cuts = np.flatnonzero(np.r_[True, (np.diff(lo) != 0) | (np.diff(hi) != 0), True])
+        for at in range(first // columns * columns if same else 0, len(b), columns):
+            s = x[r] @ y[:, at : at + columns]
+            s += 1 + top * scale
+            if same:
+                s[np.arange(at, at + s.shape[1]) <= r[:, None]] = 0
+            some = slice(*np.searchsorted(j, (at, at + s.shape[1])))
+            if some.start < some.stop:
+                here, mate = s[i[some] - first, j[some] - at], grp_a[i[some]] == grp_b[j[some]]
+                s[i[some] - first, j[some] - at] = 0
+                yield 0, here[mate]
+                yield 1, here[~mate]
+            for c, to in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right = np.clip((lo[c] - at, hi[c] - at), 0, s.shape[1])
+                for kind, part in ((2, s[c:to, left:right]), (3, s[c:to, :left]), (3, s[c:to, right:])):
+                    if part.size:
+                        yield kind, part.ravel()
+
+
 def pair_type_stats(index: DataFrame, block: int | None = None) -> DataFrame:
     """Box statistics of the similarities of each kind of pair (A18), exact, without a row for each pair.
 
-    Tasks count pairs by kind and range of similarity. The ranges that hold the quartiles are known
-    from the counts, and only similarities in these come out of a second pass.
+    Tasks multiply two blocks and count pairs by kind and range of similarity. The ranges that hold the quartiles
+    are known from the counts; a second pass counts within these by as many ranges again, and only similarities
+    in the narrow ones that hold the quartiles come out of a third.
     """
-    rows = _pair_blocks(index, block)
-
-    def fine(sim: np.ndarray) -> np.ndarray:
-        return np.clip(((sim + 1.0) * (FINE / 2)).astype(np.int64), 0, FINE - 1)
+    spark = index.sparkSession
+    blocks, path = written(_grid(index, block), "blocks")
+    square = blocks.agg(F.max(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+    top = 1.001 * max(square or 0.0, 1e-6)
+    scale = FINE / (2 * top)
 
     def count(t: pd.DataFrame) -> pd.DataFrame:
-        *_, kind, sim = _pairs_of(t)
-        at = kind * FINE + fine(sim)
-        n, total = np.bincount(at, minlength=4 * FINE), np.bincount(at, sim, 4 * FINE)
-        some = np.flatnonzero(n)
-        return pd.DataFrame({"kind": some // FINE, "fine": some % FINE, "n": n[some], "total": total[some]})
-
-    found = rows.groupBy("bi", "bj").applyInPandas(count, "kind int, fine int, n long, total double")
-    counts = found.groupBy("kind", "fine").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()  # at most 4 * FINE rows
-    asked: dict[int, set[int]] = {}
-    ranks: list[tuple[int, str, int, int, float]] = []  # kind, quartile, range, place in the range, weight
+        n, total = np.zeros((4, FINE + 1), np.int64), np.zeros(4)
+        for kind, place in _by_kind(t, top):
+            n[kind] += np.bincount(place.astype(np.int64), minlength=FINE + 1)
+            total[kind] += place.sum()
+        n[:, 0] = 0
+        kind, at = np.nonzero(n)
+        # a kind's total goes with its first range
+        first = np.r_[True, kind[1:] != kind[:-1]] if len(kind) else np.zeros(0, bool)
+        total = (total - n.sum(axis=1) * (1 + top * scale)) / scale
+        return pd.DataFrame({"kind": kind, "at": at, "n": n[kind, at], "total": np.where(first, total[kind], 0.0)})
+
+    found = blocks.groupBy("bi", "bj").applyInPandas(count, "kind int, at long, n long, total double")
+    counts = found.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()  # at most 4 * FINE rows
     sizes: dict[int, tuple[int, float]] = {}
-    for kind, part in counts.sort_values(["kind", "fine"]).groupby("kind"):
+    ranks: list[tuple[int, str, int, int, float]] = []  # kind, quartile, range, place in the range, weight
+    for kind, part in counts.sort_values(["kind", "at"]).groupby("kind"):
         end = part.n.cumsum().to_numpy()
         sizes[int(kind)] = int(end[-1]), float(part.total.sum())
         for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
@@ -235,24 +315,56 @@ def pair_type_stats(index: DataFrame, block: int | None = None) -> DataFrame:
             for place, weight in ((int(at), 1 - at % 1), (int(at) + 1, at % 1)):
                 if weight:
                     k = int(np.searchsorted(end, place, "right"))
-                    asked.setdefault(int(kind), set()).add(int(part.fine.iloc[k]))
-                    ranks.append((int(kind), name, int(part.fine.iloc[k]), place - int(end[k] - part.n.iloc[k]), weight))
-    wanted = np.array(sorted(kind * FINE + f for kind, some in asked.items() for f in some), np.int64)
+                    ranks.append((int(kind), name, int(part["at"].iloc[k]), place - int(end[k] - part.n.iloc[k]), weight))
+    wide = np.zeros((4, FINE + 1), bool)
+    for kind, _, at, _, _ in ranks:
+        wide[kind, at] = True
+
+    def within(t: pd.DataFrame):
+        """kind, narrow range and similarity of pairs in the wide ranges asked for."""
+        for kind, place in _by_kind(t, top):
+            at = place.astype(np.int64)
+            some = np.flatnonzero(wide[kind][at])
+            at, place = at[some], place[some]
+            yield kind, at * FINE + ((place - at) * FINE).astype(np.int64), (place - (1 + top * scale)) / scale
+
+    def recount(t: pd.DataFrame) -> pd.DataFrame:
+        parts: dict[int, list[np.ndarray]] = {}
+        for kind, at, _ in within(t):
+            parts.setdefault(kind, []).append(at)
+        out = [pd.DataFrame({"kind": [], "at": [], "n": []})]
+        for kind, some in parts.items():
+            at, n = np.unique(np.concatenate(some), return_counts=True)
+            out.append(pd.DataFrame({"kind": kind, "at": at, "n": n}))
+        return pd.concat(out)
+
+    recounted = blocks.groupBy("bi", "bj").applyInPandas(recount, "kind int, at long, n long")
+    narrow = recounted.groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas().sort_values(["kind", "at"])  # at most 24 * FINE rows
+    asked: list[tuple[int, str, int, int, float]] = []
+    for kind, name, at, place, weight in ranks:
+        part = narrow[(narrow.kind == kind) & (narrow["at"] // FINE == at)]
+        end = part.n.cumsum().to_numpy()
+        k = int(np.searchsorted(end, place, "right"))
+        asked.append((kind, name, int(part["at"].iloc[k]), place - int(end[k] - part.n.iloc[k]), weight))
+    wanted = {kind: np.array(sorted({a[2] for a in asked if a[0] == kind}), np.int64) for kind in range(4)}
 
     def select(t: pd.DataFrame) -> pd.DataFrame:
-        *_, kind, sim = _pairs_of(t)
-        at = kind * FINE + fine(sim)
-        keep = np.isin(at, wanted)
-        return pd.DataFrame({"kind": at[keep] // FINE, "fine": at[keep] % FINE, "sim": sim[keep]})
-
-    spark = index.sparkSession
-    values = rows.groupBy("bi", "bj").applyInPandas(select, "kind int, fine int, sim double")
-    place = F.row_number().over(Window.partitionBy("kind", "fine").orderBy("sim")) - 1
-    asked_for = spark.createDataFrame([(k, n, f, p, w) for k, n, f, p, w in ranks], "kind int, name string, fine int, place int, weight double")
-    picked = values.withColumn("place", place).join(F.broadcast(asked_for), ["kind", "fine", "place"])  # at most 24 rows are asked for
+        out = [pd.DataFrame({"kind": [], "at": [], "sim": []})]
+        for kind, at, sim in within(t):
+            keep = np.isin(at, wanted[kind])
+            if keep.any():
+                out.append(pd.DataFrame({"kind": kind, "at": at[keep], "sim": sim[keep]}))
+        return pd.concat(out)
+
+    values = blocks.groupBy("bi", "bj").applyInPandas(select, "kind int, at long, sim double")
+    place = F.row_number().over(Window.partitionBy("kind", "at").orderBy("sim")) - 1
+    asked_for = spark.createDataFrame(asked, "kind int, name string, at long, place int, weight double")
+    picked = values.withColumn("place", place).join(F.broadcast(asked_for), ["kind", "at", "place"])  # at most 24 rows are asked for
     out = picked.groupBy("kind").agg(*(F.sum(F.when(F.col("name") == n, F.col("sim") * F.col("weight"))).alias(n) for n in ("q1", "median", "q3")))
-    known = spark.createDataFrame([(k, KINDS[k], n, total / n) for k, (n, total) in sizes.items()], "kind int, name string, n long, mean double")
-    return out.join(F.broadcast(known), "kind").select(F.col("name").alias("kind"), "n", "q1", "median", "q3", "mean")
+    names = spark.createDataFrame([(k, KINDS[k], n, total / n) for k, (n, total) in sizes.items()], "kind int, name string, n long, mean double")
+    out, _ = written(out.join(F.broadcast(names), "kind").select(F.col("name").alias("kind"), "n", "q1", "median", "q3", "mean"), "box")
+    drop(spark, path)
+    return out
 
 
 def relative_features(stats: DataFrame, keys: list[str], lane: str) -> DataFrame:
