@@ -83,3 +83,16 @@ def test_pair_stats_of_any_ranks(spark):
 def test_pair_stats_shuffle_grows_with_the_lanes(spark):
     rows = spark.range(40_000).select(F.col("id").alias("lane"), F.lit("c").alias("camera"), F.lit(0).alias("grp"), F.lit(0.0).alias("rank"), F.array(F.lit(1.0)).alias("e"))
     assert match._grid(rows, None).count() <= 16 * 40_000
+
+
+def test_nearest_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(stream):
+        for t in stream:
+            made.add(len(t))
+            yield t
+
+    rows = spark.createDataFrame([(k, f"c{k % 3}", [float(k), 1.0]) for k in range(30)], "lane long, camera string, e array<double>").mapInPandas(count, "lane long, camera string, e array<double>")
+    assert match.nearest(rows, rows).count() == 30
+    assert made.value == 30

@@ -212,6 +212,9 @@ def first_of(i: np.ndarray, k: int, *by: np.ndarray) -> np.ndarray:
 
 def k_nearest(queries: DataFrame, refs: DataFrame, k: int, other_camera: bool = True, p: Params = Params()) -> tuple[DataFrame | None, int]:
     """query, ref, sim of a few candidates that hold each query's k most similar rows; pairs compared."""
+    # both sides are read several times, and may be much work to make
+    once = written(refs.select("lane", "camera", "e"), "refs")[0]
+    queries, refs = once if queries is refs else written(queries.select("lane", "camera", "e"), "queries")[0], once
     rows, cells = build(refs, p)
     if cells is None:
         return None, 0
