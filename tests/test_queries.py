@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from vialattice.plans import registry
 
@@ -59,3 +60,12 @@ def test_groups_that_lack_lanes(spark, tmp_path, name):
     columns = [d[0] for d in run.description]
     got = registry.QUERIES[name](spark, str(tmp_path))
     assert rows(got.columns, got.collect()) == rows(columns, run.fetchall())
+
+
+def test_densified_lanes_are_spread_over_tasks(spark, tmp_path):
+    """A lane's points are much work and few bytes: their number of tasks isn't that of the bytes."""
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (k / 64.0).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = registry.QUERIES["densified_lanes"](spark, str(tmp_path))
+    assert out.count() == 60
+    assert out.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism

@@ -134,10 +134,14 @@ def densify(line: Column, spacing: float = 5.0) -> Column:
     def build(z: Column) -> Column:
         def at(i: Column) -> Column:
             d = F.element_at(z["cum"], -1) * i / (z["n"] - 1)
-            left = F.least(F.size(F.filter(z["cum"], lambda c: c <= d)), F.size(z["line"]) - 1)
-            c0, c1 = F.element_at(z["cum"], left), F.element_at(z["cum"], left + 1)
-            a, b = F.element_at(z["line"], left), F.element_at(z["line"], left + 1)
-            w = F.when(c1 > c0, (d - c0) / (c1 - c0)).otherwise(F.lit(0.0))
+            # each step by name, as the search for the segment costs most
+            return let(d, lambda d: let(F.least(F.size(F.filter(z["cum"], lambda c: c <= d)), F.size(z["line"]) - 1), lambda left: between(d, left)))
+
+        def between(d: Column, left: Column) -> Column:
+            ends = F.struct(F.element_at(z["cum"], left).alias("c0"), F.element_at(z["cum"], left + 1).alias("c1"), F.element_at(z["line"], left).alias("a"), F.element_at(z["line"], left + 1).alias("b"))
+            return let(ends, lambda s: let(F.when(s["c1"] > s["c0"], (d - s["c0"]) / (s["c1"] - s["c0"])).otherwise(F.lit(0.0)), lambda w: along(s["a"], s["b"], w)))
+
+        def along(a: Column, b: Column, w: Column) -> Column:
             return point(a["x"] + w * (b["x"] - a["x"]), a["y"] + w * (b["y"] - a["y"]))
 
         return F.transform(F.sequence(F.lit(0), z["n"] - 1), at)

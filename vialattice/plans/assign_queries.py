@@ -118,5 +118,8 @@ def colour_slots(spark, sf_dir):
 select group_id, cls_id, floor(sum(step) / 5) + 1 as n from steps group by group_id, cls_id""")
 def densified_lanes(spark, sf_dir):
     groups = annotations(spark, sf_dir).select(F.explode("lane_groups").alias("g"))
-    dense = groups.select("g.group_id", F.explode("g.lanes").alias("l")).withColumn("dense", g.densify(F.col("l.waypoints"), 5.0))
+    # few bytes, but hundreds of points to make for each lane: as many tasks as a cluster can use, not as bytes ask for
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    each = groups.select("g.group_id", F.explode("g.lanes").alias("l")).repartition(tasks, "group_id", "l.cls_id")
+    dense = each.withColumn("dense", g.densify(F.col("l.waypoints"), 5.0))
     return dense.select(F.col("group_id").cast("long"), F.col("l.cls_id").cast("long").alias("cls_id"), F.size("dense").cast("double").alias("n"))
