@@ -60,6 +60,22 @@ def test_positive_pairs_across_blocks(spark, tmp_path):
     assert sorted(got) == list(zip(t.lane[i], t.lane[j], strict=True)) and len(got) > 3000
 
 
+def test_pairs_of_two_blocks_come_in_slices(spark):
+    """No more than a slice is held at a time, however many pairs two blocks have; lanes without a camera have none."""
+    n = 900
+    rows = [(k, None if k % 300 == 7 else f"c{k // 50}", 0.0, True, False, [1.0, 0.0]) for k in range(n)]
+    lanes = spark.createDataFrame(rows, "lane long, camera string, rank double, is_left boolean, is_right boolean, role array<double>")
+    of = np.array([-1 - k if r[1] is None else k // 50 for k, r in enumerate(rows)])
+    want = np.triu((of[:, None] != of) & (of[:, None] >= 0) & (of >= 0), 1)
+    got = match.positive_pairs(lanes)
+    for block in (1024, 400):
+        pairs = match.positive_pairs(lanes, block=block).toPandas()
+        assert len(pairs) == want.sum() and want[pairs.i, pairs.j].all() and not pairs.duplicated().any()
+    assert got.schema.simpleString() == "struct<i:bigint,j:bigint>"
+    held = [r.num_rows for r in match._expanded(iter([match._met(lanes, match.DEFAULT, 1024).toArrow().combine_chunks().to_batches()[0]]))]
+    assert sum(held) == want.sum() and len(held) > 2 and max(held) <= match.SLICE
+
+
 def test_pair_stats_of_any_ranks(spark):
     """Quartiles of pairs by kind over several blocks, with many different ranks and vectors that are equal or opposite."""
     rng = np.random.default_rng(11)

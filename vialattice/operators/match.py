@@ -7,10 +7,12 @@ of queries with a block of a cell and keeps each query's best few, which a secon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,8 @@ from ..tables import drop, written
 from . import neighbours
 
 MATCH = "query long, ref long, sim double"
+#: Pairs that a task makes at a time.
+SLICE = 1 << 17
 
 
 def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT, block: int = 1024) -> DataFrame:
@@ -30,7 +34,14 @@ def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT, block: int =
     a kind is sent to its rank's bin and the two beside it, so that only near ranks meet. Lanes of a kind
     are dealt to blocks of about ``block``, and two blocks of alike kinds are paired in one row, so
     that no task has more than its share of the pairs, whose number grows with the square of the lanes'.
+    A row's pairs are made in slices, as a million rows made of one by Spark would all wait in memory.
     """
+    of = dict(index.dtypes)["lane"]
+    return _met(index, config, block).mapInArrow(_expanded, f"i {of}, j {of}")
+
+
+def _met(index: DataFrame, config: LaneConfig, block: int) -> DataFrame:
+    """once, lanes_i, lanes_j: each two blocks of alike kinds, in even tasks; once: a block with itself."""
     gap = config.rank_gap
     same = ["is_left", "is_right", "rank", "role"]
     kinds = index.groupBy(*same).agg(F.min("lane").alias("kind"), F.count("*").alias("n"))
@@ -41,7 +52,7 @@ def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT, block: int =
     alike = F.round(v.cosine(F.col("role_i"), F.col("role_j")), 9) >= config.role_cosine
     pairs = a.join(b, ["is_left", "is_right", "bin"]).where((F.col("kind_i") <= F.col("kind_j")) & near & alike).select("kind_i", "kind_j")
     dealt = F.pmod(F.xxhash64("lane"), F.ceil(F.col("n") / block))
-    blocks = index.join(kinds, same).groupBy("kind", dealt.alias("b")).agg(F.collect_list(F.struct("lane", "camera")).alias("lanes"))
+    blocks = index.where("lane is not null and camera is not null").join(kinds, same).groupBy("kind", dealt.alias("b")).agg(F.collect_list(F.struct("lane", "camera")).alias("lanes"))
     i = blocks.select(F.col("kind").alias("kind_i"), F.col("b").alias("b_i"), F.col("lanes").alias("lanes_i"))
     j = blocks.select(F.col("kind").alias("kind_j"), F.col("b").alias("b_j"), F.col("lanes").alias("lanes_j"))
     met = pairs.join(i, "kind_i").join(j, "kind_j").where((F.col("kind_i") < F.col("kind_j")) | (F.col("b_i") <= F.col("b_j")))
@@ -49,10 +60,25 @@ def positive_pairs(index: DataFrame, config: LaneConfig = DEFAULT, block: int =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     met = met.repartition(tasks, "kind_i", "b_i", "kind_j", "b_j")
     once = (F.col("kind_i") == F.col("kind_j")) & (F.col("b_i") == F.col("b_j"))
-    met = met.select(once.alias("once"), "lanes_j", F.explode("lanes_i").alias("x")).select("once", "x", F.explode("lanes_j").alias("y"))
-    i, j = F.col("x.lane"), F.col("y.lane")
-    met = met.where((F.col("x.camera") != F.col("y.camera")) & ((i < j) | (~F.col("once") & (i != j))))
-    return met.select(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+    return met.select(once.alias("once"), "lanes_i", "lanes_j")
+
+
+def _expanded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each row's two blocks (once, lanes_i, lanes_j: lists of lane, camera), but those of one camera; of a block with itself each pair once."""
+    for batch in stream:
+        for k, once in enumerate(batch.column("once").to_pylist()):
+            x, y = (batch.column(c)[k].values for c in ("lanes_i", "lanes_j"))
+            a, b = (t.field("lane").to_numpy(zero_copy_only=False) for t in (x, y))
+            of = pa.concat_arrays([x.field("camera"), y.field("camera")]).dictionary_encode().indices.to_numpy()
+            of_a, of_b = of[: len(a)], of[len(a) :]
+            step = max(1, SLICE // len(b))
+            for first in range(0, len(a), step):
+                part = a[first : first + step, None]
+                keep = of_a[first : first + step, None] != of_b
+                keep &= part < b if once else part != b
+                i, j = np.nonzero(keep)
+                i, j = a[first + i], b[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["i", "j"])
 
 
 def retrieve(index: DataFrame, asked: DataFrame, k: int = 3, cross_camera: bool = True, excluded: DataFrame | None = None) -> DataFrame:
