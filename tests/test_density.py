@@ -1,6 +1,9 @@
 """Exact neighbours over cells and density clusters against versions that compare all pairs."""
 
+from pathlib import Path
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from vialattice.operators import density, match, neighbours
@@ -196,3 +199,36 @@ def test_the_largest_component_is_not_compared(spark, monkeypatch):
     got = sorted((r["w"], r["lo"], r["hi"]) for r in density.spanning_tree(df, p).collect())
     assert got == kruskal(e, p.samples)
     assert sum(asked) < 250, asked
+
+
+def test_distances_to_pivots_take_bounded_memory(spark):
+    """A task's slices are the shorter the more pivots there are, which grow with the table; no row is lost."""
+    t = pd.DataFrame({"lane": np.arange(10_000)})
+    for pivots in (1, 400, 2403, 4096, 10 * neighbours.HELD):
+        got = list(neighbours.slices(iter([t, t[:0], t[:7]]), pivots))
+        assert all(len(x) * pivots <= max(neighbours.HELD, pivots) for x in got)
+        assert np.concatenate([x.lane for x in got]).tolist() == [*range(10_000), *range(7)]
+
+
+def test_cores_by_short_slices(spark):
+    """1,500 pivots: a batch of 1,500 rows goes in three slices."""
+    e = grouped(1500, 300, 0.05, 4)
+    df = spark.createDataFrame([(k, "", e[k].tolist()) for k in range(1500)], INDEX).coalesce(1)
+    _, core, _, _ = density.reachability(df, density.Params(cells=neighbours.Params(cell=1, visits=1500)))
+    d = np.sort(density.distances(e, e), axis=1)
+    assert {r["lane"]: r["core"] for r in core.collect()} == dict(enumerate(d[:, 2]))
+
+
+def _shuffled(spark):
+    """Bytes of the session's shuffle files."""
+    root = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    return sum(f.stat().st_size for f in root.rglob("shuffle_*.data"))
+
+
+def test_shuffles_of_a_search_go_with_it(spark):
+    """Disk holds one search's blocks at a time; garbage of the driver isn't waited for."""
+    e = grouped(3000, 60, 0.5, 4, d=64)
+    df = spark.createDataFrame([(k, "", e[k].tolist()) for k in range(3000)], INDEX)
+    before = _shuffled(spark)
+    density.reachability(df, density.Params(cells=neighbours.Params(cell=20, block=200, visits=2)))
+    assert _shuffled(spark) - before < 3000 * 64 * 8
